@@ -1,0 +1,24 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    """Writes rows as a Parquet table and reads it again, as operators see their input."""
+
+    def make(rows, schema, parts=3):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        spark.createDataFrame(rows, schema).repartition(parts).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return make
