@@ -57,79 +57,81 @@ def _samples(v: np.ndarray, reach: int) -> np.ndarray:
     return np.flatnonzero((mid < low[:n]) & (mid <= low[reach + 1 : reach + 1 + n])) + reach
 
 
-def _owned(v: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one owner: (owner, its level, first start, last start); owner -1 where there is none."""
-    runs = []
-    bare = [(0, n - length)] if n >= length else []
-    for level, reach in enumerate(REACH):
-        at = _samples(v, reach)
-        left = []
-        for lo, hi in bare:
-            if not len(at):
-                left.append((lo, hi))
-                continue
-            k = at[np.searchsorted(at, lo + reach) : np.searchsorted(at, hi + length - reach - GRAM, side="right")]
-            before = np.concatenate([[lo + reach - 1], k[:-1]]) if len(k) else k
-            first = np.maximum(before - reach + 1, k + reach + GRAM - length).clip(lo, None)
-            last = (k - reach).clip(None, hi)
-            ok = first <= last
-            k, first, last = k[ok], first[ok], last[ok]
-            runs.append((k, np.full(len(k), level), first, last))
-            edges = np.concatenate([[lo - 1], last]), np.concatenate([first, [hi + 1]])
-            gap = edges[0] + 1 < edges[1]
-            left += list(zip((edges[0] + 1)[gap].tolist(), (edges[1] - 1)[gap].tolist(), strict=True))
-        bare = left
-    runs += [(np.array([-1]), np.array([len(REACH)]), np.array([lo]), np.array([hi])) for lo, hi in bare]
-    if not runs:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*runs, strict=True))
-
-
-def _cells(data: np.ndarray, length: int) -> np.ndarray:
-    """Cells of one text, a row each: (first start, last start, core from, core to, hull from, hull to, tag)."""
+def _own(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, reach: int, length: int):
+    """Owners of the string starts lo..hi of each range among the samples at.
+
+    A start belongs to the first sample that has its neighbourhood inside the string. Gives runs of starts with one owner
+    (owner, first start, last start), and the ranges (lo, hi) of starts that have none.
+    """
+    a = np.searchsorted(at, lo + reach)
+    count = np.maximum(np.searchsorted(at, hi + length - reach - GRAM, side="right") - a, 0)
+    r = np.repeat(np.arange(len(lo)), count)
+    idx = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count) + a[r]
+    k = at[idx]
+    before = np.where(idx == a[r], lo[r] + reach - 1, at[idx - 1]) if len(idx) else k
+    first = np.maximum(np.maximum(before - reach + 1, k + reach + GRAM - length), lo[r])
+    last = np.minimum(k - reach, hi[r])
+    ok = first <= last
+    r, k, first, last = r[ok], k[ok], first[ok], last[ok]
+    ranges = np.arange(len(lo))
+    order = np.lexsort((np.concatenate([lo - 1, last, hi + 1]), np.concatenate([ranges, r, ranges])))
+    starts, ends = np.concatenate([lo, first, hi + 1])[order], np.concatenate([lo - 1, last, hi + 1])[order]
+    of = np.concatenate([ranges, r, ranges])[order]
+    gap = (of[:-1] == of[1:]) & (ends[:-1] + 1 < starts[1:])
+    return k, first, last, ends[:-1][gap] + 1, starts[1:][gap] - 1
+
+
+def _cells(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of some texts, end to end: the text of each, and (first start, last start, core from, core to, hull from, hull to, tag)."""
+    lo, hi = at[:-1], at[1:] - length
+    lo, hi = lo[hi >= lo], hi[hi >= lo]
+    if not len(lo):
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 7), dtype=np.int64)
     n = len(data)
-    if n < length:
-        return np.zeros((0, 7), dtype=np.int64)
     word = np.zeros(n - GRAM + 1, dtype=np.uint64)
     for k in range(GRAM):
         word = (word << np.uint64(8)) | data[k : n - GRAM + 1 + k]
-    owner, level, first, last = _owned(mix(word), n, length)
+    word = mix(word)
     out = []
-    none = owner < 0
-    # strings without a sample inside: each is a cell of its own
-    for lo, hi in zip(first[none].tolist(), last[none].tolist(), strict=True):
-        i = np.arange(lo, hi + 1)
+    for level, reach in enumerate(REACH):
+        if not len(lo):
+            break
+        owner, first, last, lo, hi = _own(lo, hi, _samples(word, reach), reach, length)
+        text = np.searchsorted(at, first, side="right") - 1
+        near, far = (owner - last) // BLOCK, (owner - first) // BLOCK
+        for k in range(int((far - near).max(initial=-1)) + 1):
+            ok = near + k <= far
+            p, m = owner[ok], (near + k)[ok]
+            start, end = p - BLOCK * m - BLOCK + 1, p - BLOCK * m
+            hull = np.maximum(start, at[text[ok]]), np.minimum(end + length, at[text[ok] + 1])
+            out.append(np.stack([np.maximum(start, first[ok]), np.minimum(end, last[ok]), end, start + length, *hull, 1 + m * len(REACH) + level], axis=1))
+    if len(lo):
+        # strings without a sample inside: each is a cell of its own
+        size = hi - lo + 1
+        i = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
         out.append(np.stack([i, i, i, i + length, i, i + length, np.zeros_like(i)], axis=1))
-    owner, level, first, last = owner[~none], level[~none], first[~none], last[~none]
-    near, far = (owner - last) // BLOCK, (owner - first) // BLOCK
-    for k in range(int((far - near).max(initial=-1)) + 1):
-        ok = near + k <= far
-        p, m, lv = owner[ok], (near + k)[ok], level[ok]
-        start, end = p - BLOCK * m - BLOCK + 1, p - BLOCK * m
-        out.append(np.stack([np.maximum(start, first[ok]), np.minimum(end, last[ok]), end, start + length, start.clip(0, None), (end + length).clip(None, n), 1 + m * len(REACH) + lv], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 7), dtype=np.int64)
+    cells = np.concatenate(out)
+    return np.searchsorted(at, cells[:, 0], side="right") - 1, cells
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _cell_rows(length: int):
+def _cell_rows(length: int, cores_only: bool):
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            roll, ids = Rolling(data), rows.column("row").to_numpy()
-            other = Rolling(data, 1)
-            for i in range(len(at) - 1):
-                c = _cells(data[at[i] : at[i + 1]], length)
-                if not len(c):
-                    continue
-                b = c[:, 2:6] + at[i]
-                tag = c[:, 6].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-                core = mix(roll.of(b[:, 0], b[:, 1]) + tag)
-                # where a hull was clipped at an end of the text is part of its name
-                clip = (c[:, 4] - c[:, 2] + np.int64(1 << 20) * (c[:, 5] - c[:, 2])).astype(np.uint64)
-                hull = mix(other.of(b[:, 2], b[:, 3]) + mix(clip))
-                yield pa.record_batch([_i64(core), _i64(hull), pa.array(np.full(len(c), ids[i])), pa.array(c[:, 0].astype(np.int32)), pa.array(c[:, 1].astype(np.int32))], names=["core", "hull", "row", "first", "last"])
+            text, c = _cells(data, at, length)
+            if not len(c):
+                continue
+            core = _i64(mix(Rolling(data).of(c[:, 2], c[:, 3]) + c[:, 6].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+            if cores_only:
+                yield pa.record_batch([core], names=["core"])
+                continue
+            # where a hull was clipped at an end of the text is part of its name
+            clip = (c[:, 4] - (c[:, 2] - BLOCK + 1) + np.int64(1 << 20) * (c[:, 5] - c[:, 2])).astype(np.uint64)
+            hull = mix(Rolling(data, 1).of(c[:, 4], c[:, 5]) + mix(clip))
+            yield pa.record_batch([core, _i64(hull), rows.column("row").take(pa.array(text)), pa.array((c[:, 0] - at[text]).astype(np.int32)), pa.array((c[:, 1] - at[text]).astype(np.int32))], names=["core", "hull", "row", "first", "last"])
 
     return run
 
@@ -148,32 +150,40 @@ def _string_rows(length: int):
 
 
 def _cut(length: int, keep_text: bool):
-    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept_text"] * keep_text
-
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            out = []
-            for i, (row, runs) in enumerate(zip(rows.column("row").to_pylist(), rows.column("runs").to_pylist(), strict=True)):
-                own = data[at[i] : at[i + 1]]
-                step = np.zeros(len(own) + 1, dtype=np.int32)
-                if runs:
-                    np.add.at(step, [r["first"] for r in runs], 1)
-                    np.add.at(step, [r["last"] + length for r in runs], -1)
-                gone = np.cumsum(step[:-1]) > 0
-                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-                spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-                kept = own[~gone].tobytes()
-                out.append((row, len(own), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans]) + ((kept.decode("utf-8", "ignore"),) if keep_text else ()))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] + [("kept_text", pa.string())] * keep_text))
+            runs = rows.column("runs")
+            # a text without runs has a null list, which holds no values
+            flat, lists = runs.flatten(), np.concatenate([[0], np.cumsum(runs.value_lengths().fill_null(0).to_numpy())])
+            first, last = flat.field("first").to_numpy(), flat.field("last").to_numpy()
+            text = np.repeat(np.arange(len(at) - 1), np.diff(lists))
+            step = np.bincount(at[text] + first, minlength=len(data) + 1) - np.bincount(at[text] + last + length, minlength=len(data) + 1)
+            gone = np.cumsum(step[:-1]) > 0
+            opening = np.zeros(len(data) + 1, dtype=bool)
+            opening[at] = True
+            start = np.flatnonzero(gone & (opening[:-1] | ~np.concatenate([[False], gone[:-1]])))
+            end = np.flatnonzero(gone & (opening[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+            of = np.searchsorted(start, at)
+            own = np.repeat(at[:-1], np.diff(of))
+            total = np.concatenate([[0], np.cumsum(gone)])
+            kept = [data[a:b] if total[a] == total[b] else data[a:b][~gone[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+            spans = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start - own), pa.array(end - own)], names=["start", "end"]))
+            columns = {
+                "row": rows.column("row"), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(np.diff(total[at])), "n_spans": pa.array(np.diff(of)),
+                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in map(np.ascontiguousarray, kept)]), "spans": spans,
+            }
+            if keep_text:
+                columns["kept_text"] = pa.array([k.tobytes().decode("utf-8", "ignore") for k in kept])
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Runs of starts of repeated strings: (row, first, last), for texts (row long, text string)."""
-    cells = arrow_map(texts, _cell_rows(length), "core long, hull long, row long, first int, last int")
+    cells = arrow_map(texts, _cell_rows(length, False), "core long, hull long, row long, first int, last int")
     # Two grouped counts, both combined before the shuffle; only cells with a core that occurs again go on.
-    often = cells.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    often = arrow_map(texts, _cell_rows(length, True), "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     again = materialise(cells.join(often, "core", "left_semi"), "repeat-cells")
     hulls = again.groupBy("core", "hull").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("stands"))
     kinds = hulls.groupBy("core").agg(F.count("*").alias("hulls"))
