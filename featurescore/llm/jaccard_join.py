@@ -6,8 +6,9 @@ shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 
 1. Equal sets are one class. Classes with equal prefixes and equal size are one group; only groups are joined.
 2. Prefix shingles are dealt out by shingle, sorted and streamed; those of a single group are dropped on the way.
-3. Groups are expanded to classes. Each class is verified, on whole sets, against the first and the last class of each
-   of its prefix shingles (links instead of all pairs of a group).
+3. Groups are expanded to classes. Each class is verified, on whole sets, against one other: of the first classes of its
+   prefix shingles, the one that it shares most of them with; then, where that left several components, the same with the
+   last classes (links instead of all pairs of a group).
 4. Where a shingle still joins different components, all pairs between them that pass the size and position filters are
    verified. So no link between two components is lost, and pairs inside one component are never made.
 
@@ -20,6 +21,7 @@ rows. The table is read more than once, so it must be a stored table.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ WORDS = 5
 THRESHOLD = 80
 #: Counters of the frequency sketch; the sketch is what is sent to every task, so its size is fixed.
 SLOTS = 1 << 16
+#: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
+PARTS = 4
+_BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
 
 
 def _sketch(words: int):
@@ -99,28 +104,26 @@ def _shared(batches):
 def _sets(words: int):
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(data, at, words)]
-            yield pa.record_batch([rows.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "items"])
+            sets = shingle_sets(data, at, words)
+            cuts = [[*np.searchsorted(s, _BOUNDS), len(s)] for s in sets]
+            parts = [pa.array([s[c[k] : c[k + 1]].view(np.int64) for s, c in zip(sets, cuts, strict=True)], pa.list_(pa.int64())) for k in range(PARTS)]
+            yield pa.record_batch([rows.column("class"), *parts], names=["class", *[f"part{k}" for k in range(PARTS)]])
 
     return run
 
 
-def _verified(threshold: int):
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            xv, yv, xo, yo = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), x.offsets.to_numpy(), y.offsets.to_numpy()
-            ok = []
-            for i in range(batch.num_rows):
-                a, b = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                if len(a) > len(b):
-                    a, b = b, a
+def _common(batches):
+    """Sizes of the intersections of two columns of sorted sets."""
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        xv, yv, xo, yo = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), x.offsets.to_numpy(), y.offsets.to_numpy()
+        both = np.zeros(batch.num_rows, dtype=np.int64)
+        for i in range(batch.num_rows):
+            a, b = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
+            if len(a) and len(b):
                 k = np.searchsorted(b, a)
-                both = int((b[np.minimum(k, len(b) - 1)] == a).sum())
-                ok.append(100 * both >= threshold * (len(a) + len(b) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
+                both[i] = (b[np.minimum(k, len(b) - 1)] == a).sum()
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(both)], names=["a", "b", "both"])
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -142,23 +145,37 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos").union(whole), "jaccard-posts")
 
     need = posts.select("class").distinct().join(classes, "class").select("class", "row")
-    items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, items array<long>"), "jaccard-sets")
+    items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), "jaccard-sets")
+    size = posts.groupBy("class").agg(F.max("n").alias("n"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(items.select(F.col("class").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
-        return materialise(arrow_map(both.select("a", "b", "x", "y"), _verified(threshold), "a binary, b binary"), name)
-
-    ends = posts.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    to_ends = posts.join(ends, "token").select("class", F.explode(F.array("low", "high")).alias("end")).where("class <> end")
-    stars = to_ends.select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
-    links = verified(stars, "jaccard-stars")
-    part = components(links, "a", "b", "jaccard-first")
+        pairs = materialise(pairs, f"{name}-pairs")
+        counts = []
+        for k in range(PARTS):
+            side = lambda c, out: items.select(F.col("class").alias(c), F.col(f"part{k}").alias(out))  # noqa: B023, E731
+            met = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+            counts.append(materialise(arrow_map(met, _common, "a binary, b binary, both long"), f"{name}-{k}"))
+        total = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("both").alias("both"))
+        total = total.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
+        return materialise(total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), name)
+
+    placed, links = posts.withColumn("root", F.col("class")), None
+    for name, end in (("first", F.min), ("last", F.max)):
+        ends = placed.groupBy("token").agg(end(F.struct("class", "root")).alias("end"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "end")
+        shared = placed.join(ends, "token").where("root <> end.root").groupBy("class", F.col("end.class").alias("end")).agg(F.count("*").alias("c"))
+        best = shared.groupBy("class").agg(F.max(F.struct("c", "end")).alias("best"))
+        found = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), f"jaccard-{name}")
+        links = found if links is None else links.union(found)
+        part = components(links, "a", "b", f"jaccard-{name}")
+        placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_posts = materialise(placed.join(mixed, "token", "left_semi"), "jaccard-open")
     one, two = open_posts.alias("one"), open_posts.alias("two")
-    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.root") < F.col("two.root")) & (100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")))
+    # With the sizes of both known, the first shared shingle of a similar enough pair comes earlier still in either prefix.
+    early = lambda side: (100 + threshold) * (F.col(f"{side}.n") - F.col(f"{side}.pos")) >= threshold * (F.col("one.n") + F.col("two.n"))
+    sizes = 100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")
+    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.root") < F.col("two.root")) & sizes & early("one") & early("two"))
     pairs = meet.groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b")).agg(
         F.count("*").alias("c"), F.first("one.n").alias("na"), F.first("two.n").alias("nb"), F.max("one.pos").alias("pa"), F.max("two.pos").alias("pb")
     )
