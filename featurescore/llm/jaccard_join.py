@@ -6,11 +6,14 @@ shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 
 1. Equal sets are one class. Classes with equal prefixes and equal size are one group; only groups are joined.
 2. Prefix shingles are dealt out by shingle, sorted and streamed; those of a single group are dropped on the way.
-3. Groups are expanded to classes. Each class is verified, on whole sets, against one other: of the first classes of its
-   prefix shingles, the one that it shares most of them with; then, where that left several components, the same with the
-   last classes (links instead of all pairs of a group).
-4. Where a shingle still joins different components, all pairs between them that pass the size and position filters are
-   verified. So no link between two components is lost, and pairs inside one component are never made.
+3. Groups are expanded to classes. A class has a sign: for each slot of a fixed number, whether an odd number of its
+   shingles fall there. Two sets differ in as many shingles as their signs differ in slots, at least, so pairs whose
+   signs differ too much are no links. Every prefix shingle names one of its classes, picked by hash; each class is
+   verified, on whole sets, against the one of those with the nearest sign (links instead of all pairs of a group). This
+   is done ROUNDS times, with others named, by what still stands in different components.
+4. Where a shingle still joins different components, all pairs between them that pass the size, position and sign
+   filters are verified: those of the shingle's largest component with the rest, and of the rest. So no link between two
+   components is lost, and pairs inside one component are never made.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than
 a shingle has its whole word sequence as its one shingle; repeated rows and ids are rows of their own, with equal texts
@@ -37,6 +40,9 @@ THRESHOLD = 80
 SLOTS = 1 << 16
 #: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
 PARTS = 4
+#: Words of 64 slots of a sign, and rounds of links.
+SIGN = [f"s{k}" for k in range(8)]
+ROUNDS = 2
 _BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
 
 
@@ -62,11 +68,21 @@ def _levels(texts: DataFrame, words: int) -> np.ndarray:
     return np.where(over > 8 * np.sqrt(usual) + 8, np.log2(np.maximum(over, 1)).astype(int) + 1, 0).astype(np.uint8)
 
 
+def _signs(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set len(SIGN) words; a bit is the parity of the shingles in its slot."""
+    slots = 64 * len(SIGN)
+    slot = (np.concatenate(sets) >> np.uint64(20)) % np.uint64(slots)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(owner * slots + slot.astype(np.int64), minlength=len(sets) * slots) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), len(SIGN))
+
+
 def _prefixes(words: int, threshold: int, levels: np.ndarray):
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            out = []
-            for row, s in zip(rows.column("row").to_pylist(), shingle_sets(data, at, words), strict=True):
+            out, sets = [], shingle_sets(data, at, words)
+            signs = _signs(sets)
+            for row, s in zip(rows.column("row").to_pylist(), sets, strict=True):
                 n = len(s)
                 if not n:
                     out.append((row, 0, None, None, None))
@@ -77,7 +93,7 @@ def _prefixes(words: int, threshold: int, levels: np.ndarray):
                 group = int.from_bytes(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest()[:8], "little", signed=True)
                 out.append((row, n, hashlib.md5(s.tobytes()).digest(), group, prefix.view(np.int64)))
             cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], names=["row", "n", "class", "grp", "prefix"])
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), *[pa.array(signs[:, k].copy()) for k in range(len(SIGN))]], names=["row", "n", "class", "grp", "prefix", *SIGN])
 
     return run
 
@@ -131,18 +147,18 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     ids = docs.withColumn("__row", F.monotonically_increasing_id())
     texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     levels = _levels(texts.select("text"), words)
-    sets = materialise(arrow_map(texts, _prefixes(words, threshold, levels), "row long, n long, class binary, grp long, prefix array<long>"), "jaccard-prefixes")
+    sets = materialise(arrow_map(texts, _prefixes(words, threshold, levels), "row long, n long, class binary, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in SIGN)), "jaccard-prefixes")
 
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.min("grp").alias("grp"), F.min("n").alias("n"))
+    classes = sets.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGN])
     classes = materialise(classes, "jaccard-classes")
     groups = sets.where("n > 0").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     tokens = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "grp long, n long, pos int, token long"), "jaccard-postings")
 
-    members = classes.select("grp", "class")
+    members = classes.select("grp", "class", *SIGN)
     crowded = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    whole = classes.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("pos"))
-    posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos").union(whole), "jaccard-posts")
+    whole = classes.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("pos"), *SIGN)
+    posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos", *SIGN).union(whole), "jaccard-posts")
 
     need = posts.select("class").distinct().join(classes, "class").select("class", "row")
     items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), "jaccard-sets")
@@ -159,28 +175,35 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         total = total.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
         return materialise(total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), name)
 
+    col = lambda side, name: F.col(f"{side}.{name}")
+    apart = reduce(F.Column.__add__, [F.bit_count(col("one", c).bitwiseXOR(col("two", c))) for c in SIGN])
+    both = col("one", "n") + col("two", "n")
+    # Similar enough pairs are of like size, differ in few shingles and, with both sizes known, share an early one.
+    early = lambda side: (100 + threshold) * (col(side, "n") - col(side, "pos")) >= threshold * both
+    sizes = 100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")
+    likely = sizes & early("one") & early("two") & ((100 + threshold) * apart <= (100 - threshold) * both)
+
     placed, links = posts.withColumn("root", F.col("class")), None
-    for name, end in (("first", F.min), ("last", F.max)):
-        ends = placed.groupBy("token").agg(end(F.struct("class", "root")).alias("end"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "end")
-        shared = placed.join(ends, "token").where("root <> end.root").groupBy("class", F.col("end.class").alias("end")).agg(F.count("*").alias("c"))
-        best = shared.groupBy("class").agg(F.max(F.struct("c", "end")).alias("best"))
-        found = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), f"jaccard-{name}")
+    for k in range(ROUNDS):
+        named = F.max(F.struct(F.xxhash64("class", "token", F.lit(k)), "class", "n", "pos", "root", *SIGN))
+        two = placed.groupBy("token").agg(named.alias("two"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        met = placed.alias("one").join(two.select("token", "two"), "token").where(likely & (F.col("one.root") != F.col("two.root")))
+        best = met.groupBy(F.col("one.class").alias("class")).agg(F.min(F.struct(apart.alias("apart"), F.col("two.class").alias("end"))).alias("best"))
+        found = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), f"jaccard-round{k}")
         links = found if links is None else links.union(found)
-        part = components(links, "a", "b", f"jaccard-{name}")
+        part = components(links, "a", "b", f"jaccard-round{k}")
         placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_posts = materialise(placed.join(mixed, "token", "left_semi"), "jaccard-open")
-    one, two = open_posts.alias("one"), open_posts.alias("two")
-    # With the sizes of both known, the first shared shingle of a similar enough pair comes earlier still in either prefix.
-    early = lambda side: (100 + threshold) * (F.col(f"{side}.n") - F.col(f"{side}.pos")) >= threshold * (F.col("one.n") + F.col("two.n"))
-    sizes = 100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")
-    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("one.root") < F.col("two.root")) & sizes & early("one") & early("two"))
-    pairs = meet.groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b")).agg(
-        F.count("*").alias("c"), F.first("one.n").alias("na"), F.first("two.n").alias("nb"), F.max("one.pos").alias("pa"), F.max("two.pos").alias("pb")
-    )
-    most = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    more = verified(pairs.where((100 + threshold) * most >= threshold * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-cross")
+    shares = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
+    largest = shares.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    open_posts = materialise(placed.join(largest.select("token", F.col("most.root").alias("main")), "token"), "jaccard-open")
+    one, two = open_posts.where("root <> main").alias("one"), open_posts.alias("two")
+    apart_roots = (F.col("one.root") < F.col("two.root")) | (F.col("two.root") == F.col("two.main"))
+    meet = one.join(two, (F.col("one.token") == F.col("two.token")) & apart_roots & likely)
+    a, b = F.least("one.class", "two.class").alias("a"), F.greatest("one.class", "two.class").alias("b")
+    rest = F.min(F.least(col("one", "n") - col("one", "pos"), col("two", "n") - col("two", "pos"))) - 1
+    pairs = meet.groupBy(a, b).agg((F.count("*") + rest).alias("most"), F.first(both).alias("both"))
+    more = verified(pairs.where((100 + threshold) * F.col("most") >= threshold * F.col("both")).select("a", "b"), "jaccard-cross")
     final = components(links.union(more), "a", "b", "jaccard-all")
 
     keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(sets.select("row", "n", "class"), "row")
