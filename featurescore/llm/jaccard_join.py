@@ -8,9 +8,9 @@ shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 2. Prefix shingles are dealt out by shingle, sorted and streamed; those of a single group are dropped on the way.
 3. Groups are expanded to classes. A class has a sign: for each slot of a fixed number, whether an odd number of its
    shingles fall there. Two sets differ in as many shingles as their signs differ in slots, at least, so pairs whose
-   signs differ too much are no links. Every prefix shingle names one of its classes, picked by hash; each class is
-   verified, on whole sets, against the one of those with the nearest sign (links instead of all pairs of a group). This
-   is done ROUNDS times, with others named, by what still stands in different components.
+   signs differ too much are no links. Every prefix shingle names two of its classes, picked by hash; each class is
+   verified, on whole sets, against those with the nearest signs (links instead of all pairs of a group). Sets are made
+   anew for the classes that are in pairs only.
 4. Where a shingle still joins different components, all pairs between them that pass the size, position and sign
    filters are verified: those of the shingle's largest component with the rest, and of the rest. So no link between two
    components is lost, and pairs inside one component are never made.
@@ -39,10 +39,9 @@ THRESHOLD = 80
 #: Counters of the frequency sketch; the sketch is what is sent to every task, so its size is fixed.
 SLOTS = 1 << 16
 #: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
-PARTS = 4
-#: Words of 64 slots of a sign, and rounds of links.
+PARTS = 2
+#: Words of 64 slots of a sign.
 SIGN = [f"s{k}" for k in range(8)]
-ROUNDS = 2
 _BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
 
 
@@ -160,18 +159,17 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     whole = classes.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("pos"), *SIGN)
     posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos", *SIGN).union(whole), "jaccard-posts")
 
-    need = posts.select("class").distinct().join(classes, "class").select("class", "row")
-    items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), "jaccard-sets")
-    size = posts.groupBy("class").agg(F.max("n").alias("n"))
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{name}-pairs")
+        need = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "row")
+        items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), f"{name}-sets")
         counts = []
         for k in range(PARTS):
             side = lambda c, out: items.select(F.col("class").alias(c), F.col(f"part{k}").alias(out))  # noqa: B023, E731
             met = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
             counts.append(materialise(arrow_map(met, _common, "a binary, b binary, both long"), f"{name}-{k}"))
         total = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("both").alias("both"))
+        size = classes.select("class", "n")
         total = total.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
         return materialise(total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), name)
 
@@ -183,16 +181,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sizes = 100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")
     likely = sizes & early("one") & early("two") & ((100 + threshold) * apart <= (100 - threshold) * both)
 
-    placed, links = posts.withColumn("root", F.col("class")), None
-    for k in range(ROUNDS):
-        named = F.max(F.struct(F.xxhash64("class", "token", F.lit(k)), "class", "n", "pos", "root", *SIGN))
-        two = placed.groupBy("token").agg(named.alias("two"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        met = placed.alias("one").join(two.select("token", "two"), "token").where(likely & (F.col("one.root") != F.col("two.root")))
-        best = met.groupBy(F.col("one.class").alias("class")).agg(F.min(F.struct(apart.alias("apart"), F.col("two.class").alias("end"))).alias("best"))
-        found = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), f"jaccard-round{k}")
-        links = found if links is None else links.union(found)
-        part = components(links, "a", "b", f"jaccard-round{k}")
-        placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    one = F.struct(F.xxhash64("class", "token"), "class", "n", "pos", *SIGN)
+    named = posts.groupBy("token").agg(F.max(one).alias("high"), F.min(one).alias("low")).where("high <> low")
+    named = named.select("token", F.posexplode(F.array("high", "low")).alias("pick", "two"))
+    met = posts.alias("one").join(named, "token").where(likely & (F.col("one.class") != F.col("two.class")))
+    best = met.groupBy(F.col("one.class").alias("class"), "pick").agg(F.min(F.struct(apart.alias("apart"), F.col("two.class").alias("end"))).alias("best"))
+    links = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), "jaccard-first")
+    part = components(links, "a", "b", "jaccard-first")
+    placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
     shares = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
     largest = shares.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
