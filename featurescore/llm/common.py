@@ -46,6 +46,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of materialise() that df is, once no later step reads it."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches sized for long texts."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, materialise, shingle_sets, slices
+from .common import arrow_map, components, discard, materialise, shingle_sets, slices
 
 WORDS = 5
 #: Least similarity, in hundredths.
@@ -39,7 +39,7 @@ THRESHOLD = 80
 #: Counters of the frequency sketch; the sketch is what is sent to every task, so its size is fixed.
 SLOTS = 1 << 16
 #: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
-PARTS = 2
+PARTS = 8
 #: Words of 64 slots of a sign.
 SIGN = [f"s{k}" for k in range(8)]
 _BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
@@ -158,6 +158,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     crowded = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     whole = classes.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("pos"), *SIGN)
     posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos", *SIGN).union(whole), "jaccard-posts")
+    rows = materialise(sets.select("row", "n", "class"), "jaccard-numbers")
+    discard(sets)
+    discard(postings)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{name}-pairs")
@@ -168,6 +171,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             side = lambda c, out: items.select(F.col("class").alias(c), F.col(f"part{k}").alias(out))  # noqa: B023, E731
             met = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
             counts.append(materialise(arrow_map(met, _common, "a binary, b binary, both long"), f"{name}-{k}"))
+        discard(items)
         total = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("both").alias("both"))
         size = classes.select("class", "n")
         total = total.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
@@ -193,6 +197,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     shares = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
     largest = shares.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     open_posts = materialise(placed.join(largest.select("token", F.col("most.root").alias("main")), "token"), "jaccard-open")
+    discard(posts)
     one, two = open_posts.where("root <> main").alias("one"), open_posts.alias("two")
     apart_roots = (F.col("one.root") < F.col("two.root")) | (F.col("two.root") == F.col("two.main"))
     meet = one.join(two, (F.col("one.token") == F.col("two.token")) & apart_roots & likely)
@@ -202,7 +207,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     more = verified(pairs.where((100 + threshold) * F.col("most") >= threshold * F.col("both")).select("a", "b"), "jaccard-cross")
     final = components(links.union(more), "a", "b", "jaccard-all")
 
-    keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(sets.select("row", "n", "class"), "row")
+    keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(rows, "row")
     keyed = keyed.join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     keyed = materialise(keyed.select("__id", "n", "root"), "jaccard-rows")
     least = keyed.where("root is not null").groupBy("root").agg(F.min("__id").alias("component_id"))
