@@ -1,44 +1,41 @@
 """Toxicity scores by nearest labelled examples.
 
-Examples are a bounded sample of labelled rows (`PER_CLASS` of each label, picked by a hash of the id). Terms are the
-words that go with the label in the sample (chi-squared of at least `LEAST_CHI2`, the `VOCABULARY` strongest); their
-document frequencies are counted over all documents. Every document is then searched against the examples by exact
-TF-IDF cosine. The inverted index of the examples is cut into blocks of `BLOCK` examples and keeps the largest weight of
-each term and block: blocks are visited by their bound, until none can hold a nearer example than the `K` found.
+Examples are a bounded sample of labelled rows (`PER_CLASS` of each label, picked by a hash of the id). Terms are all
+words; their document frequencies are counted over all documents. A word of the examples weighs its TF-IDF times 1 plus
+its chi-squared with the label in the sample, so that words that go with the label decide, and none is left out. Every
+text with words is searched against the examples by the exact cosine of these weights; words that no example holds
+weigh their TF-IDF and enter the norm of the text only, by a join with the table of document frequencies. The inverted
+index of the examples is cut into blocks of `BLOCK` examples and keeps the largest weight of each term and block: blocks
+are visited by their bound, until none can hold a nearer example than the `K` found.
 
 Votes are weighted by cosine and by how many rows an example stands for, and mapped to probabilities by isotonic
-regression over the examples themselves, each searched without itself. Texts with no term get the share of label 1 among
-examples with no term.
+regression over the examples themselves, each searched without itself. Texts with no word get the share of label 1 among
+examples with no word.
 
-Defined results: null and empty texts score as texts with no term; repeated rows are rows of their own; without labels of
+Defined results: null and empty texts score as texts with no word; repeated rows are rows of their own; without labels of
 both kinds every score is the share of label 1 (0 if there are no labels); rows with conflicting labels count as label 1;
 other columns stay, but for score, predicted and evidence, which are replaced.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER, Rolling, arrow_map, in_train, slices, word_bounds
+from .common import ARROW_ROWS, LOWER, Rolling, arrow_map, in_train, materialise, slices, word_bounds
 
 PER_CLASS = 3000
-VOCABULARY = 2048
-#: Above chance even among some hundred thousand words; rarer words than LEAST_TEXTS say nothing reliable.
-LEAST_CHI2 = 30.0
-LEAST_TEXTS = 5
 K = 15
 BLOCK = 64
 CUT = 0.3
 #: Votes for the base rate, in cosines, so that one far example decides little.
 PRIOR = 0.2
-#: Answers kept by a task for texts with the same terms.
-CACHE = 1 << 16
-
+#: Blocks that are visited before the bounds of the others are compared.
+AHEAD = 4
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[0x61:0x7B] = True
 _LETTERS[0x80:] = True
@@ -69,6 +66,18 @@ class Lookup:
         cut = np.searchsorted(text, np.arange(len(first)))
         return [np.unique(term[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
+    def outside(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes are none of the vocabulary's."""
+        if not len(self.sorted):
+            return np.ones(len(hashes), dtype=bool)
+        return self.sorted[np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)] != hashes
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo to hi, end to end, and how many each range has."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
 
 @dataclass
 class Index:
@@ -76,50 +85,63 @@ class Index:
 
     idf: np.ndarray
     n: int
-    #: For each term the examples that hold it, in order, and their weights; starts of the blocks in it; block maxima (terms by blocks).
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Examples that hold a term and their weights, by term and example; starts of the runs of a term and block in them,
+    #: the largest weight of each run, its block, and the first run of each term.
+    postings: tuple[np.ndarray, np.ndarray] | list
     starts: np.ndarray
     most: np.ndarray
+    block: np.ndarray | None = None
+    runs: np.ndarray | None = None
 
     @classmethod
     def build(cls, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        blocks = -(-max(1, len(vectors)) // BLOCK)
-        ids: list[list[int]] = [[] for _ in idf]
-        weights: list[list[float]] = [[] for _ in idf]
-        for i, (terms, w) in enumerate(vectors):
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                ids[t].append(i)
-                weights[t].append(x)
-        postings = [(np.array(a, dtype=np.int64), np.array(b)) for a, b in zip(ids, weights, strict=True)]
-        most, starts = np.zeros((len(idf), blocks)), np.zeros((len(idf), blocks + 1), dtype=np.int64)
-        for t, (a, b) in enumerate(postings):
-            np.maximum.at(most[t], a // BLOCK, b)
-            starts[t] = np.searchsorted(a, np.arange(blocks + 1) * BLOCK)
-        return cls(idf, len(vectors), postings, starts, most)
+        lengths = [len(t) for t, _ in vectors]
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
+        order = np.argsort(term, kind="stable")
+        term, ids = term[order], np.repeat(np.arange(len(vectors)), lengths)[order]
+        weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])[order]
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (ids[1:] // BLOCK != ids[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        most = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+        return cls(idf, len(vectors), (ids.astype(np.int32), weights), np.append(first, len(term)), most, ids[first] // BLOCK, np.searchsorted(term[first], np.arange(len(idf) + 1)))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = self.weights(terms, counts)
         norm = np.sqrt((w * w).sum())
         return w / norm if norm > 0 else w
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties by number; exact."""
-        bound = w @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # a bound is a sum in another order than the cosine, so it gets a margin
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[k - 1][0] - 1e-9):
-                break
-            sums = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                if lo < hi:
-                    ids, weights = self.postings[t]
-                    sums[ids[lo:hi] - b * BLOCK] += x * weights[lo:hi]
+        if not self.n or not len(terms):
+            return []
+        ids, weights = self.postings
+        run, n = _ranges(self.runs[terms], self.runs[terms + 1])
+        x, block = np.repeat(w, n), self.block[run]
+        bound = np.bincount(block, x * self.most[run], minlength=-(-self.n // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+
+        def visit(blocks: np.ndarray) -> list[tuple[float, int]]:
+            some = np.zeros(len(bound), dtype=bool)
+            some[blocks] = True
+            pick = np.flatnonzero(some[block])
+            at, m = _ranges(self.starts[run[pick]], self.starts[run[pick] + 1])
+            sums = np.bincount(ids[at], np.repeat(x[pick], m) * weights[at], minlength=self.n)
+            if without >= 0:
+                sums[without] = 0
             near = np.flatnonzero(sums > 0)
-            best += [(float(sums[i]), b * BLOCK + i) for i in near.tolist() if b * BLOCK + i != without]
-            best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
-        return best
+            if len(near) > k:
+                near = near[sums[near] >= np.partition(sums[near], -k)[-k]]
+            return [(float(sums[i]), i) for i in near.tolist()]
+
+        best = sorted(visit(order[:AHEAD]), key=lambda s: (-s[0], s[1]))[:k]
+        # a bound is a sum in another order than the cosine, so it gets a margin
+        rest = order[AHEAD:]
+        rest = rest[bound[rest] > 0] if len(best) < k else rest[bound[rest] >= best[k - 1][0] - 1e-9]
+        return sorted(best + visit(rest), key=lambda s: (-s[0], s[1]))[:k] if len(rest) else best
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,19 +166,16 @@ class Model:
     weights: np.ndarray
     base: float
     empty: float
-    knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0]), np.array([0.0])))
+    knots: tuple[np.ndarray, np.ndarray]
+    #: Documents counted, and the stored table (term, n) of the documents that hold each word; None without examples.
+    n: int = 0
+    words: DataFrame | None = None
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         sim, at = np.array([s for s, _ in near]), [i for _, i in near]
         w = sim * self.weights[at]
         return float(((w * self.labels[at]).sum() + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(terms, self.index.unit(terms, counts), k) if len(terms) else []
-        if not near:
-            return self.empty, []
-        return float(np.clip(np.interp(self.vote(near), *self.knots), 0, 1)), near
-
 
 def _distinct(batches):
     for rows, data, at in slices(batches, "text"):
@@ -166,25 +185,40 @@ def _distinct(batches):
         yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(label, [len(p) for p in parts]), pa.int32())], names=["term", "label"])
 
 
-def _counts(lookup: Lookup, size: int):
+def _frequencies(batches):
+    """How many texts of a slice hold each word."""
+    for _, data, at in slices(batches, "text"):
+        _, _, _, hashes, first = _words(data, at)
+        parts = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        term, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+
+
+def _examples(lookup: Lookup):
     def run(batches):
-        df, n = np.zeros(size, dtype=np.int64), 0
         for rows, data, at in slices(batches, "text"):
             _, _, _, hashes, first = _words(data, at)
-            for terms, _ in lookup.terms(hashes, first):
-                df[terms] += 1
-            n += rows.num_rows
-        yield pa.record_batch([pa.array(np.append(np.arange(size), -1), pa.int32()), pa.array(np.append(df, n))], names=["term", "n"])
+            found = lookup.terms(hashes, first)
+            yield pa.record_batch([rows.column("id"), rows.column("label"), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], names=["id", "label", "terms", "counts"])
 
     return run
 
 
-def _examples(lookup: Lookup):
+def _strangers(hashes: np.ndarray):
+    """Rows (row, term, count) of the words of texts that no example holds."""
+
     def run(batches):
+        lookup = Lookup(hashes)
         for rows, data, at in slices(batches, "text"):
-            _, _, _, hashes, first = _words(data, at)
-            found = lookup.terms(hashes, first)
-            yield pa.record_batch([rows.column("id"), rows.column("label"), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], names=["id", "label", "terms", "counts"])
+            _, _, _, found, first = _words(data, at)
+            k = np.flatnonzero(lookup.outside(found))
+            text = np.searchsorted(first, k, side="right") - 1
+            order = np.lexsort((found[k], text))
+            text, term = text[order], found[k][order]
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
+            at_ = np.flatnonzero(new)
+            yield pa.record_batch([rows.column("row").take(pa.array(text[at_])), pa.array(term[at_].view(np.int64)), pa.array(np.diff(np.append(at_, len(k))), pa.int32())], names=["row", "term", "count"])
 
     return run
 
@@ -195,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     base = counts.get(1, 0) / total if total else 0.0
-    nothing = Model(np.zeros(0, dtype=np.uint64), Index.build(np.zeros(0), []), [], np.zeros(0), np.zeros(0), base, base)
+    nothing = Model(np.zeros(0, dtype=np.uint64), Index.build(np.zeros(0), []), [], np.zeros(0), np.zeros(0), base, base, (np.array([0.0]), np.array([base])))
     if len(counts) < 2:
         return nothing
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(int(min(1.0, per_class / n) * 1_000_000))) for k, n in counts.items()])
@@ -211,51 +245,64 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     n1, n = float(sizes[1]), float(sum(sizes.values()))
     a, ab = F.col("a").cast("double"), F.col("ab").cast("double")
     chi2 = n * (a * (n - n1 - ab + a) - (n1 - a) * (ab - a)) ** 2 / (n1 * (n - n1) * ab * (n - ab))
-    picked = stats.where((F.col("ab") < n) & (F.col("ab") >= LEAST_TEXTS)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(VOCABULARY)
-    hashes = np.array([r.term for r in picked.collect()], dtype=np.int64).view(np.uint64)
+    chi2 = F.when(F.col("ab") < n, chi2).otherwise(0.0)
+    words = materialise(arrow_map(texts.select("text"), _frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "toxicity-words")
+    total_docs = docs.count()
+    # as many words as the bounded sample has
+    picked = stats.withColumn("chi2", chi2).join(words, "term").select("term", "chi2", "n").orderBy("term").toArrow()
+    hashes = picked["term"].to_numpy().view(np.uint64)
     lookup = Lookup(hashes)
-
-    df = np.zeros(len(hashes) + 1)
-    for r in arrow_map(texts.select("text"), _counts(lookup, len(hashes)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r.term] = r.n
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    idf = (np.log((total_docs + 1) / (picked["n"].to_numpy() + 1)) + 1) * (1 + picked["chi2"].to_numpy())
 
     rows = sorted(arrow_map(sample, _examples(lookup), "id string, label int, terms array<long>, counts array<long>").collect(), key=lambda r: (r.id, r.label, r.terms, r.counts))
     y = np.array([r.label for r in rows], dtype=float)
     w = np.where(y > 0, counts[1] / max(1.0, y.sum()), counts[0] / max(1.0, (1 - y).sum()))
     w /= w.mean()
     sparse = [(np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in rows]
-    blank = Index(idf, 0, [], np.zeros((0, 1), np.int64), np.zeros((0, 0)))
+    blank = Index(idf, 0, [], np.zeros(0), np.zeros(0))
     index = Index.build(idf, [(t, blank.unit(t, c)) for t, c in sparse])
     none = np.array([not len(t) for t, _ in sparse])
     empty = float(((w * y)[none].sum() + base) / (w[none].sum() + 1))
-    model = Model(hashes, index, [r.id for r in rows], y, w, base, empty)
+    model = Model(hashes, index, [r.id for r in rows], y, w, base, empty, (np.array([0.0]), np.array([base])), total_docs, words)
     # each example is searched without itself
     votes, own = [], np.flatnonzero(~none)
     for i in own.tolist():
-        near = index.nearest(sparse[i][0], index.unit(*sparse[i]), K, without=i)
-        votes.append(model.vote(near) if near else base)
+        votes.append(model.vote(index.nearest(sparse[i][0], index.unit(*sparse[i]), K, without=i)))
     if votes:
         model.knots = isotonic(np.array(votes), y[own], w[own])
     return model
 
 
+_NEAR = pa.struct([("at", pa.list_(pa.int32())), ("cosine", pa.list_(pa.float64())), ("square", pa.float64())])
 _OUT = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])))])
 
 
-def _scorer(model: Model):
+def _searcher(hashes: np.ndarray, index: Index):
+    """The nearest examples by the cosine over words of the examples, and the square of the norm over these words."""
+
     def run(texts: pa.Array) -> pa.Array:
-        lookup, cache, out = Lookup(model.hashes), {}, []
+        lookup, out = Lookup(hashes), []
         for _, data, at in slices(iter([pa.record_batch([texts], names=["text"])]), "text"):
-            _, _, _, hashes, first = _words(data, at)
-            for terms, counts in lookup.terms(hashes, first):
-                key = (terms.tobytes(), counts.tobytes())
-                if key not in cache:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    score, near = model.score(terms, counts)
-                    cache[key] = {"score": score, "evidence": [{"id": model.ids[i], "label": int(model.labels[i]), "cosine": s} for s, i in near[:3]]}
-                out.append(cache[key])
+            _, _, _, found, first = _words(data, at)
+            for terms, counts in lookup.terms(found, first):
+                near = index.nearest(terms, index.unit(terms, counts), K)
+                out.append({"at": [i for _, i in near], "cosine": [s for s, _ in near], "square": float((index.weights(terms, counts) ** 2).sum())})
+        return pa.array(out, _NEAR)
+
+    return run
+
+
+def _voter(model: Model):
+    """Scores from the nearest examples and the squares of the norms over known and over other words."""
+    rest = replace(model, hashes=None, index=None, words=None)
+
+    def run(nearest: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for r, other in zip(nearest.to_pylist(), others.to_pylist(), strict=True):
+            share = np.sqrt(r["square"] / (r["square"] + other)) if r["square"] > 0 else 0.0
+            near = [(float(s * share), i) for s, i in zip(r["cosine"], r["at"], strict=True)]
+            score = float(np.clip(np.interp(rest.vote(near), *rest.knots), 0, 1)) if r["square"] + other > 0 else rest.empty
+            out.append({"score": score, "evidence": [{"id": rest.ids[i], "label": int(rest.labels[i]), "cosine": s} for s, i in near[:3]]})
         return pa.array(out, _OUT)
 
     return run
@@ -264,9 +311,19 @@ def _scorer(model: Model):
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted (int) and evidence: the nearest examples with their labels and cosines."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    made = F.arrow_udf(_scorer(model), "struct<score:double,evidence:array<struct<id:string,label:int,cosine:double>>>")(F.col(text).cast("string"))
-    out = docs.withColumn("__tox", made).withColumns({"score": F.col("__tox.score"), "evidence": F.col("__tox.evidence")})
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("__tox")
+    near = F.arrow_udf(_searcher(model.hashes, model.index), "struct<at:array<int>,cosine:array<double>,square:double>")
+    out = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__near", near(F.col(text).cast("string")))
+    if model.words is not None:
+        texts = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col(text).cast("string").alias("text"))
+        strange = arrow_map(texts, _strangers(model.hashes), "row long, term long, count int").join(model.words, "term", "left")
+        weight = (1 + F.log("count")) * (F.log((model.n + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1)
+        squares = strange.groupBy("row").agg(F.sum(weight * weight).alias("__other")).withColumnRenamed("row", "__row")
+        out = out.join(squares, "__row", "left")
+    else:
+        out = out.withColumn("__other", F.lit(0.0))
+    made = F.arrow_udf(_voter(model), "struct<score:double,evidence:array<struct<id:string,label:int,cosine:double>>>")(F.col("__near"), F.coalesce("__other", F.lit(0.0)))
+    out = out.withColumn("__tox", made).withColumns({"score": F.col("__tox.score"), "evidence": F.col("__tox.evidence")})
+    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("__tox", "__row", "__near", "__other")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

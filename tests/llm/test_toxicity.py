@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from featurescore.llm.toxicity import Index, isotonic, op4_toxicity, score_toxicity, train
@@ -49,3 +51,33 @@ def test_edges(table):
     none = table([], "doc_id long, toxic int", 1)
     assert {r.score for r in score_toxicity(docs, train(docs, none)).collect()} == {0.0}
     assert score_toxicity(table([], "doc_id long, text string", 1), train(docs, labels)).count() == 0
+
+
+def test_search_is_over_all_words(table):
+    """Neighbours and cosines of whole texts, against brute force; words of a few examples count, and so do words of none."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join([f"w{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 26, (12, 2))] + ["idiot"] * (i % 4 == 0)) for i in range(160)]
+    docs = table(list(enumerate(texts)) + [(500, "qqx qqy qqx"), (501, texts[5] + " qqx zzq zzq")], "doc_id long, text string")
+    model = train(docs, table([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    assert len(model.hashes) == len({w for i in map(int, model.ids) for w in texts[i].split()})
+    all_texts = {i: t for i, t in enumerate(texts)} | {500: "qqx qqy qqx", 501: texts[5] + " qqx zzq zzq"}
+    held = {i: Counter(t.split()) for i, t in all_texts.items()}
+    df = Counter(w for c in held.values() for w in c)
+    some, toxic = [held[int(i)] for i in model.ids], model.labels > 0
+    n, n1 = len(some), int(toxic.sum())
+
+    def factor(w):
+        ab, a = sum(w in c for c in some), sum(w in c for c, y in zip(some, toxic, strict=True) if y)
+        return 1 + (n * (a * (n - n1 - ab + a) - (n1 - a) * (ab - a)) ** 2 / (n1 * (n - n1) * ab * (n - ab)) if 0 < ab < n else 0)
+
+    factors = {w: factor(w) for w in df}
+    vectors = {i: {w: (1 + np.log(x)) * (np.log((len(held) + 1) / (df[w] + 1)) + 1) * factors[w] for w, x in c.items()} for i, c in held.items()}
+    norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    out = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
+    assert len(out) == len(held)
+    for i, v in vectors.items():
+        want = sorted((sum(x * vectors[int(e)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e)] for e in model.ids), reverse=True)[:3]
+        got = [e.cosine for e in out[i].evidence]
+        assert np.allclose(got, [x for x in want if x > 0])
+        assert all(np.isclose(e.cosine, sum(x * vectors[int(e.id)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e.id)]) for e in out[i].evidence)
+    assert out[500].evidence == [] and 0 <= out[500].score <= 1
