@@ -5,7 +5,9 @@ typed placeholders, so that a question with new numbers or names has the same te
 hash-joined between benchmark and documents (an item with fewer words is one window of its own length). Windows of one
 document and item that lie at the same offset are one occurrence; it counts if its slots are consistent: equal values of
 the item were replaced by equal values everywhere. A document is contaminated by an item if consistent occurrences
-cover at least `COVERAGE` of the item's windows.
+cover at least `COVERAGE` of the item's windows. All this is done with two templates, and a document that either finds
+is reported (with the figures of the first if that finds it): the second reads a number with separators or decimals as
+one word, and takes every capitalised word that is no function word for a name, at the start of a sentence too.
 
 Windows with more placeholders than words say nothing and are left out, as long as the item has others. Hashes of benchmark
 windows go to every task only while they number `SENT` at most (8 bytes each); above it the same join is a shuffle.
@@ -38,11 +40,30 @@ UNITS = "mm cm m km in inch inches ft feet yd yards mile miles mg g kg lb lbs oz
 #: Kinds of slots, as numbers.
 NUMBER, UNIT, NAME = 1, 2, 3
 _UNIT_BYTES = {u.encode() for u in UNITS}
+#: Capitalised words that are no names in the second template.
+FUNCTION = "a an the this that these those it its he she they we you i his her their our your my if when while after before since because although though as at by for from in into of on to with without during over under until and or but so then thus also each every all both some any many most no not only there here how what which who whom whose where why is are was were be been has have had do does did can could will would shall should may might must let suppose assume given find calculate compute determine".split()
+_SEPARATOR = np.zeros(256, dtype=bool)
+_SEPARATOR[[*b".,"]] = True
 
 
-def template(data: np.ndarray, at: np.ndarray):
-    """Words of some texts, end to end: starts, ends, template hashes, slot kinds (0: a plain word), first word of each text."""
-    starts, ends, first = word_bounds(data, at, _INSIDE)
+def _function_hashes() -> np.ndarray:
+    data = np.frombuffer("".join(FUNCTION).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in FUNCTION])
+    return Rolling(data).of(np.append(0, ends[:-1]), ends)
+
+
+def template(data: np.ndarray, at: np.ndarray, loose: bool = False):
+    """Words of some texts, end to end: starts, ends, template hashes, slot kinds (0: a plain word), first word of each text.
+
+    loose is the second template: whole numbers, and names wherever they stand.
+    """
+    whole = data
+    if loose and len(data) > 2:
+        inner = np.zeros(len(data), dtype=bool)
+        inner[1:-1] = _SEPARATOR[data[1:-1]] & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
+        inner[at[:-1][at[:-1] < len(data)]] = inner[at[1:][at[1:] > 0] - 1] = False
+        whole = np.where(inner, np.uint8(48), data)
+    starts, ends, first = word_bounds(whole, at, _INSIDE)
     low = LOWER[data]
     # capitals of the Latin-1 block
     wide = np.zeros(len(data), dtype=bool)
@@ -63,7 +84,8 @@ def template(data: np.ndarray, at: np.ndarray):
     two = np.flatnonzero((head == 0xC3) & (ends - starts > 1))
     capital[two] = wide[starts[two] + 1]
     second = data[np.minimum(starts + np.where(head == 0xC3, 2, 1), len(data) - 1)]
-    kind[capital & ~opening & (ends - starts > 2) & ((second >= 97) & (second <= 122) | (second >= 0x80))] = NAME
+    name = ~np.isin(words, _function_hashes()) & (ends - starts > 1) if loose else ~opening & (ends - starts > 2)
+    kind[capital & name & ((second >= 97) & (second <= 122) | (second >= 0x80))] = NAME
     kind[number] = NUMBER
     after = np.flatnonzero(number[:-1] & ~number[1:]) + 1
     after = after[~opening[after]]
@@ -81,7 +103,7 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 _SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
 
 
-def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None):
+def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None, loose: bool = False):
     """Rows (row, hash, pos, size, n, slots) of the windows of texts, those in wanted only if it is given.
 
     Without sizes the texts are items: WINDOW, or the whole item if that is shorter.
@@ -93,7 +115,7 @@ def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None):
 
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            starts, ends, words, kind, first = template(data, at)
+            starts, ends, words, kind, first = template(data, at, loose)
             plain = np.concatenate([[0], np.cumsum(kind == 0)])
             ids, out = rows.column("row"), []
             lengths = np.diff(first)
@@ -124,13 +146,9 @@ def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None):
 _ROWS = "hash long, pos int, size int, n_plain int, slots array<struct<at:int,kind:int,value:string>>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, sent: int = SENT, keep_row: bool = False) -> DataFrame:
-    """One row per row of docs and item that contaminates it: (id, item_id, n_matched, n_windows, coverage, exact, slots).
-
-    exact says whether all slots have the item's own values; slots are the replacements found (kind, item value, value).
-    """
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("row")).agg(F.min(item_text).alias("text"))
-    windows = arrow_map(items, _window_rows(None, None), f"row {dict(items.dtypes)['row']}, {_ROWS}")
+def _hits(texts: DataFrame, items: DataFrame, coverage: float, sent: int, loose: bool) -> DataFrame:
+    """Rows (row, item, n_matched, n_windows, slots) by one template, for numbered texts and items (row, text)."""
+    windows = arrow_map(items, _window_rows(None, None, loose), f"row long, {_ROWS}")
     # an item made of placeholders only keeps its windows: its slots alone can tell
     useful = windows.groupBy("row").agg(F.max(F.col("n_plain") * 2 >= F.col("size")).alias("any"))
     windows = windows.join(useful, "row").where((F.col("n_plain") * 2 >= F.col("size")) | ~F.col("any")).drop("any")
@@ -139,22 +157,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]
     hashes = windows.select("hash").distinct()
     n = hashes.count()
-    ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     wanted = np.array([r[0] for r in hashes.collect()], dtype=np.int64).view(np.uint64) if n <= sent else None
     if wanted is not None:
         wanted.sort()
-    found = arrow_map(texts, _window_rows(sizes, wanted if n else None), f"row long, {_ROWS}") if n else texts.sparkSession.createDataFrame([], f"row long, {_ROWS}")
+    found = arrow_map(texts, _window_rows(sizes, wanted if n else None, loose), f"row long, {_ROWS}") if n else texts.sparkSession.createDataFrame([], f"row long, {_ROWS}")
     item = windows.select(F.col("row").alias("item"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = found.join(item, "hash").select("row", "item", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", F.expr("transform(slots, (s, i) -> struct(s.kind AS kind, item_slots[i].value AS item_value, s.value AS value))").alias("pairs"))
     # an occurrence is bounded by the item, whatever the length of the document
     seen = met.groupBy("row", "item", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     seen = seen.where(F.size("pairs") == F.size(F.expr("array_distinct(transform(pairs, p -> struct(p.kind, p.item_value)))")))
     per = seen.groupBy("row", "item").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    hits = per.join(counts.withColumnRenamed("row", "item"), "item").withColumn("n_matched", F.size("at").cast("long")).where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    hits = per.join(counts.withColumnRenamed("row", "item"), "item").withColumn("n_matched", F.size("at").cast("long"))
+    return hits.where(F.col("n_matched") >= coverage * F.col("n_windows")).select("row", "item", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "slots")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, sent: int = SENT, keep_row: bool = False) -> DataFrame:
+    """One row per row of docs and item that contaminates it: (id, item_id, n_matched, n_windows, coverage, exact, slots).
+
+    exact says whether all slots have the item's own values; slots are the replacements found (kind, item value, value).
+    """
+    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("__item")).agg(F.min(item_text).alias("text"))
+    items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "benchmark-items")
+    ids = docs.withColumn("__row", F.monotonically_increasing_id())
+    texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
+    both = None
+    for loose in (False, True):
+        some = _hits(texts, items.select("row", "text"), coverage, sent, loose).withColumn("loose", F.lit(loose))
+        both = some if both is None else both.union(some)
+    hits = both.groupBy("row", "item").agg(F.min_by(F.struct("n_matched", "n_windows", "slots"), "loose").alias("h")).select("row", "item", "h.*")
+    hits = hits.join(items.select(F.col("row").alias("item"), "__item"), "item")
     out = hits.join(ids.select("__row", F.col(id_col).alias("__id")), F.col("row") == F.col("__row"))
     return out.select(
-        *([F.col("row").alias("__row")] if keep_row else []), F.col("__id").alias(id_col), F.col("item").alias(item_id), "n_matched", F.col("n_windows").cast("long").alias("n_windows"),
+        *([F.col("row").alias("__row")] if keep_row else []), F.col("__id").alias(id_col), F.col("__item").alias(item_id), "n_matched", "n_windows",
         (F.col("n_matched") / F.col("n_windows")).alias("coverage"), (~F.exists("slots", lambda s: s["item_value"] != s["value"])).alias("exact"), "slots",
     )
 

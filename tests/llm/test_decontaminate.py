@@ -90,3 +90,14 @@ def test_query_equals_brute_force(spark):
         for i, q in items:
             if grams(words(q)) and grams(words(q)) <= grams(words(t or "")):
                 assert any(x[:2] == (d, i) for x in got)
+
+
+def test_opening_names_and_numbers_of_other_formats(table):
+    items = table([(1, "Natalia sold 48 clips in the spring. Natalia then sold 24 more clips in May. How many clips did she sell?"), (2, "Anna had 1,200 red apples in her cellar. Ben bought 3.5 kg of them for a party. What is left for her now?")], "item_id int, text string")
+    docs = table([
+        (1, "So. Weng sold 50 clips in the spring. Weng then sold 24 more clips in May. How many clips did she sell?"),
+        (2, "Zoe had 90 red apples in her cellar. Jo bought 12 kg of them for a party. What is left for her now?"),
+        (3, "Weng sold 50 clips in the spring. Hong then sold 24 more clips in May. How many clips did she sell?"),
+        (4, "The spring was cold. Nobody sold clips or apples in May, and what is left for her now is in the cellar."),
+    ], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.exact) for r in find_leaks(docs, items).collect()} == {(1, 1, False), (2, 2, False)}
