@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
 Every license family has hand-written forms (title, notice, grant, tag, address), with versions spelled out where they
-have them: a few hundred regular expressions, in an order of priority. A text is first tested for the keywords of all
+have them: a few hundred regular expressions, in an order of priority. Runs of white space, with the comment signs that
+open a line, are one space to the rules; spans are those of the text as it is. A text is first tested for the keywords of all
 rules in one pass of an Aho-Corasick automaton; only rules with a keyword in it run. Overlapping detections are resolved
 by interval containment: a detection that lies within one of a rule with the same or a higher priority goes.
 
@@ -15,6 +16,7 @@ replaced. Texts are read whole; the work of a text grows with its length and its
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
 
 import ahocorasick
@@ -142,11 +144,36 @@ def _keywords() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
 
 
 #: Words one of which any license text holds; the gate before the keywords of single rules.
-GATE = ("licen", "copyright", "(c)", "©", "all rights", "permission", "redistribution", "public domain", "as-is", "proprietary", "gpl", "cc0", "cc-", "cc by", "creativecommons", "creative commons", "apache.org", "gnu.org")
+GATE = ("licen", "copyright", "(c)", "©", "all rights", "permission", "redistribution", "public domain", "as-is", "proprietary", "gpl", "cc0", "cc 0", "cc-", "cc by", "creativecommons", "creative commons", "apache.org", "gnu.org")
+
+
+_GAP = re.compile(r"[^\S\n]*\n\s*(?:(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+|>+)\s*)*|\s\s+|[^\S ]")
+
+
+def _fold(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with its gaps as single spaces, the places after these, and what to add to a place from there on."""
+    parts, places, shifts, at, shift = [], [], [], 0, 0
+    for m in _GAP.finditer(text):
+        parts.append(text[at : m.start()])
+        at = m.end()
+        places.append(m.start() - shift + 1)
+        shift += m.end() - m.start() - 1
+        shifts.append(shift)
+    return " ".join([*parts, text[at:]]), places, shifts
 
 
 def detect(low: str) -> list[tuple[int, int, str, float]]:
     """Detections (start, end, label, weight) in a lower-cased text, by start, after suppression."""
+    folded, places, shifts = _fold(low)
+
+    def back(i: int) -> int:
+        k = bisect_right(places, i)
+        return i + shifts[k - 1] if k else i
+
+    return [(back(s), back(e - 1) + 1, label, weight) for s, e, label, weight in _detect(folded)]
+
+
+def _detect(low: str) -> list[tuple[int, int, str, float]]:
     if not any(g in low for g in GATE):
         return []
     automaton, by = _keywords()

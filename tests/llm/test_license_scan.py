@@ -40,3 +40,20 @@ def test_rules_and_suppression():
     assert label("SPDX-License-Identifier: MIT") == ["mit"]
     assert label("Copyright 2020 Someone. All rights reserved.") == ["copyright", "proprietary"]
     assert label("they had a license to act and the accent of cc") == []
+
+
+def test_wrapped_notices():
+    notices = {
+        "bsd": "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted",
+        "isc": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee",
+        "zlib": "  This software is provided 'as-is', without any express or implied\n\t  warranty.",
+        "gpl": "// under the terms of the GNU General\r\n// Public License",
+        "cc0": "under cc 0",
+        "proprietary": "All\nrights\n  reserved",
+    }
+    for label, text in notices.items():
+        found = detect(text.lower())
+        assert label in [x[2] for x in found], label
+        assert all(text[s:e].strip() == text[s:e] for s, e, _, _ in found)
+    text = "x\n\n  y  the mit\n * license, z"
+    assert [(text[s:e], x) for s, e, x, _ in detect(text)] == [("the mit\n * license", "mit")]
