@@ -13,7 +13,7 @@ Windows with more placeholders than words say nothing and are left out, as long
 windows go to every task only while they number `SENT` at most (8 bytes each); above it the same join is a shuffle.
 
 Defined results: null or empty documents and items match nothing; repeated rows of documents are reported once for each
-row, repeated items (by id) as one item; an empty benchmark or table gives no rows.
+row, repeated items (by id) as one item, items without an id by their text; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     exact says whether all slots have the item's own values; slots are the replacements found (kind, item value, value).
     """
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("__item")).agg(F.min(item_text).alias("text"))
+    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("__item"), F.when(F.col(item_id).isNull(), F.col(item_text)).alias("own")).agg(F.min(item_text).alias("text")).drop("own")
     items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "benchmark-items")
     ids = docs.withColumn("__row", F.monotonically_increasing_id())
     texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))

@@ -101,3 +101,10 @@ def test_opening_names_and_numbers_of_other_formats(table):
         (4, "The spring was cold. Nobody sold clips or apples in May, and what is left for her now is in the cellar."),
     ], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.exact) for r in find_leaks(docs, items).collect()} == {(1, 1, False), (2, 2, False)}
+
+
+def test_items_without_id(table):
+    items = table([(1, "one baker sells bread to the mill"), (None, "which river runs past the old mill"), (None, "who paid for the new bridge over it")], "item_id int, text string")
+    docs = table([(1, "Tell me which river runs past the old mill or who paid for the new bridge over it"), (2, "None of it")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()] == [(1, None), (1, None)]
+    assert [r.doc_id for r in drop_leaks(docs, items).collect()] == [2]
