@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, so that later stages do not repeat its work."""
+    """Writes df as Parquet in the shared folder and reads it again, so that later stages do not repeat its work.
+
+    The shuffle files of the write go as soon as it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files go once the driver has collected what refers to them; a finished step needs none.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the table of materialise() that df is, once no later step reads it."""
+    """Empties the table of materialise() that df is, once no later step reads it."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.range(0).write.mode("overwrite").parquet(folder)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it the session's setting has that value; after it the one it had before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -176,7 +187,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Connected components of the links (a, b) as rows (node, root), root being the least node of the component.
 
     Large-star and small-star rounds: every round is a grouped minimum and a join, so that no component is ever held by
-    one task, and the number of rounds grows with the logarithm of the longest chain.
+    one task, and the number of rounds grows with the logarithm of the longest chain. A round's table goes after the next.
     """
     links = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-links")
     seen = None
@@ -186,7 +197,9 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = materialise(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-links")
+        new = materialise(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-links")
+        discard(links)
+        links = new
         now = links.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         if now == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

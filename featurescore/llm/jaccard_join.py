@@ -6,15 +6,17 @@ shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 
 1. Equal sets are one class. Classes with equal prefixes and equal size are one group; only groups are joined.
 2. Prefix shingles are dealt out by shingle, sorted and streamed; those of a single group are dropped on the way.
-3. Groups are expanded to classes. A class has a sign: for each slot of a fixed number, whether an odd number of its
-   shingles fall there. Two sets differ in as many shingles as their signs differ in slots, at least, so pairs whose
-   signs differ too much are no links. Every prefix shingle names two of its classes, picked by hash; each class is
-   verified, on whole sets, against those with the nearest signs (links instead of all pairs of a group). Sets are made
-   anew for the classes that are in pairs only.
+3. Groups are expanded to classes. A class has two signs: for each slot of a fixed number, whether an odd number of its
+   shingles fall there, and for slots as many as an eighth of its shingles or more, how many do. Two sets differ in as
+   many shingles as their signs differ in all slots, at least, so pairs whose signs differ too much are no links; the
+   first sign prunes pairs as they are made, the second those left. Every prefix shingle names two of its classes,
+   picked by hash; each class is verified, on whole sets, against those with the nearest signs (links instead of all
+   pairs of a group). Sets are made anew for the classes that are in pairs only.
 4. Where a shingle still joins different components, all pairs between them that pass the size, position and sign
    filters are verified: those of the shingle's largest component with the rest, and of the rest. So no link between two
    components is lost, and pairs inside one component are never made.
 
+What a shingle or a class gathers is written before it is joined with, so that a join that one key fills can be split.
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than
 a shingle has its whole word sequence as its one shingle; repeated rows and ids are rows of their own, with equal texts
 linked; rows with a null id take part, and a component has the least of its ids that are not null; empty tables give no
@@ -39,7 +41,9 @@ THRESHOLD = 80
 #: Counters of the frequency sketch; the sketch is what is sent to every task, so its size is fixed.
 SLOTS = 1 << 16
 #: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
-PARTS = 8
+PARTS = 4
+#: Rows of which the numbers are sent to every task at most (8 bytes each); more are joined.
+SENT_ROWS = 1 << 20
 #: Words of 64 slots of a sign.
 SIGN = [f"s{k}" for k in range(8)]
 _BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
@@ -76,6 +80,37 @@ def _signs(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), len(SIGN))
 
 
+def _counts(sets: list[np.ndarray]) -> pa.Array:
+    """For each set a byte for each slot of its own number of them, a power of two: how many shingles fall there, 255 at most."""
+    slots = np.array([64 << max(0, (len(s) - 1).bit_length() - 9) for s in sets], dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(slots)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    slot = ((np.concatenate(sets) >> np.uint64(20)) & (slots[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at[owner] + slot, minlength=at[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(counts)])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets differ in at least, by their counts; the longer ones are folded to the slots of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.minimum(x.reshape(-1, len(y)).sum(axis=0, dtype=np.int64), 255)
+    return int(np.abs(x - y).sum())
+
+
+def _alike(threshold: int):
+    """Of pairs (a, b, na, nb, x, y) with sizes and counts of both those that may be links."""
+
+    def run(batches):
+        for batch in batches:
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            x, y = (batch.column(c).to_pylist() for c in "xy")
+            apart = np.array([_apart(np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)) for u, v in zip(x, y, strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + threshold) * apart <= (100 - threshold) * both))
+
+    return run
+
+
 def _prefixes(words: int, threshold: int, levels: np.ndarray):
     def run(batches):
         for rows, data, at in slices(batches, "text"):
@@ -92,7 +127,7 @@ def _prefixes(words: int, threshold: int, levels: np.ndarray):
                 group = int.from_bytes(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest()[:8], "little", signed=True)
                 out.append((row, n, hashlib.md5(s.tobytes()).digest(), group, prefix.view(np.int64)))
             cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), *[pa.array(signs[:, k].copy()) for k in range(len(SIGN))]], names=["row", "n", "class", "grp", "prefix", *SIGN])
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), _counts(sets), *[pa.array(signs[:, k].copy()) for k in range(len(SIGN))]], names=["row", "n", "class", "grp", "prefix", "counts", *SIGN])
 
     return run
 
@@ -122,7 +157,7 @@ def _sets(words: int):
             sets = shingle_sets(data, at, words)
             cuts = [[*np.searchsorted(s, _BOUNDS), len(s)] for s in sets]
             parts = [pa.array([s[c[k] : c[k + 1]].view(np.int64) for s, c in zip(sets, cuts, strict=True)], pa.list_(pa.int64())) for k in range(PARTS)]
-            yield pa.record_batch([rows.column("class"), *parts], names=["class", *[f"part{k}" for k in range(PARTS)]])
+            yield pa.record_batch([rows.column("row"), *parts], names=["row", *[f"part{k}" for k in range(PARTS)]])
 
     return run
 
@@ -146,36 +181,49 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     ids = docs.withColumn("__row", F.monotonically_increasing_id())
     texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     levels = _levels(texts.select("text"), words)
-    sets = materialise(arrow_map(texts, _prefixes(words, threshold, levels), "row long, n long, class binary, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in SIGN)), "jaccard-prefixes")
+    sets = materialise(arrow_map(texts, _prefixes(words, threshold, levels), "row long, n long, class binary, grp long, prefix array<long>, counts binary, " + ", ".join(f"{c} long" for c in SIGN)), "jaccard-prefixes")
 
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGN])
-    classes = materialise(classes, "jaccard-classes")
+    # from here on the least row of a class stands for it
+    heads = materialise(sets.where("n > 0").groupBy("class").agg(F.min("row").alias("head"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGN]), "jaccard-classes")
     groups = sets.where("n > 0").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     tokens = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "grp long, n long, pos int, token long"), "jaccard-postings")
 
-    members = classes.select("grp", "class", *SIGN)
-    crowded = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    whole = classes.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "class", "n", F.lit(0).alias("pos"), *SIGN)
-    posts = materialise(postings.join(members, "grp").select("token", "class", "n", "pos", *SIGN).union(whole), "jaccard-posts")
-    rows = materialise(sets.select("row", "n", "class"), "jaccard-numbers")
-    discard(sets)
+    members = heads.select("grp", "head", *SIGN)
+    crowded = heads.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
+    whole = heads.join(crowded, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "head", "n", F.lit(0).alias("pos"), *SIGN)
+    posts = materialise(postings.join(members, "grp").select("token", "head", "n", "pos", *SIGN).union(whole), "jaccard-posts")
     discard(postings)
+    rows = materialise(sets.join(heads.select("class", "head"), "class", "left").select("row", "n", "head", F.when(F.col("row") == F.col("head"), F.col("counts")).alias("counts")), "jaccard-numbers")
+    discard(sets)
+    discard(heads)
+
+    def needed(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of df that are in pairs."""
+        need = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        return df.join(F.broadcast(need) if 2 * pairs.count() <= SENT_ROWS else need, "row", "left_semi")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{name}-pairs")
-        need = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", "row")
-        items = materialise(arrow_map(texts.join(need, "row"), _sets(words), "class binary, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), f"{name}-sets")
+        signs = needed(rows.where("row = head"), pairs)
+        side = lambda c, n, out: signs.select(F.col("row").alias(c), F.col("n").alias(n), F.col("counts").alias(out))
+        met = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a").select("a", "b", "na", "nb", "x", "y")
+        near = materialise(arrow_map(met, _alike(threshold), "a long, b long"), f"{name}-near")
+        discard(pairs)
+        items = materialise(arrow_map(needed(texts, near), _sets(words), "row long, " + ", ".join(f"part{k} array<long>" for k in range(PARTS))), f"{name}-sets")
         counts = []
         for k in range(PARTS):
-            side = lambda c, out: items.select(F.col("class").alias(c), F.col(f"part{k}").alias(out))  # noqa: B023, E731
-            met = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-            counts.append(materialise(arrow_map(met, _common, "a binary, b binary, both long"), f"{name}-{k}"))
+            part = lambda c, out: items.select(F.col("row").alias(c), F.col(f"part{k}").alias(out))  # noqa: B023, E731
+            met = near.join(part("b", "y"), "b").join(part("a", "x"), "a").select("a", "b", "x", "y")
+            counts.append(materialise(arrow_map(met, _common, "a long, b long, both long"), f"{name}-{k}"))
         discard(items)
         total = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("both").alias("both"))
-        size = classes.select("class", "n")
-        total = total.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        return materialise(total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), name)
+        size = needed(rows, near).select("row", "n")
+        total = total.join(size.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b")
+        links = materialise(total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), name)
+        for table in (near, *counts):
+            discard(table)
+        return links
 
     col = lambda side, name: F.col(f"{side}.{name}")
     apart = reduce(F.Column.__add__, [F.bit_count(col("one", c).bitwiseXOR(col("two", c))) for c in SIGN])
@@ -185,32 +233,33 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sizes = 100 * F.least("one.n", "two.n") >= threshold * F.greatest("one.n", "two.n")
     likely = sizes & early("one") & early("two") & ((100 + threshold) * apart <= (100 - threshold) * both)
 
-    one = F.struct(F.xxhash64("class", "token"), "class", "n", "pos", *SIGN)
-    named = posts.groupBy("token").agg(F.max(one).alias("high"), F.min(one).alias("low")).where("high <> low")
-    named = named.select("token", F.posexplode(F.array("high", "low")).alias("pick", "two"))
-    met = posts.alias("one").join(named, "token").where(likely & (F.col("one.class") != F.col("two.class")))
-    best = met.groupBy(F.col("one.class").alias("class"), "pick").agg(F.min(F.struct(apart.alias("apart"), F.col("two.class").alias("end"))).alias("best"))
-    links = verified(best.select(F.least("class", "best.end").alias("a"), F.greatest("class", "best.end").alias("b")).distinct(), "jaccard-first")
+    one = F.struct(F.xxhash64("head", "token"), "head", "n", "pos", *SIGN)
+    named = materialise(posts.groupBy("token").agg(F.max(one).alias("high"), F.min(one).alias("low")).where("high <> low"), "jaccard-named")
+    picks = named.select("token", F.posexplode(F.array("high", "low")).alias("pick", "two"))
+    met = posts.alias("one").join(picks, "token").where(likely & (F.col("one.head") != F.col("two.head")))
+    best = met.groupBy(F.col("one.head").alias("head"), "pick").agg(F.min(F.struct(apart.alias("apart"), F.col("two.head").alias("end"))).alias("best"))
+    links = verified(best.select(F.least("head", "best.end").alias("a"), F.greatest("head", "best.end").alias("b")).distinct(), "jaccard-first")
+    discard(named)
     part = components(links, "a", "b", "jaccard-first")
-    placed = posts.join(part.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = posts.join(part.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("root", F.coalesce("root", "head"))
 
     shares = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
-    largest = shares.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    open_posts = materialise(placed.join(largest.select("token", F.col("most.root").alias("main")), "token"), "jaccard-open")
+    largest = materialise(shares.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("most.root").alias("main")), "jaccard-largest")
+    open_posts = materialise(placed.join(largest, "token"), "jaccard-open")
     discard(posts)
+    discard(largest)
     one, two = open_posts.where("root <> main").alias("one"), open_posts.alias("two")
     apart_roots = (F.col("one.root") < F.col("two.root")) | (F.col("two.root") == F.col("two.main"))
     meet = one.join(two, (F.col("one.token") == F.col("two.token")) & apart_roots & likely)
-    a, b = F.least("one.class", "two.class").alias("a"), F.greatest("one.class", "two.class").alias("b")
-    rest = F.min(F.least(col("one", "n") - col("one", "pos"), col("two", "n") - col("two", "pos"))) - 1
-    pairs = meet.groupBy(a, b).agg((F.count("*") + rest).alias("most"), F.first(both).alias("both"))
-    more = verified(pairs.where((100 + threshold) * F.col("most") >= threshold * F.col("both")).select("a", "b"), "jaccard-cross")
+    more = verified(meet.select(F.least("one.head", "two.head").alias("a"), F.greatest("one.head", "two.head").alias("b")).distinct(), "jaccard-cross")
+    discard(open_posts)
     final = components(links.union(more), "a", "b", "jaccard-all")
 
-    keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(rows, "row")
-    keyed = keyed.join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(rows.select("row", "n", "head"), "row")
+    keyed = keyed.join(final.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("root", F.coalesce("root", "head"))
     keyed = materialise(keyed.select("__id", "n", "root"), "jaccard-rows")
-    least = keyed.where("root is not null").groupBy("root").agg(F.min("__id").alias("component_id"))
+    discard(rows)
+    least = materialise(keyed.where("root is not null").groupBy("root").agg(F.min("__id").alias("component_id")), "jaccard-least")
     out = keyed.join(least, "root", "left")
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
 
