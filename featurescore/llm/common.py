@@ -54,6 +54,20 @@ def discard(df: DataFrame) -> None:
         spark.range(0).write.mode("overwrite").parquet(folder)
 
 
+#: Rows of which the numbers are sent to every task at most (8 bytes each); more are joined.
+SENT_ROWS = 1 << 20
+
+
+def only(df: DataFrame, need: DataFrame, key: str = "row", at_most: int | None = None) -> DataFrame:
+    """The rows of df whose key, a number, is in need, a stored table; at_most is how many rows need has, if known.
+
+    Few numbers are sent to every task, so that the other rows of df, with their texts, are not shuffled.
+    """
+    n = need.count() if at_most is None else at_most
+    keys = need.select(key).distinct()
+    return df.join(F.broadcast(keys) if n <= SENT_ROWS else keys, key, "left_semi")
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """Within it the session's setting has that value; after it the one it had before."""
@@ -65,6 +79,15 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Rows of an Arrow batch for tables of a few numbers.
+NARROW_ROWS = 10_000
+
+
+def narrow(spark: SparkSession):
+    """Within it steps that are run have Arrow batches for tables of a few numbers, without texts."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(NARROW_ROWS))
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches sized for long texts."""
     spark = df.sparkSession
@@ -187,18 +210,20 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Connected components of the links (a, b) as rows (node, root), root being the least node of the component.
 
     Large-star and small-star rounds: every round is a grouped minimum and a join, so that no component is ever held by
-    one task, and the number of rounds grows with the logarithm of the longest chain. A round's table goes after the next.
+    one task, and the number of rounds grows with the logarithm of the longest chain. A round's tables go after the next;
+    the least neighbours are written before they are joined with, so that the links of one node can be split among tasks.
     """
     links = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-links")
     seen = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = materialise(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-links")
         discard(links)
+        discard(low)
         links = new
         now = links.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         if now == seen:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, discard, materialise, shingle_sets, slices
+from .common import arrow_map, components, discard, materialise, narrow, only, shingle_sets, slices
 
 WORDS = 5
 #: Least similarity, in hundredths.
@@ -42,8 +42,6 @@ THRESHOLD = 80
 SLOTS = 1 << 16
 #: Sets are compared in this many parts of the hash space, one after the other, so that only a part is shuffled at a time.
 PARTS = 4
-#: Rows of which the numbers are sent to every task at most (8 bytes each); more are joined.
-SENT_ROWS = 1 << 20
 #: Words of 64 slots of a sign.
 SIGN = [f"s{k}" for k in range(8)]
 _BOUNDS = [np.uint64(k * 2**64 // PARTS) for k in range(PARTS)]
@@ -187,7 +185,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     heads = materialise(sets.where("n > 0").groupBy("class").agg(F.min("row").alias("head"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGN]), "jaccard-classes")
     groups = sets.where("n > 0").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     tokens = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "grp long, n long, pos int, token long"), "jaccard-postings")
+    with narrow(docs.sparkSession):
+        postings = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "grp long, n long, pos int, token long"), "jaccard-postings")
 
     members = heads.select("grp", "head", *SIGN)
     crowded = heads.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
@@ -200,8 +199,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def needed(df: DataFrame, pairs: DataFrame) -> DataFrame:
         """The rows of df that are in pairs."""
-        need = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        return df.join(F.broadcast(need) if 2 * pairs.count() <= SENT_ROWS else need, "row", "left_semi")
+        return only(df, pairs.select(F.col("a").alias("row")).union(pairs.select("b")), at_most=2 * pairs.count())
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{name}-pairs")

@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings, by sorting of covered suffix samples.
+"""Removal of long repeated byte strings, by sorting names of covered suffix samples and comparing neighbours.
 
 A string of `length` bytes is a repeat if it also starts somewhere else, in the same text or in another. Every byte that
 a repeat covers is removed. The steps are those of a difference-cover suffix sort, cut off at `length` bytes:
@@ -6,31 +6,40 @@ a repeat covers is removed. The steps are those of a difference-cover suffix sor
 * Sample. A difference cover makes any two equal strings hold a sampled position at the same offset. Here the cover is
   chosen by content: a position is sampled where the hash of its next 8 bytes is least among its neighbours. Equal
   strings then hold the same samples, with 1 byte in 129 sampled instead of 2 in 3.
-* Name. A sampled suffix stands for the strings around it in cells of `BLOCK` offsets; the name of a cell is a triple:
-  its core (bytes that all strings of the cell share), its offset, and its hull (bytes that any of them holds).
-* Group equal names. A core that occurs once has no repeat. A hull that occurs twice makes all strings of its cell
-  repeats.
-* Merge the remaining suffixes: only in cells whose core repeats and whose hull does not, each single string is named and
-  compared with those of the other hulls, of which one stands for all its copies.
+* Name. A sampled suffix stands for the strings around it, in cells of a block of offsets. The name of a cell is a triple:
+  its offset and its core (bytes that all strings of the cell share), both in one hash, and its hull (bytes that any of
+  its strings holds).
+* Sort the names over all texts and compare neighbours. A cell with the name of a neighbour is a repeat throughout. One
+  whose core no neighbour has holds no repeat. Where neighbours share the core only, the cells of each hull are undecided;
+  one or two stand for the copies of a hull.
+* Recurse on the undecided with smaller blocks; in the last round a block is one string, so that nothing is undecided.
+
+The sort deals rows out by ranges of (name, row, offset), so that a name which fills a third of the table is spread over
+many tasks; only the first and last rows of the ranges are compared apart, two of each.
 
 The table is read more than once, so docs must be a stored table (or a plan that gives the same rows in the same order).
 Names are pairs of independent 64-bit hashes. Defined results: a null or empty text has 0 bytes and nothing removed;
-repeated rows are separate texts, so they remove each other; strings never cross texts; an empty table gives no rows.
+repeated rows are separate texts, so they remove each other (ties: all go, none is preferred); strings never cross texts;
+an empty table gives no rows; a text of any length is held by one task, with about 100 times its bytes of numpy arrays at
+the most where it is longer than a slice (SLICE_BYTES); extra columns pass through, those named like results are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, materialise, mix, slices
+from .common import Rolling, arrow_map, discard, materialise, mix, narrow, only, slices
 
 LENGTH = 400
-BLOCK = 64
+#: Offsets of a cell in each round.
+BLOCKS = (256, 16, 1)
 GRAM = 8
 #: Neighbourhoods of a sampled position on either side: the first that has a sample inside a string decides.
 REACH = (64, 16)
@@ -81,12 +90,10 @@ def _own(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, reach: int, length: int
     return k, first, last, ends[:-1][gap] + 1, starts[1:][gap] - 1
 
 
-def _cells(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of some texts, end to end: the text of each, and (first start, last start, core from, core to, hull from, hull to, tag)."""
-    lo, hi = at[:-1], at[1:] - length
-    lo, hi = lo[hi >= lo], hi[hi >= lo]
+def _cells(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, block: int) -> np.ndarray:
+    """Cells of the string starts lo..hi of each range: (first start, last start, owner, core from, core to, tag)."""
     if not len(lo):
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 7), dtype=np.int64)
+        return np.zeros((0, 6), dtype=np.int64)
     n = len(data)
     word = np.zeros(n - GRAM + 1, dtype=np.uint64)
     for k in range(GRAM):
@@ -97,56 +104,108 @@ def _cells(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
         if not len(lo):
             break
         owner, first, last, lo, hi = _own(lo, hi, _samples(word, reach), reach, length)
-        text = np.searchsorted(at, first, side="right") - 1
-        near, far = (owner - last) // BLOCK, (owner - first) // BLOCK
+        near, far = (owner - last) // block, (owner - first) // block
         for k in range(int((far - near).max(initial=-1)) + 1):
             ok = near + k <= far
             p, m = owner[ok], (near + k)[ok]
-            start, end = p - BLOCK * m - BLOCK + 1, p - BLOCK * m
-            hull = np.maximum(start, at[text[ok]]), np.minimum(end + length, at[text[ok] + 1])
-            out.append(np.stack([np.maximum(start, first[ok]), np.minimum(end, last[ok]), end, start + length, *hull, 1 + m * len(REACH) + level], axis=1))
+            # every string of the cell starts at `to` or before and from `start` on, and holds the neighbourhood of its sample
+            start, to = np.maximum(p - block * m - block + 1, p + reach + GRAM - length), np.minimum(p - block * m, p - reach)
+            out.append(np.stack([np.maximum(start, first[ok]), np.minimum(to, last[ok]), p, to, start + length, 1 + m * len(REACH) + level], axis=1))
     if len(lo):
         # strings without a sample inside: each is a cell of its own
         size = hi - lo + 1
         i = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out.append(np.stack([i, i, i, i + length, i, i + length, np.zeros_like(i)], axis=1))
-    cells = np.concatenate(out)
-    return np.searchsorted(at, cells[:, 0], side="right") - 1, cells
+        out.append(np.stack([i, i, i, i, i + length, np.zeros_like(i)], axis=1))
+    return np.concatenate(out)
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _cell_rows(length: int, cores_only: bool):
+def _cell_rows(length: int, block: int, whole: bool):
+    """Names of the cells of whole texts, or of the cells that a round before has left open in them."""
+
     def run(batches):
         for rows, data, at in slices(batches, "text"):
-            text, c = _cells(data, at, length)
+            if whole:
+                lo, hi = at[:-1], at[1:] - length
+                lo, hi = lo[hi >= lo], hi[hi >= lo]
+                alone = np.ones(len(lo), dtype=bool)
+            else:
+                cells = rows.column("cells")
+                flat, own = cells.flatten(), np.repeat(at[:-1], cells.value_lengths().to_numpy())
+                lo, hi, alone = flat.field("first").to_numpy() + own, flat.field("last").to_numpy() + own, flat.field("alone").to_numpy(zero_copy_only=False)
+                order = np.argsort(lo, kind="stable")
+                lo, hi, alone = lo[order], hi[order], alone[order]
+            c = _cells(data, lo, hi, length, block)
             if not len(c):
                 continue
-            core = _i64(mix(Rolling(data).of(c[:, 2], c[:, 3]) + c[:, 6].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-            if cores_only:
-                yield pa.record_batch([core], names=["core"])
-                continue
-            # where a hull was clipped at an end of the text is part of its name
-            clip = (c[:, 4] - (c[:, 2] - BLOCK + 1) + np.int64(1 << 20) * (c[:, 5] - c[:, 2])).astype(np.uint64)
-            hull = mix(Rolling(data, 1).of(c[:, 4], c[:, 5]) + mix(clip))
-            yield pa.record_batch([core, _i64(hull), rows.column("row").take(pa.array(text)), pa.array((c[:, 0] - at[text]).astype(np.int32)), pa.array((c[:, 1] - at[text]).astype(np.int32))], names=["core", "hull", "row", "first", "last"])
+            text = np.searchsorted(at, c[:, 0], side="right") - 1
+            core = mix(Rolling(data).of(c[:, 3], c[:, 4]) + c[:, 5].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+            # where the strings of a cell start, seen from its sample, is part of its name
+            ends = ((c[:, 2] - c[:, 0]) + np.int64(1 << 20) * (c[:, 2] - c[:, 1])).astype(np.uint64)
+            hull = mix(Rolling(data, 1).of(c[:, 0], c[:, 1] + length) + mix(ends))
+            alone = alone[np.searchsorted(lo, c[:, 0], side="right") - 1]
+            # names that occur twice here are repeats already; one cell stands for them where names of all texts are compared
+            order = np.lexsort((c[:, 0], hull, core))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (core[order[1:]] != core[order[:-1]]) | (hull[order[1:]] != hull[order[:-1]])
+            one = np.append(new[1:], True) & new
+            stands, found = order[new], np.sort(order[~np.repeat(one[new], np.diff(np.append(np.flatnonzero(new), len(new)))) & alone[order]])
+            alone = alone & np.isin(np.arange(len(alone)), order[one])
+            yield _rows_of(core[stands], hull[stands], c[stands], text[stands], at, alone[stands], rows, False)
+            if len(found):
+                found = found[np.argsort(c[found, 0], kind="stable")]
+                first, last, of = c[found, 0], c[found, 1], text[found]
+                apart = np.ones(len(found), dtype=bool)
+                apart[1:] = (first[1:] != last[:-1] + 1) | (of[1:] != of[:-1])
+                runs = np.stack([first[apart], last[np.append(np.flatnonzero(apart)[1:], len(found)) - 1]], axis=1)
+                none = np.zeros(len(runs), dtype=np.uint64)
+                yield _rows_of(none, none, runs, of[apart], at, np.ones(len(runs), dtype=bool), rows, True)
 
     return run
 
 
-def _string_rows(length: int):
-    def run(batches):
-        for rows, data, at in slices(batches, "text"):
-            rolls = Rolling(data), Rolling(data, 1)
-            for i, (row, cells) in enumerate(zip(rows.column("row").to_pylist(), rows.column("cells").to_pylist(), strict=True)):
-                starts = np.concatenate([np.arange(c["first"], c["last"] + 1) for c in cells])
-                alone = np.concatenate([np.full(c["last"] - c["first"] + 1, c["alone"]) for c in cells])
-                s = starts + at[i]
-                yield pa.record_batch([_i64(r.of(s, s + length)) for r in rolls] + [pa.array(np.full(len(s), row)), pa.array(starts.astype(np.int32)), pa.array(alone)], names=["a", "b", "row", "start", "alone"])
+def _rows_of(core, hull, cells, text, at, alone, rows: pa.RecordBatch, found: bool) -> pa.RecordBatch:
+    places = [pa.array((cells[:, k] - at[text]).astype(np.int32)) for k in (0, 1)]
+    return pa.record_batch([_i64(core), _i64(hull), rows.column("row").take(pa.array(text)), *places, pa.array(alone), pa.array(np.full(len(text), found))], names=["core", "hull", "row", "first", "last", "alone", "found"])
 
-    return run
+
+def _neighbours(batches):
+    """Of sorted names those that repeat a neighbour or share a core with one of another hull; the ends of the range as they are.
+
+    Holds one row back. place is 0 for the first row of the range, 1 for the last, 2 for one that is both.
+    """
+    part, held, before = TaskContext.get().partitionId(), None, None
+
+    def marked(rows: pa.RecordBatch, after: tuple | None) -> pa.RecordBatch:
+        core, hull = rows.column("core").to_numpy(), rows.column("hull").to_numpy()
+        whole, open_ = np.zeros(len(core), dtype=bool), np.zeros(len(core), dtype=bool)
+        for mine, other in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+            same = core[mine] == core[other]
+            whole[mine] |= same & (hull[mine] == hull[other])
+            open_[mine] |= same & (hull[mine] != hull[other])
+        place = np.full(len(core), -1, dtype=np.int32)
+        for k, other in ((0, before), (-1, after)):
+            if other is None:
+                place[k] = 2 if place[k] >= 0 else -k
+            elif other[0] == core[k]:
+                (whole if other[1] == hull[k] else open_)[k] = True
+        alone = rows.column("alone").to_numpy(zero_copy_only=False)
+        keep = (whole & alone) | open_ | (place >= 0)
+        columns = [rows.column(c) for c in ("row", "first", "last", "alone", "core", "hull")] + [pa.array(x) for x in (whole, open_, np.full(len(core), part, dtype=np.int32), place)]
+        return pa.record_batch(columns, names=["row", "first", "last", "alone", "core", "hull", "whole", "open", "part", "place"]).filter(pa.array(keep))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield marked(held, tuple(batch.column(c)[0].as_py() for c in ("core", "hull")))
+            before = tuple(held.column(c)[-1].as_py() for c in ("core", "hull"))
+        held = batch
+    if held is not None:
+        yield marked(held, None)
 
 
 def _cut(length: int, keep_text: bool):
@@ -179,21 +238,39 @@ def _cut(length: int, keep_text: bool):
     return run
 
 
+def _compared(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (row, first, last, alone) that are repeats throughout (whole), or undecided (open), of a stored table of names.
+
+    Gives also the table that they are read from.
+    """
+    order = ["core", "hull", "row", "first"]
+    with narrow(cells.sparkSession):
+        rows = materialise(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "row long, first int, last int, alone boolean, core long, hull long, whole boolean, open boolean, part int, place int"), "repeat-neighbours")
+    ends = rows.where("place >= 0")
+    line = Window.orderBy("part", "place")  # two rows for a range at most
+    for step, places in ((F.lag, (0, 2)), (F.lead, (1, 2))):
+        other = lambda c: step(c).over(line)  # noqa: B023, E731
+        ends = ends.withColumns({"__core": F.col("place").isin(*places) & (F.col("core") == other("core")), "__hull": F.col("hull") == other("hull")})
+        ends = ends.withColumns({"whole": F.col("whole") | F.coalesce(F.col("__core") & F.col("__hull"), F.lit(False)), "open": F.col("open") | F.coalesce(F.col("__core") & ~F.col("__hull"), F.lit(False))})
+    names = ["row", "first", "last", "alone", "whole", "open"]
+    return rows.where("place < 0").select(*names).union(ends.select(*names)), rows
+
+
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Runs of starts of repeated strings: (row, first, last), for texts (row long, text string)."""
-    cells = arrow_map(texts, _cell_rows(length, False), "core long, hull long, row long, first int, last int")
-    # Two grouped counts, both combined before the shuffle; only cells with a core that occurs again go on.
-    often = arrow_map(texts, _cell_rows(length, True), "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    again = materialise(cells.join(often, "core", "left_semi"), "repeat-cells")
-    hulls = again.groupBy("core", "hull").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("stands"))
-    kinds = hulls.groupBy("core").agg(F.count("*").alias("hulls"))
-    named = materialise(again.join(hulls, ["core", "hull"]).join(kinds, "core").select("row", "first", "last", (F.col("copies") == 1).alias("alone"), ((F.col("hulls") > 1) & (F.col("stands") == F.struct("row", "first"))).alias("compare")), "repeat-names")
-    wholly = named.where("not alone").select("row", "first", "last")
-    open_cells = named.where("compare").groupBy("row").agg(F.collect_list(F.struct("first", "last", "alone")).alias("cells"))
-    strings = materialise(arrow_map(texts.join(open_cells, "row"), _string_rows(length), "a long, b long, row long, start int, alone boolean"), "repeat-strings")
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    single = strings.where("alone").join(twice, ["a", "b"], "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-    return wholly.union(single)
+    runs, source = [], texts
+    for block in BLOCKS:
+        cells = materialise(arrow_map(source, _cell_rows(length, block, source is texts), "core long, hull long, row long, first int, last int, alone boolean, found boolean"), "repeat-cells")
+        marked, table = _compared(cells.where("not found").drop("found"))
+        places = ["row", "first", "last"]
+        runs.append(materialise(cells.where("found").select(*places).union(marked.where("whole and alone").select(*places)), "repeat-runs"))
+        if block == 1:
+            break
+        left = materialise(marked.where("open").groupBy("row").agg(F.collect_list(F.struct("first", "last", (F.col("alone") & ~F.col("whole")).alias("alone"))).alias("cells")), "repeat-open")
+        discard(cells)
+        discard(table)
+        source = only(texts, left).join(left, "row")
+    return reduce(DataFrame.union, runs)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True) -> DataFrame:
