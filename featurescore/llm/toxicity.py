@@ -5,7 +5,7 @@ words; their document frequencies are counted over all documents. A word of the
 its chi-squared with the label in the sample, so that words that go with the label decide, and none is left out. Every
 text with words is searched against the examples by the exact cosine of these weights; words that no example holds
 weigh their TF-IDF and enter the norm of the text only, by a join with the table of document frequencies. The inverted
-index of the examples is cut into blocks of `BLOCK` examples and keeps the largest weight of each term and block: blocks
+index of the examples is cut into blocks of `BLOCK` like examples (by k-means over the same weights) and keeps the largest weight of each term and block: blocks
 are visited by their bound, until none can hold a nearer example than the `K` found.
 
 Votes are weighted by cosine and by how many rows an example stands for, and mapped to probabilities by isotonic
@@ -34,6 +34,8 @@ BLOCK = 64
 CUT = 0.3
 #: Votes for the base rate, in cosines, so that one far example decides little.
 PRIOR = 0.2
+#: Centres by which like examples are put into the same blocks.
+GROUPS = 32
 #: Blocks that are visited before the bounds of the others are compared.
 AHEAD = 4
 _LETTERS = np.zeros(256, dtype=bool)
@@ -144,6 +146,32 @@ class Index:
         return sorted(best + visit(rest), key=lambda s: (-s[0], s[1]))[:k] if len(rest) else best
 
 
+def grouped(vectors: list[tuple[np.ndarray, np.ndarray]], size: int, groups: int = GROUPS, rounds: int = 8) -> np.ndarray:
+    """An order of unit vectors in which like ones are near each other: by the nearest of some centres (spherical k-means).
+
+    A block of like examples holds few terms of other kinds of text (say, of other languages), so that it is bounded well.
+    """
+    lengths = np.array([len(t) for t, _ in vectors], dtype=np.int64)
+    if not lengths.sum():
+        return np.arange(len(vectors))
+    term, weight = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]).astype(np.float32)
+    owner = np.repeat(np.arange(len(vectors)), lengths)
+    # the first centres are examples at even steps
+    group = np.full(len(vectors), -1)
+    seeds = np.linspace(0, len(vectors) - 1, min(groups, len(vectors))).astype(np.int64)
+    group[seeds] = np.arange(len(seeds))
+    best = np.zeros(len(vectors), dtype=np.float32)
+    for _ in range(rounds):
+        sums = np.zeros((len(vectors), len(seeds)), dtype=np.float32)
+        for g in range(len(seeds)):
+            own = group[owner] == g
+            centre = np.bincount(term[own], weight[own], minlength=size).astype(np.float32)
+            norm = np.sqrt((centre * centre).sum())
+            sums[:, g] = np.bincount(owner, weight * centre[term], minlength=len(vectors)) / norm if norm > 0 else 0
+        group, best = sums.argmax(axis=1), sums.max(axis=1)
+    return np.lexsort((-best, group))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the weighted isotonic regression of y on x: means of x and of y in each pool."""
     order = np.lexsort((y, x))
@@ -255,11 +283,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     idf = (np.log((total_docs + 1) / (picked["n"].to_numpy() + 1)) + 1) * (1 + picked["chi2"].to_numpy())
 
     rows = sorted(arrow_map(sample, _examples(lookup), "id string, label int, terms array<long>, counts array<long>").collect(), key=lambda r: (r.id, r.label, r.terms, r.counts))
+    sparse = [(np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in rows]
+    blank = Index(idf, 0, [], np.zeros(0), np.zeros(0))
+    order = grouped([(t, blank.unit(t, c)) for t, c in sparse], len(idf)).tolist()
+    rows, sparse = [rows[i] for i in order], [sparse[i] for i in order]
     y = np.array([r.label for r in rows], dtype=float)
     w = np.where(y > 0, counts[1] / max(1.0, y.sum()), counts[0] / max(1.0, (1 - y).sum()))
     w /= w.mean()
-    sparse = [(np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in rows]
-    blank = Index(idf, 0, [], np.zeros(0), np.zeros(0))
     index = Index.build(idf, [(t, blank.unit(t, c)) for t, c in sparse])
     none = np.array([not len(t) for t, _ in sparse])
     empty = float(((w * y)[none].sum() + base) / (w[none].sum() + 1))
@@ -302,14 +332,14 @@ def _voter(model: Model):
             share = np.sqrt(r["square"] / (r["square"] + other)) if r["square"] > 0 else 0.0
             near = [(float(s * share), i) for s, i in zip(r["cosine"], r["at"], strict=True)]
             score = float(np.clip(np.interp(rest.vote(near), *rest.knots), 0, 1)) if r["square"] + other > 0 else rest.empty
-            out.append({"score": score, "evidence": [{"id": rest.ids[i], "label": int(rest.labels[i]), "cosine": s} for s, i in near[:3]]})
+            out.append({"score": score, "evidence": [{"id": rest.ids[i], "label": int(rest.labels[i]), "cosine": s} for s, i in near]})
         return pa.array(out, _OUT)
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score, predicted (int) and evidence: the nearest examples with their labels and cosines."""
+    """docs with score, predicted (int) and evidence: the nearest examples, all that vote, with their labels and cosines."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     near = F.arrow_udf(_searcher(model.hashes, model.index), "struct<at:array<int>,cosine:array<double>,square:double>")
     out = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__near", near(F.col(text).cast("string")))
@@ -330,4 +360,4 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
-    return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted", "evidence")

@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from featurescore.llm.toxicity import Index, isotonic, op4_toxicity, score_toxicity, train
+from featurescore.llm.toxicity import K, Index, isotonic, op4_toxicity, score_toxicity, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -76,7 +76,7 @@ def test_search_is_over_all_words(table):
     out = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
     assert len(out) == len(held)
     for i, v in vectors.items():
-        want = sorted((sum(x * vectors[int(e)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e)] for e in model.ids), reverse=True)[:3]
+        want = sorted((sum(x * vectors[int(e)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e)] for e in model.ids), reverse=True)[:K]
         got = [e.cosine for e in out[i].evidence]
         assert np.allclose(got, [x for x in want if x > 0])
         assert all(np.isclose(e.cosine, sum(x * vectors[int(e.id)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e.id)]) for e in out[i].evidence)
