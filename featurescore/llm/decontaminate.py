@@ -195,10 +195,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows that find_leaks reports; all columns and names stay."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    names = {"id_col": "doc_id", "text": "text"} | {k: v for k, v in options.items() if k in ("id_col", "text")}
-    leaks = materialise(find_leaks(docs.select(F.col(names["id_col"]).alias("doc_id"), F.col(names["text"]).alias("text")), benchmark, keep_row=True, **{k: v for k, v in options.items() if k not in names}).select("__row").distinct(), "leaks")
-    return numbered.join(leaks, "__row", "left_anti").select(*[numbered[c] for c in docs.columns])
+    id_col, text = (options.pop(k, default) for k, default in (("id_col", "doc_id"), ("text", "text")))
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text")).withColumn("row", F.monotonically_increasing_id())
+    leaks = materialise(find_leaks(docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text")), benchmark, keep_row=True, **options).select(F.col("__row").alias("row")).distinct(), "leaks")
+    return numbered.join(leaks, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

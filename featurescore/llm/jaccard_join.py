@@ -268,10 +268,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Texts without words are linked with nothing and stay; of rows with equal ids that are linked, one stays (the first
     read), as of linked rows without an id.
     """
-    numbered = docs.withColumn("__n", F.monotonically_increasing_id())
-    parts = linked_components(numbered.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__n").alias("n")).alias("__key"), F.col(text).alias("__text")), "__key", "__text", words, threshold)
-    kept = parts.where("__key = component_id").select(F.col("__key.n").alias("__n"))
-    return numbered.join(kept, "__n", "left_semi").select(*[numbered[c] for c in docs.columns])
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), docs[text].alias("text")).withColumn("n", F.monotonically_increasing_id())
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "n").alias("key")
+    parts = linked_components(numbered.select(key, "text"), "key", "text", words, threshold)
+    kept = parts.where("key = component_id").select("key.n")
+    return numbered.join(kept, "n", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -231,12 +231,16 @@ def _predictor(model: Model):
     return run
 
 
+def has_letter(text) -> F.Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    words = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    words = has_letter(F.col(text))
     made = F.arrow_udf(_predictor(model), "struct<lang:string,score:double>")(F.col(text).cast("string"))
     out = docs.withColumn("__language", made)
     out = out.withColumns({"lang_pred": F.when(words, F.col("__language.lang")).otherwise(UNKNOWN), "score": F.when(words, F.col("__language.score")).otherwise(0.0)})

@@ -7,8 +7,10 @@ identifier or an endpoint. The link is an interval join within each text: parts
 candidate a binary search over starts and running ends tells whether any complementary part meets its scope. A text is
 the only place where parts can meet, so rows are never shuffled, and a text full of parts costs n log n.
 
-Defined results: a null or empty text has no findings; repeated rows are rows of their own; positions count code points,
-ends exclusive; other columns of the table stay as they are, but for `secrets`, which is replaced.
+Defined results: a null or empty text has no findings; repeated rows are rows of their own; of findings with the same
+start, kinds come as listed, then ends; positions count code points, ends exclusive; a text of any length is scanned whole
+in one task, in time linear in its length but for sorting; an empty table gives no rows; other columns of the table stay as
+they are, but for `secrets`, which is replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak candidates, by kind.
 ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client|tenant|app|access|key)[_-]?(?:id|name|key)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}\b|\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b)""", re.I | re.A)
+#: What an endpoint is found by: the sign after a scheme, or a port. What stands before is read backwards, once.
+SCHEME, PORT = re.compile(r"""://[^\s"'<>]+"""), re.compile(r":\d{2,5}\b", re.A)
+_SCHEME_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+_HOST_SIGNS = _SCHEME_SIGNS - {"+"}
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
 ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "id", "account": "id", "endpoint": "endpoint"}
 PARTNERS = {"account": ("secret",), "endpoint": ("secret",), "opaque": ("id", "endpoint")}
@@ -60,10 +65,61 @@ def random_looking(token: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= 3.5
 
 
+def _back(text: str, end: int, least: int, signs: frozenset) -> int:
+    """Where the run of signs that ends at `end` begins, not before `least`."""
+    start = end
+    while start > least and text[start - 1] in signs:
+        start -= 1
+    return start
+
+
+def _host(run: str) -> int:
+    """Where in a run of host signs before a port the host begins, a name or four numbers; -1 if there is none."""
+    labels = run.split(".")
+    if len(labels) >= 4 and all(x.isdigit() and len(x) <= 3 for x in labels[-4:]):
+        return len(run) - len(".".join(labels[-4:]))
+    if len(labels) < 2 or len(labels[-1]) < 2 or not labels[-1].isalpha():
+        return -1
+    k = len(labels) - 1
+    while k and labels[k - 1].strip("-"):
+        k -= 1
+    name = ".".join(labels[k:]).lstrip("-")
+    return len(run) - len(name) if "." in name else -1
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, and hosts with a port, outside of these; leftmost, not overlapping. Linear in the text.
+
+    Runs of signs before two schemes, or before two ports, never overlap, since no colon is among the signs.
+    """
+    found, at = [], 0
+    while m := SCHEME.search(text, at):
+        start = _back(text, m.start(), at, _SCHEME_SIGNS)
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+        at = m.end()
+    ends, hosts, last = found, [], 0
+    k = 0
+    for m in PORT.finditer(text):
+        while k < len(ends) and ends[k][1] <= m.start():
+            last = ends[k][1]
+            k += 1
+        if k < len(ends) and ends[k][0] < m.end():
+            continue
+        start = _back(text, m.start(), last, _HOST_SIGNS)
+        shift = _host(text[start : m.start()])
+        if shift >= 0:
+            hosts.append((start + shift, m.end()))
+        last = m.end()
+    return sorted(found + hosts)
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """Strong findings and linked weak ones, by start, then by kind as listed."""
     found = strong(text)
-    weak = [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)] + [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+    weak = [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)] + [(s, e, "endpoint") for s, e in endpoints(text)]
     weak += [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text) if random_looking(m[0])]
     if weak:
         taken = sorted(found)
@@ -99,27 +155,47 @@ def _may_hold(column: pa.Array) -> np.ndarray:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
-def _scan(texts: pa.Array) -> pa.Array:
-    may, out = np.concatenate([_may_hold(texts.slice(i, 64)) for i in range(0, len(texts), 64)]) if len(texts) else [], []
-    for i, hit in enumerate(may):
-        out.append([{"start": s, "end": e, "kind": k} for s, e, k in scan(texts[i].as_py())] if hit else [])
-    return pa.array(out, _SPANS)
+def _cut(text: str, found: list[tuple[int, int, str]]) -> str:
+    """text with every finding, overlapping ones as one, replaced by [SECRET]."""
+    parts, at = [], 0
+    for s, e, _ in found:
+        if s >= at:
+            parts += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column secrets: array of (start, end, kind)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return docs.withColumn("secrets", F.arrow_udf(_scan, "array<struct<start:long,end:long,kind:string>>")(F.col(text).cast("string")))
+_BOTH = pa.struct([("secrets", _SPANS), ("clean", pa.string())])
+
+
+def _scan(redacted: bool):
+    def run(texts: pa.Array) -> pa.Array:
+        may, out = np.concatenate([_may_hold(texts.slice(i, 64)) for i in range(0, len(texts), 64)]) if len(texts) else [], []
+        for i, hit in enumerate(may):
+            text = texts[i].as_py() if hit else ""
+            found = scan(text)
+            spans = [{"start": s, "end": e, "kind": k} for s, e, k in found]
+            out.append({"secrets": spans, "clean": _cut(text, found) if found else None} if redacted else spans)
+        return pa.array(out, _BOTH if redacted else _SPANS)
 
+    return run
 
-def redact(text: Column, spans: Column) -> Column:
-    """text with every finding (overlaps as one) replaced by [SECRET]."""
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("to"))
-    step = lambda a, s: F.when(s["end"] <= a["to"], a).otherwise(
-        F.struct(F.when(s["start"] < a["to"], a["kept"]).otherwise(F.concat(a["kept"], F.substring(text, a["to"] + 1, s["start"] - a["to"]), F.lit("[SECRET]"))).alias("kept"), s["end"].alias("to"))
-    )
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["kept"], F.substring(text, a["to"] + 1, F.length(text).cast("long"))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+_TYPE = "array<struct<start:long,end:long,kind:string>>"
+
+
+def scan_secrets(docs: DataFrame, text: str = "text", clean: str | None = None) -> DataFrame:
+    """docs with the column secrets: array of (start, end, kind).
+
+    clean names a further column, which replaces one of that name: the text with its findings, overlapping ones as one,
+    replaced by [SECRET]; the text itself where nothing is found.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    whole = F.col(text).cast("string")
+    if clean is None:
+        return docs.withColumn("secrets", F.arrow_udf(_scan(False), _TYPE)(whole))
+    made = docs.withColumn("__scan", F.arrow_udf(_scan(True), f"struct<secrets:{_TYPE},clean:string>")(whole))
+    return made.withColumns({"secrets": F.col("__scan.secrets"), clean: F.coalesce("__scan.clean", whole)}).drop("__scan")
 
 
 def joined(spans: Column) -> Column:

@@ -37,14 +37,29 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_keeps_extra_columns_nulls_and_empty_tables(spark, tmp_path):
     base = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = base.selectExpr("*", "1 AS score", "text AS secrets", "2 AS size", "3 AS copy_of").union(base.limit(3).selectExpr("doc_id", "cast(null AS string)", "cast(null AS string)", "cast(null AS string)", "cast(null AS bigint)", "1", "text", "2", "3"))
-    for name, docs in (("full", extra), ("empty", extra.limit(0))):
+    names = ["score", "secrets", "clean", "doc", "size", "source_size", "target", "copies", "taken", "copy", "lang_pred", "row", "__row", "__n", "id", "cells"]
+    extra = base.selectExpr("*", *[f"concat('{n} of ', coalesce(cast(doc_id AS string), 'none')) AS {n}" for n in names])
+    extra = extra.union(extra.limit(3).selectExpr("doc_id", "cast(null AS string)", "cast(null AS string)", "cast(null AS string)", "cast(null AS bigint)", *names))
+    extra = extra.union(extra.limit(2).selectExpr("cast(null AS bigint)", "array_join(reverse(split(text, ' ')), ' ')", "lang", "source", "n_chars", *[f"'{n} of none'" for n in names]))
+    for name, docs in (("full", extra), ("no_n_chars", extra.drop("n_chars")), ("empty", extra.limit(0))):
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        for k, (stage, f) in enumerate(cp.STAGES):
+        for k, (_, f) in enumerate(cp.STAGES):
             f(spark, docs, SF).write.parquet(f"{tmp_path}/{name}-{k}")
             docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
-        assert (docs.count() > 0) == (name == "full")
+            assert set(names) <= set(docs.columns)
+            for r in docs.collect():
+                assert {n: r[n] for n in names} == {n: f"{n} of {"none" if r.doc_id is None else r.doc_id}" for n in names}
+        assert (docs.count() > 0) == (name != "empty") and "copy_" in docs.columns
+        if name == "full":
+            assert docs.where("doc_id is null").count() > 0
+
+
+def test_languages_that_cannot_be_learned(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "if(doc_id % 10 = 0, '12 --', text) AS text", "cast(null AS string) AS lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert cp.language(spark, docs, SF).count() == docs.where("doc_id % 10 <> 0").count()
 
 
 def test_run(spark):

@@ -1,9 +1,8 @@
 import hashlib
 import re
+import time
 
-from pyspark.sql import functions as F
-
-from featurescore.llm.secret_scan import op5_secret_scan, redact, scan, scan_secrets
+from featurescore.llm.secret_scan import endpoints, op5_secret_scan, scan, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,7 +58,27 @@ def test_weak_parts_need_partners():
 
 def test_redaction_and_long_text(table):
     t = "x " * 200_000 + 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"' + " y"
-    df = scan_secrets(table([(1, t, 0), (2, "clean", 0), (3, None, 0)], "i int, text string, secrets int")).withColumn("clean", redact(F.col("text"), F.col("secrets")))
+    df = scan_secrets(table([(1, t, 0), (2, "clean", 0), (3, None, 0)], "i int, text string, secrets int"), clean="clean")
     out = {r.i: r for r in df.collect()}
     assert out[1].clean == "x " * 200_000 + '[SECRET]" y' and out[2].clean == "clean" and out[3].clean is None and out[3].secrets == []
     assert scan_secrets(table([], "text string", 1)).count() == 0
+
+
+def test_overlapping_findings_are_one(table):
+    t = "token=deadbeefdeadbeefdeadbeef0 and user_id: bob77 secret=abcdefgh"
+    r = scan_secrets(table([(1, t)], "i int, text string"), clean="text").first()
+    assert r.text == "[SECRET] and [SECRET] [SECRET]" and [s.kind for s in r.secrets] == ["assign", "hex", "account", "assign"]
+
+
+def test_endpoints():
+    cut = lambda t: [t[s:e] for s, e in endpoints(t)]
+    assert cut("see https://a.b/c?d=e f, db-1.example.com:5432 and 10.0.0.1:80.") == ["https://a.b/c?d=e", "db-1.example.com:5432", "10.0.0.1:80"]
+    assert cut("http://h.example.com:8080/x 1.2.3.4.5:99 a..b.cc:77 -x.yy:88 b.c1:22 :443 x://y://z") == ["http://h.example.com:8080/x", "2.3.4.5:99", "b.cc:77", "x.yy:88", "x://y://z"]
+    assert cut("a:80 at 12:30:45 b.co:123456") == []
+
+
+def test_long_runs_take_linear_time():
+    for unit in ("a.", "a-", "=", "a.b:80 ", "x://", "user ", "user=", "token", "1.2.3.4.", "aB3-", "secret\x20"):
+        start = time.process_time()
+        scan(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - start < 20, unit
