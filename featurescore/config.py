@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.transforms import TRANSFORMATIONS, Transformation
 
@@ -24,13 +26,14 @@ class VectorizationConfig:
     order: tuple[str, ...] = ()
 
     @classmethod
-    def from_json(cls, text: str, strict: bool = False) -> VectorizationConfig:
+    def from_json(cls, text: str, strict: bool = False, checked: bool = True) -> VectorizationConfig:
+        """The configuration that a JSON text spells; one with problems (or, if strict, warnings) is an error unless it is not checked."""
         try:
             raw = json.loads(text)
             out = cls({name: _transformation(name, spec) for name, spec in raw["feature_transformations"].items()}, tuple(raw["feature_order"]))
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise e if isinstance(e, ConfigError) else ConfigError([f"not a vectorization config: {e!r}"]) from e
-        if problems := out.problems() + (out.warnings() if strict else []):
+        if checked and (problems := out.problems() + (out.warnings() if strict else [])):
             raise ConfigError(problems)
         return out
 
@@ -60,6 +63,28 @@ def _transformation(name: str, spec: dict) -> Transformation:
     return made.parse({n: spec[n] for n in names})
 
 
+def validate_configs(configs: DataFrame, key: str = "config_id", text: str = "config") -> DataFrame:
+    """Rows (key, kind, problem) of configurations stored as JSON texts in a table: kind is "problem" or "warning"."""
+    rows = configs.select(key, F.col(text).cast("string").alias("__text"))
+
+    def run(batches):
+        for batch in batches:
+            keys, kinds, texts = [], [], []
+            for i, raw in enumerate(batch.column("__text").to_pylist()):
+                try:
+                    out = VectorizationConfig.from_json(raw or "", checked=False)
+                    found = [("problem", p) for p in out.problems()] + [("warning", w) for w in out.warnings()]
+                except ConfigError as e:
+                    found = [("problem", p) for p in e.problems]
+                for kind, said in found:
+                    keys.append(i)
+                    kinds.append(kind)
+                    texts.append(said)
+            yield pa.record_batch([batch.column(key).take(pa.array(keys, pa.int64())), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=[key, "kind", "problem"])
+
+    return rows.mapInArrow(run, f"`{key}` {configs.schema[key].dataType.simpleString()}, kind string, problem string")
+
+
 @dataclass(frozen=True)
 class JobConfig:
     model_path: str

@@ -38,3 +38,8 @@ def scaled64(x: Column, shift: float, scale: float) -> Column:
 def parsed32(s: Column) -> Column:
     """The number that a text spells, rounded to 32 bits; null if it spells none."""
     return F.when(s.rlike(NOT_A_NUMBER), F.lit(float("nan")).cast("float")).when(s.rlike(NUMBER), s.try_cast("float"))
+
+
+def millis(micros: Column) -> Column:
+    """Microseconds as milliseconds, in 64 bits."""
+    return micros.cast("double") / F.lit(1000.0)

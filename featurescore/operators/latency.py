@@ -12,6 +12,11 @@ def latency_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Values are counted first, so a group is as long as it has different values; ranks are running sums of those counts.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    return summary_of_counts(counts, keys)
+
+
+def summary_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The summary from rows (keys.., v, c): how often each value occurs."""
     group = Window.partitionBy(*keys)
     ranked = counts.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(group))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))

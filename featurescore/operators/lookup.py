@@ -31,3 +31,16 @@ def array_lookup_join(df: DataFrame, row: list[str], keys: str, table: DataFrame
     joined = found.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("__pos", "__one"))).alias("__all"))
     whole = joined.select(*row, F.flatten(F.transform("__all", lambda x: x["__one"])).alias(out))
     return df.select(*row).join(whole, row, "left").withColumn(out, F.coalesce(out, F.array().cast("array<float>")))
+
+
+def array_lookup(df: DataFrame, keys: Column, table: DataFrame, default: Column, out: str) -> DataFrame:
+    """df with the column out: the vectors of the elements of the array keys, end to end; null for a null array.
+
+    Rows are told apart by their place in df, so df must give the same rows in the same order when it is read again. Only
+    rows that have keys are exploded, and only their numbers and vectors are shuffled back.
+    """
+    rows = df.withColumn("__place", F.monotonically_increasing_id())
+    some = rows.select("__place", keys.alias("__keys")).where("size(__keys) > 0")
+    whole = array_lookup_join(some, ["__place"], "__keys", table, default, "__whole")
+    none = F.when(F.size(keys) == 0, F.array().cast("array<float>"))
+    return rows.join(whole, "__place", "left").withColumn(out, F.coalesce("__whole", none)).drop("__place", "__whole")

@@ -14,21 +14,32 @@ def explode_requests(requests: DataFrame) -> DataFrame:
 def reject_requests(rows: DataFrame, scope: str = "request") -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected (request_id, error)): any row with an error rejects its request, with the error of its first bad row.
 
-    scope "row" rejects single rows only. A request is the unit that is kept together, so its rows meet in one task.
+    scope "row" rejects single rows only. A request is one message, the unit that is kept together, so its rows meet in one
+    task; both results read the same exchange.
     """
     if scope == "row":
         return rows.where("error is null"), rows.where("error is not null").select("request_id", "error")
-    bad = rows.where("error is not null").groupBy("request_id").agg(F.min_by("error", "pos").alias("error"))
-    return rows.join(bad.select("request_id"), "request_id", "left_anti"), bad
+    whole = Window.partitionBy("request_id")
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).over(whole)
+    known = rows.withColumn("__first", first)
+    rejected = known.where("__first is not null").groupBy("request_id").agg(F.first("__first").alias("error"))
+    return known.where("__first is null").drop("__first"), rejected
 
 
-def assemble_responses(scored: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    """Rows (request_id, outputs) with outputs in the order of pos; requests (request_id) adds those without inputs."""
-    rows = scored.where("pos is not null").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "row_id", "scores"))).alias("o"))
-    out = rows.select("request_id", F.transform("o", lambda x: F.struct(x["row_id"].alias("row_id"), x["scores"].alias("scores"))).alias("outputs"))
-    if requests is None:
-        return out
-    return requests.select("request_id").join(out, "request_id", "left").withColumn("outputs", F.coalesce("outputs", F.expr("cast(array() as array<struct<row_id:string,scores:array<float>>>)")))
+def assemble_responses(scored: DataFrame) -> DataFrame:
+    """Rows (request_id, outputs) with outputs in the order of pos; a request whose only row has a null pos has none.
+
+    Where scored has a column error, a request with an error has null outputs and the error of its first bad row.
+    """
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "row_id", "scores"))
+    found = [F.array_sort(F.collect_list(item)).alias("o")]
+    if "error" in scored.columns:
+        found.append(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"))
+    rows = scored.groupBy("request_id").agg(*found)
+    outputs = F.transform("o", lambda x: F.struct(x["row_id"].alias("row_id"), x["scores"].alias("scores")))
+    if "error" not in scored.columns:
+        return rows.select("request_id", outputs.alias("outputs"))
+    return rows.select("request_id", F.when(F.col("error").isNull(), outputs).alias("outputs"), "error")
 
 
 def chunk_numbers(df: DataFrame, partition: list[str], order: list, size: int, out: str = "chunk") -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,10 @@ def dense_sigmoid(vector: Column, weight: float, bias: float, outputs: int) -> C
 
 
 def dense_layer(rows: DataFrame, keys: list[str], weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """Rows (keys.., out, z) of a dense layer over the long form (keys.., pos, value); weights (pos, out, w), bias (out, b)."""
+    """Rows (keys.., out, z) of a dense layer over the long form (keys.., pos, value); weights (pos, out, w), bias (out, b).
+
+    For narrow layers: it makes a row for each row, position and output. Wide ones are for Mlp, which has no shuffle.
+    """
     sums = rows.join(weights, "pos").groupBy(*keys, "out").agg(F.sum(F.col("value").cast("double") * F.col("w")).alias("s"))
     return sums.join(bias, "out").select(*keys, "out", (F.col("s") + F.col("b")).alias("z"))
 
@@ -42,6 +46,18 @@ class Mlp:
         self.layers, self.norms = layers, norms
         self.input_width = layers[0][0].shape[1]
 
+    @classmethod
+    def from_table(cls, units: DataFrame) -> Mlp:
+        """From a table with a row per unit: (layer, out, weights array, bias, scale, shift); scale is null in the last layer.
+
+        A network is held whole by every task that scores, so it is read whole; its size does not grow with the rows scored.
+        """
+        rows = units.orderBy("layer", "out").collect()
+        last = max(r.layer for r in rows)
+        of = [[r for r in rows if r.layer == k] for k in range(last + 1)]
+        layers = [(np.array([r.weights for r in one], dtype=np.float64), np.array([r.bias for r in one], dtype=np.float64)) for one in of]
+        return cls(layers, [(np.array([r.scale for r in one], dtype=np.float64), np.array([r.shift for r in one], dtype=np.float64)) for one in of[:-1]])
+
     def score(self, batch: np.ndarray) -> np.ndarray:
         for i, (w, b) in enumerate(self.layers):
             batch = batch @ w.T + b
@@ -62,8 +78,9 @@ class OnnxScorer:
         self.input_width = width
 
     @classmethod
-    def from_path(cls, spark: SparkSession, path: str) -> OnnxScorer:
-        return cls(bytes(spark.read.format("binaryFile").load(path).first().content))
+    def from_path(cls, spark: SparkSession, path: str, fmt: str = "binaryFile") -> OnnxScorer:
+        """From a model file, or from a table of another format with the model's bytes in the column content."""
+        return cls(bytes(spark.read.format(fmt).load(path).select("content").first().content))
 
     def __getstate__(self):
         return {"model": self.model, "input_width": self.input_width, "_session": None}
@@ -86,8 +103,13 @@ class OnnxScorer:
 
 
 def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool = False) -> DataFrame:
-    """df (all vectors of the model's width) with scores (array<float>), and with timings the micros of each Arrow batch."""
+    """df with scores (array<float>), and with timings the micros of each Arrow batch for its matrix and for the model.
+
+    Rows without a vector, and rows with one of another width than the model's, get null scores; the others of their
+    batch are scored. Where df has a column error, it says so for a wrong width. A null number in a vector is scored as NaN.
+    """
     extra = ", tensor_micros long, infer_micros long" if timings else ""
+    told = "error" in df.columns
 
     def run(batches):
         for batch in batches:
@@ -95,14 +117,22 @@ def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool =
                 continue
             t0 = time.perf_counter_ns()
             column = batch.column(vector)
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, scorer.input_width)
+            width = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            good = width == scorer.input_width
+            x = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(int(good.sum()), scorer.input_width)
             t1 = time.perf_counter_ns()
-            out = np.asarray(scorer.score(x), dtype=np.float32)
+            out = np.asarray(scorer.score(x), dtype=np.float32) if len(x) else np.zeros((0, 0), dtype=np.float32)
             t2 = time.perf_counter_ns()
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
-            made = [scores] + ([pa.array([v] * batch.num_rows, pa.int64()) for v in ((t1 - t0) // 1000, (t2 - t1) // 1000)] if timings else [])
-            names = ["scores"] + (["tensor_micros", "infer_micros"] if timings else [])
-            yield pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, *names])
+            ends = np.concatenate([[0], np.cumsum(good * out.shape[1])])
+            scores = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.ravel()), mask=pa.array(~good))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            if told and (wrong := (width >= 0) & ~good).any():
+                texts = [f"Expected feature vector length {scorer.input_width} but got {n}" if w else None for n, w in zip(width, wrong, strict=True)]
+                columns["error"] = pc.coalesce(columns["error"], pa.array(texts, columns["error"].type))
+            columns["scores"] = scores
+            if timings:
+                columns |= {k: pa.array([v] * batch.num_rows, pa.int64()) for k, v in (("tensor_micros", (t1 - t0) // 1000), ("infer_micros", (t2 - t1) // 1000))}
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, scores array<float>{extra}")

@@ -168,8 +168,8 @@ class Standardize64(Standardize):
 class Lookup(Transformation):
     """A text is a key of a table of vectors; an unknown key gives the default."""
 
-    def table(self) -> dict[str, tuple[float, ...]]:
-        raise NotImplementedError
+    @abstractmethod
+    def table(self) -> dict[str, tuple[float, ...]]: ...
 
     def element(self, x: Column) -> Column:
         table = self.table()

@@ -1,4 +1,8 @@
-"""Rows of features to vectors: wide tables (a typed column per feature), maps of typed values, and a long form."""
+"""Rows of features to vectors: wide tables (a typed column per feature), maps of typed values, and a long form.
+
+Each feature's value is a column of its own below the vector, and the vector is one below its checks, so that no
+expression is copied into another: the plan grows with the number of features and of the alternatives that each accepts.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ConfigError, VectorizationConfig
-from ..types import FIELDS, field_of, kind
-from .lookup import dictionary, lookup_join
-from .transforms import LITERAL_KEYS, Lookup, MinMax64, Standardize64, Transformation
+from ..types import FIELDS, field_of
+from .lookup import array_lookup, dictionary, lookup_join
+from .transforms import ACCEPTED, LITERAL_KEYS, NULL_ELEMENT, WRONG_TYPE, Lookup, MinMax64, Standardize64, Transformation
+
+
+def _large(t: Transformation) -> bool:
+    """A table that is probed by a join, not searched in every row."""
+    return isinstance(t, Lookup) and len(t.table()) > LITERAL_KEYS
 
 
-def _map_value(t: Transformation, v: Column) -> tuple[Column, Column]:
-    vector, error = F.lit(None).cast("array<float>"), F.lit(None).cast("string")
+def _probed(found: Column, x: Column, field: str) -> tuple[Column, Column]:
+    """(vector, error) of a value whose vector a join gave."""
+    hole = F.exists(x, lambda e: e.isNull()) if field == "string_array" else F.lit(False)
+    return found, F.when(hole, F.lit(NULL_ELEMENT))
+
+
+def _from_map(t: Transformation, v: Column, found: dict[str, Column]) -> tuple[Column, Column]:
+    """(vector, error) of a value of any alternative; found has the vectors that a join gave for some of them."""
+    vector, error = t.default(), F.lit(None).cast("string")
+    refused = F.lit(False)
     for name in reversed(FIELDS):
-        own, wrong = t.build(v[name], name)
-        vector, error = F.when(v[name].isNotNull(), own).otherwise(vector), F.when(v[name].isNotNull(), wrong).otherwise(error)
-    return vector, error
+        there = v[name].isNotNull()
+        if name not in ACCEPTED.get(t.kind, FIELDS):
+            # alternatives in a row that are refused make one case
+            refused = there | refused
+            continue
+        own, wrong = t.build(v[name], name) if name not in found else _probed(found[name], v[name], name)
+        vector, error = F.when(refused, F.lit(None)).otherwise(vector), F.when(refused, F.lit(WRONG_TYPE.format(t.label))).otherwise(error)
+        vector, error, refused = F.when(there, own).otherwise(vector), F.when(there, wrong).otherwise(error), F.lit(False)
+    return F.when(refused, F.lit(None)).otherwise(vector), F.when(refused, F.lit(WRONG_TYPE.format(t.label))).otherwise(error)
 
 
 def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | None = None, features: str | None = None, mode: str = "permissive") -> DataFrame:
@@ -24,41 +47,57 @@ def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | No
 
     features names a column map<string, feature value>; without it each feature is the column of its name, and an
     unknown column is a missing feature. Missing and null values give the default as it stands. Features outside the
-    order are not read. mode "failfast" raises the error in place of returning it.
+    order are not read. mode "failfast" raises the error in place of returning it. Tables of many keys are joined; where
+    the keys are in arrays, df is read twice and must give the same rows in the same order (a stored table does).
     """
     if problems := config.problems():
         raise ConfigError(problems)
-    vectors, errors, joined = [], [], df
+    kept = [c for c in df.columns if c not in ("vector", "error")]
+    rows, values = df, {}
     for i, name in enumerate(config.order):
-        t = config.transformations[name]
         if features:
-            v = F.col(features)[name]
-            present, (vector, error) = kind(v).isNotNull(), _map_value(t, v)
+            values[name] = f"__value{i}"
+            rows = rows.withColumn(f"__value{i}", F.try_element_at(F.col(features), F.lit(name)))
         elif name in df.columns:
-            field = field_of(df.schema[name].dataType)
-            if field is None:
+            if field_of(df.schema[name].dataType) is None:
                 raise TypeError(f"column {name} has the type {df.schema[name].dataType.simpleString()}, which no feature value holds")
-            present = F.col(name).isNotNull()
-            if field == "string_value" and isinstance(t, Lookup) and len(t.table()) > LITERAL_KEYS:
-                # a large table is probed once by a join, not searched in every row
-                joined = lookup_join(joined, F.col(name), dictionary(df.sparkSession, t), t.default(), f"__found{i}")
-                vector, error = F.col(f"__found{i}"), F.lit(None).cast("string")
-            else:
-                vector, error = t.build(F.col(name), field)
+            values[name] = name
+    found: dict[str, dict[str, Column]] = {}
+    for i, name in enumerate(config.order):
+        t = config.transformations[name]
+        if name not in values or not _large(t) or name in found:
+            continue
+        held = {"string_value": F.col(values[name])["string_value"], "string_array": F.col(values[name])["string_array"]} if features else {field_of(df.schema[name].dataType): F.col(name)}
+        found[name] = {}
+        for field in ("string_value", "string_array"):
+            if field in held:
+                join = lookup_join if field == "string_value" else array_lookup
+                rows = join(rows, held[field], dictionary(df.sparkSession, t), t.default(), f"__{field}{i}")
+                found[name][field] = F.col(f"__{field}{i}")
+    vectors, errors = [], []
+    for name in config.order:
+        t = config.transformations[name]
+        if name not in values:
+            vectors.append(t.default())
+            continue
+        v = F.col(values[name])
+        if features:
+            vector, error = _from_map(t, v, found.get(name, {}))
         else:
-            present, vector, error = F.lit(False), t.default(), F.lit(None).cast("string")
-        vectors.append(F.when(present, vector).otherwise(t.default()))
-        errors.append(F.when(present, error))
+            field = field_of(df.schema[name].dataType)
+            vector, error = _probed(found[name][field], v, field) if field in found.get(name, {}) else t.build(v, field)
+            vector, error = F.when(v.isNotNull(), vector).otherwise(t.default()), F.when(v.isNotNull(), error)
+        vectors.append(vector)
+        errors.append(error)
     whole = F.concat(*vectors).cast("array<float>") if vectors else F.array().cast("array<float>")
-    out = joined.withColumn("vector", whole)
-    length = F.lit(None).cast("string")
+    out = rows.select(*kept, whole.alias("vector"), F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
     if expected_len is not None:
-        length = F.when(F.size("vector") != expected_len, F.concat(F.lit(f"Expected feature vector length {expected_len} but got "), F.size("vector").cast("string")))
-    out = out.withColumn("error", F.coalesce(*errors, length))
-    out = out.drop(*[c for c in out.columns if c.startswith("__found")])
+        length = F.size("vector")
+        wrong = F.when(F.col("error").isNull() & (length != expected_len), F.concat(F.lit(f"Expected feature vector length {expected_len} but got "), length.cast("string")))
+        out = out.withColumn("error", F.coalesce("error", wrong))
     if mode == "failfast":
-        out = out.withColumn("vector", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("array<float>")).otherwise(F.col("vector")))
-    return out.withColumn("vector", F.when(F.col("error").isNull(), F.col("vector"))) if mode != "failfast" else out
+        return out.withColumn("vector", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("array<float>")).otherwise(F.col("vector")))
+    return out.withColumn("vector", F.when(F.col("error").isNull(), F.col("vector")))
 
 
 def vectorize_long(df: DataFrame, keys: list[str], config: VectorizationConfig) -> DataFrame:

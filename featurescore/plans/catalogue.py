@@ -7,22 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numeric import f32, lits32
-from ..operators.latency import latency_metrics, latency_summary, tumbling
+from ..config import validate_configs
+from ..functions.numeric import f32, lits32, millis
+from ..operators.latency import latency_metrics, latency_summary, summary_of_counts, tumbling
 from ..operators.lookup import array_lookup_join, dictionary, lookup_join
 from ..operators.requests import assemble_responses, chunk_numbers, explode_requests, reject_requests
-from ..operators.scoring import OnnxScorer, dense_layer, dense_sigmoid, score, sigmoid
+from ..operators.scoring import Mlp, OnnxScorer, dense_layer, dense_sigmoid, score, sigmoid
 from ..operators.transforms import Embedding, Identity, MinMax32, MinMax64, OneHot, Standardize32, Standardize64
 from ..operators.vectorize import vectorize, vectorize_long
-from ..sources.logs import FILE_BATCHES, log_batches, log_rows, partition_path, read_logs, stage_metrics, write_logs
+from ..sources.logs import FILE_BATCHES, FLUSH_DATUMS, STAGES, log_batches, log_rows, object_name, partition_path, read_logs, stage_metrics, write_log_batches, write_logs, write_metrics
 from ..sources.shared import shared_path
-from ..sources.tables import rows_from_table, to_map
-from ..streaming.jobs import drain, drain_complete, latency_stream, log_stream, read_events
-from ..types import kind
-from .models import EVENTS, LINES, PRIORITIES, ROLES, SHAPES, TYPES, config, mlp, sigmoid_model
+from ..sources.tables import rows_from_table, stream_requests, to_map
+from ..streaming.jobs import drain, latency_counts, log_stream, read_events, request_job, score_requests
+from ..types import FEATURES, LOG_BATCH, REQUEST, RESPONSE, kind, value
+from .models import EMBEDDED, ENCODED, EVENTS, KEYS, LINES, PRIORITIES, ROLES, SHAPES, SMALL_LAYERS, TYPES, UNIT, benchmark_config, config, mlp, sigmoid_model, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
 
 
 def entries(df: DataFrame, *keys: str, vector: str = "vector") -> DataFrame:
-    return df.select(*keys, F.posexplode(vector).alias("pos", "value")).withColumns({"pos": F.col("pos").cast("long"), "value": F.col("value").cast("double")})
+    # the outer form: from the other one Spark would infer a filter on the vector, which copies all of its expressions
+    rows = df.select(*keys, F.posexplode_outer(vector).alias("pos", "value")).where("pos is not null")
+    return rows.withColumns({"pos": F.col("pos").cast("long"), "value": F.col("value").cast("double")})
 
 
 def sql_entries(source: str, keys: str, *values: str) -> str:
@@ -193,8 +197,8 @@ def vectorize_map(spark, sf_dir):
 _LINE_VALUES = ["CAST(l_quantity / 50::DOUBLE AS FLOAT)", "CAST((l_extendedprice - 38000::DOUBLE) / 23000::DOUBLE AS FLOAT)", "CAST(l_partkey::DOUBLE / 20000::DOUBLE AS FLOAT)"]
 
 
-def line_features(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
+def line_features(spark, sf_dir, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", *more, F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
 
 
 @query(sql_entries("lineitem", "l_orderkey, l_partkey", *_LINE_VALUES))
@@ -230,14 +234,20 @@ def vector_length_check(spark, sf_dir):
 
 # requests: orders, with their lines as rows
 
-def order_requests(spark, sf_dir) -> DataFrame:
-    lines = rows_from_table(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey"), {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "part": F.col("l_partkey")})
-    lines = to_map(lines, list(LINES.order)).select("request_id", F.struct("row_id", "features").alias("input"))
-    lines = lines.withColumn("at", F.struct(F.col("input.row_id"), F.col("input.features")["quantity"]["double_value"], F.col("input.features")["price"]["double_value"]))
-    packed = lines.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("at.*", F.struct("input.row_id", F.map_entries("input.features").alias("f")).alias("row")))).alias("rows"))
-    packed = packed.select(F.col("request_id").alias("rid"), F.transform("rows", lambda r: F.struct(r["row"]["row_id"].alias("row_id"), F.map_from_entries(r["row"]["f"]).alias("features"))).alias("inputs"))
+def order_requests(spark, sf_dir, bad=None) -> DataFrame:
+    """An order is a request, its lines are the rows; where bad holds for a line, its price is a text that is no number."""
+    price = F.col("l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem", F.col("l_orderkey").cast("string").alias("rid"), F.struct(F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), F.col("l_quantity").alias("q"), price.alias("p"), F.col("l_partkey").alias("part"), (bad if bad is not None else F.lit(False)).alias("bad")).alias("line"))
+    packed = lines.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+    def row(line):
+        priced = F.when(line["bad"], value("string_value", F.lit("x"))).otherwise(value("double_value", line["p"]))
+        features = F.map_from_arrays(F.array(*[F.lit(n) for n in LINES.order]), F.array(value("double_value", line["q"]), priced, value("long_value", line["part"])))
+        return F.struct(line["row_id"].alias("row_id"), features.cast(FEATURES).alias("features"))
+
     orders = table(spark, sf_dir, "orders", F.col("o_orderkey").cast("string").alias("request_id"))
-    return orders.join(packed, F.col("request_id") == F.col("rid"), "left").select("request_id", F.coalesce("inputs", F.expr("filter(inputs, x -> false)"), F.array().cast(packed.schema["inputs"].dataType)).alias("inputs"))
+    none = F.array().cast(REQUEST["inputs"].dataType)
+    return orders.join(packed, F.col("request_id") == F.col("rid"), "left").select("request_id", F.coalesce(F.transform("lines", row), none).alias("inputs"))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS request_id, count(l_orderkey) AS n_rows, CASE WHEN count(l_orderkey) > 0 THEN count(l_orderkey) - 1 END AS last_pos, coalesce(sum(l_quantity), 0)::BIGINT AS quantity
@@ -254,8 +264,7 @@ def scored_lines(spark, sf_dir) -> DataFrame:
 
 @query("SELECT o_orderkey::VARCHAR AS request_id, 0::BIGINT AS n_outputs FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def empty_request(spark, sf_dir):
-    requests = order_requests(spark, sf_dir)
-    out = assemble_responses(scored_lines(spark, sf_dir), requests)
+    out = assemble_responses(scored_lines(spark, sf_dir))
     return out.select("request_id", F.size("outputs").cast("long").alias("n_outputs")).where("n_outputs = 0")
 
 
@@ -263,7 +272,7 @@ def empty_request(spark, sf_dir):
 SELECT o_orderkey::VARCHAR AS request_id, count(l_orderkey) AS n_outputs, first(row_id ORDER BY row_id, q, p) AS first_row, last(row_id ORDER BY row_id, q, p) AS last_row
 FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def response_assembly(spark, sf_dir):
-    out = assemble_responses(scored_lines(spark, sf_dir), order_requests(spark, sf_dir))
+    out = assemble_responses(scored_lines(spark, sf_dir))
     return out.select("request_id", F.size("outputs").cast("long").alias("n_outputs"), F.get("outputs", F.lit(0))["row_id"].alias("first_row"), F.get("outputs", F.size("outputs") - 1)["row_id"].alias("last_row"))
 
 
@@ -300,12 +309,24 @@ def score_dense_join(spark, sf_dir):
     return layer.select("event_id", "out", F.round(sigmoid(F.col("z")), 6).alias("score"))
 
 
-@query()
+@query(f"SELECT l_returnflag, floor(s * 10)::BIGINT AS tenth, count(*) AS n, round(avg(s), 5) AS score FROM (SELECT l_returnflag, 1 / (1 + exp(-(0.5 * ({_SUM}) + 0.1))) AS s FROM lineitem) GROUP BY ALL")
 def score_onnx(spark, sf_dir):
-    """An ONNX model over Arrow batches; 32-bit results, so it is tested with a tolerance against score_dense_sigmoid."""
+    """An ONNX model over Arrow batches, read from a stored table. Its scores have 32 bits, so groups of them are compared with 64-bit SQL."""
+    path = shared_path(spark, "model")
+    spark.createDataFrame([(bytearray(sigmoid_model(3)),)], "content binary").write.parquet(path)
+    scorer = OnnxScorer.from_path(spark, path, "parquet")
+    rows = line_features(spark, sf_dir, "l_returnflag")
+    out = score(vectorize(rows, LINES, scorer.input_width).select("l_returnflag", "vector"), scorer).withColumn("s", F.element_at("scores", 1).cast("double"))
+    return out.groupBy("l_returnflag", F.floor(F.col("s") * 10).alias("tenth")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("score"))
+
+
+@query(f"SELECT l_orderkey, l_partkey, CASE WHEN l_tax >= 0.075 THEN 'Error in parsing StringValue' WHEN l_discount >= 0.095 THEN 'Expected feature vector length 3 but got 4' END AS error, CASE WHEN l_tax < 0.075 AND l_discount < 0.095 THEN floor(10 / (1 + exp(-(0.5 * ({_SUM}) + 0.1))))::BIGINT END AS tenth FROM lineitem")
+def score_bad_rows(spark, sf_dir):
+    """Rows with an error and rows of a wrong length get no score, and do not disturb the others of their batch."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.expr("if(l_discount >= 0.095, array(l_partkey, l_partkey), array(l_partkey))").alias("part"), F.expr("if(l_tax >= 0.075, array('x'), array())").cast("array<string>").alias("note"))
     scorer = OnnxScorer(sigmoid_model(3))
-    out = score(vectorize(line_features(spark, sf_dir), LINES, scorer.input_width).select("l_orderkey", "l_partkey", "vector"), scorer)
-    return out.select("l_orderkey", "l_partkey", F.element_at("scores", 1).cast("double").alias("score"))
+    out = score(vectorize(lines, config(quantity=LINES.transformations["quantity"], price=LINES.transformations["price"], part=LINES.transformations["part"], note=Identity((0.0,)))), scorer)
+    return out.select("l_orderkey", "l_partkey", F.regexp_replace("error", "StringArray: x", "StringValue").alias("error"), F.floor(out.scores[0].cast("double") * 10).alias("tenth"))
 
 
 def _mlp_sql() -> str:
@@ -326,6 +347,52 @@ def score_mlp(spark, sf_dir):
     return out.select("vec_id", F.round(out.scores[0].cast("double"), 6).alias("score_0"), F.round(out.scores[1].cast("double"), 6).alias("score_1"))
 
 
+def benchmark_rows(spark, sf_dir) -> DataFrame:
+    """Events as rows of the benchmark's 22 features, with keys and categories that the tables do not hold among them."""
+    e = F.col("event_id")
+    made = {f"embedding_{n}": F.concat(F.lit("k"), (e + i) % (KEYS + 1)) for i, n in enumerate(EMBEDDED)}
+    made |= {f"onehot_{n}": F.format_string("c%03d", (e * 3 + i) % (w + 5)) for i, (n, w) in enumerate(ENCODED.items())}
+    made |= {"identity_pair": F.array(F.col("value").cast("float"), (e % 7).cast("float")), "identity_four": F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (e % (j + 2)).cast("int"))}
+    for k in range(3):
+        made |= {f"minmax32_{k}": (e % (100 + k)).cast("int"), f"minmax64_{k}": (e % (1000 + k)).cast("long"), f"standard32_{k}": (e % (200 + k)).cast("float"), f"standard64_{k}": (e % (3000 + k)).cast("double")}
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in made.items()])
+
+
+def _benchmark_sql() -> str:
+    parts = [f"CASE WHEN (event_id + {i}) % {KEYS + 1} < {KEYS} THEN list_transform(range({w}), lambda j: (((event_id + {i}) % {KEYS + 1} * 7 + j) % 13 - 6) / 8.0::DOUBLE) ELSE list_transform(range({w}), lambda j: 0::DOUBLE) END" for i, w in enumerate(EMBEDDED.values())]
+    parts += [f"list_transform(range({w}), lambda j: (j = (event_id * 3 + {i}) % {w + 5})::INT::DOUBLE)" for i, w in enumerate(ENCODED.values())]
+    parts += ["[value::FLOAT::DOUBLE, (event_id % 7)::DOUBLE]", "list_transform(range(4), lambda j: (event_id % (j + 2))::DOUBLE)"]
+    scalars = {}
+    for k in range(3):
+        scalars |= {f"minmax32_{k}": f"event_id % {100 + k}", f"minmax64_{k}": f"event_id % {1000 + k}", f"standard32_{k}": f"event_id % {200 + k}", f"standard64_{k}": f"event_id % {3000 + k}"}
+    sql = parts
+    for name, t in list(benchmark_config().transformations.items())[10:]:
+        shift, scale = (t.min, t.max - t.min) if "minmax" in name else (t.mean, t.std_dev)
+        kind = "FLOAT" if "32" in name else "DOUBLE"
+        sql.append(f"[CAST((({scalars[name]})::{kind} - {shift}::{kind}) / {scale}::{kind} AS FLOAT)::DOUBLE]")
+    x = f"SELECT event_id, flatten([{', '.join(sql)}]) AS x FROM events WHERE value IS NOT NULL"
+    for k, h in enumerate(SMALL_LAYERS):
+        w = "1002" if k == 0 else str(SMALL_LAYERS[k - 1])
+        z = "list_dot_product(x, w) + b"
+        if k < len(SMALL_LAYERS) - 1:
+            z = f"greatest({z}, 0) * (1 + 0.1::DOUBLE * o) + 0.05::DOUBLE * o"
+        layer = f"SELECT o, list_transform(range({w}), lambda p: ((o * 7 + p * 3 + {k}) % 11 - 5) / 10.0::DOUBLE / 8) AS w, 0.1::DOUBLE * (o + 1) AS b FROM (SELECT unnest(range({h})) AS o)"
+        x = f"SELECT event_id, list({z} ORDER BY o) AS x FROM ({x}) AS i, ({layer}) AS l GROUP BY event_id"
+    return f"SELECT event_id, round(x[1]::FLOAT, 3)::DOUBLE AS score_0, round(x[5]::FLOAT, 3)::DOUBLE AS score_4 FROM ({x})"
+
+
+@query(_benchmark_sql())
+def score_benchmark(spark, sf_dir):
+    """22 features of the benchmark's widths, and a network with its shape of layers from a stored table of units."""
+    setup = benchmark_config()
+    path = shared_path(spark, "units")
+    spark.createDataFrame(units(1002, SMALL_LAYERS), UNIT).write.parquet(path)
+    net = Mlp.from_table(spark.read.parquet(path))
+    rows = vectorize(benchmark_rows(spark, sf_dir).where("identity_pair[0] is not null"), setup, net.input_width).select("event_id", "vector")
+    out = score(rows, net)
+    return out.select("event_id", F.round(out.scores[0].cast("double"), 3).alias("score_0"), F.round(out.scores[4].cast("double"), 3).alias("score_4"))
+
+
 # logs and metrics
 
 def event_logs(spark, sf_dir) -> DataFrame:
@@ -348,14 +415,34 @@ _PATH = "strftime(ts, 'year=%Y/month=%m/day=%d/hour=%H/mi=') || minute(ts)::VARC
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour, count(*) AS n_rows, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
 def log_roundtrip(spark, sf_dir):
     logs = event_logs(spark, sf_dir)
-    # partitions of an hour here: the events of the test tables spread over more minutes than a folder should have files
+    # partitions of an hour here: the events of the test tables spread over more minutes than a folder should have files.
+    # Rows go to a task by their hour and a share of their ids, so that a full hour is not one task's.
     path = shared_path(spark, "logs")
     hour = F.date_trunc("hour", F.col("at"))
-    write_logs(logs.repartition(F.date_trunc("day", F.col("at"))), path, hour)
+    write_logs(logs.repartition(hour, F.col("row_id").cast("long") % 4), path, hour)
     back = read_logs(spark, path, logs.schema)
     return back.groupBy(F.concat_ws("-", "year", "month", "day").alias("day"), "hour").agg(F.count("*").alias("n_rows"), F.sum(F.col("row_id").cast("long")).alias("ids"))
 
 
+@query("SELECT ceil(count(*) / 501.0)::BIGINT AS least_files, count(*) AS requests, sum(n)::BIGINT AS n_rows FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def log_batch_files(spark, sf_dir):
+    """Log batches of whole requests, 501 in a file at most, written and read back; least_files is how many files so many need."""
+    path = shared_path(spark, "log-batches")
+    batches = log_batches(event_logs(spark, sf_dir).drop("at"))
+    write_log_batches(batches, path, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    back = read_logs(spark, path, batches.schema).withColumn("file", F.input_file_name())
+    files = back.groupBy("file").agg(F.count("*").alias("k"), F.sum(F.size("inference_log_rows")).alias("n"))
+    whole = files.agg(F.max("k").alias("most"), F.sum("k").alias("requests"), F.sum("n").alias("n_rows"))
+    return whole.where(F.col("most") <= FILE_BATCHES).select(F.ceil(F.col("requests") / FILE_BATCHES).alias("least_files"), "requests", "n_rows")
+
+
+@query("SELECT event_id, 'logs/' || strftime(ts, 'year=%Y/month=%m/day=%d/hour=%H/mi=') || minute(ts)::VARCHAR || '/*_' || epoch_us(ts)::VARCHAR || '.pb' AS name FROM events")
+def log_object_names(spark, sf_dir):
+    """Names of log objects; the random part is checked for its form and starred."""
+    uuid = "/[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}_"
+    return table(spark, sf_dir, "events", "event_id", F.regexp_replace(object_name("logs", F.col("ts").cast("timestamp")), uuid, "/*_").alias("name"))
+
+
 @query(f"SELECT {_PATH} AS path, count(*) AS n FROM events GROUP BY ALL")
 def log_partition_layout(spark, sf_dir):
     return table(spark, sf_dir, "events", partition_path(F.col("ts").cast("timestamp")).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
@@ -368,10 +455,24 @@ def log_file_batches(spark, sf_dir):
     return chunks.groupBy("event_type", "chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(" UNION ALL ".join(f"SELECT event_type, '{m}' AS metric, 'Microseconds' AS unit, count(*) AS n, sum({x})::DOUBLE AS total FROM events GROUP BY event_type" for m, x in (("InferenceTime", "event_id % 1000"), ("ToTensorTime", "event_id % 10"), ("VectorizationTime", "user_id"))))
+@query("SELECT metric, 3 AS unit_kinds, count(*) AS n, true AS timed, ceil(3 * count(*) / 500.0)::BIGINT AS flushes FROM orders, (SELECT unnest(['InferenceTime', 'ToTensorTime', 'VectorizationTime']) AS metric) GROUP BY metric".replace("3 AS unit_kinds", "1::BIGINT AS unit_kinds"))
 def stage_metrics_long(spark, sf_dir):
-    df = table(spark, sf_dir, "events", "event_type", F.expr("event_id % 1000").alias("infer_micros"), F.expr("event_id % 10").alias("tensor_micros"), F.col("user_id").alias("vec_micros"))
-    return stage_metrics(df, ["event_type"]).groupBy("event_type", "metric", "unit").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """Three timings of each request, measured while it is scored, written in flushes of 500 and read back."""
+    scored = score_requests(order_requests(spark, sf_dir), LINES, OnnxScorer(sigmoid_model(3)))
+    requests = scored.groupBy("request_id").agg(*[F.max(c).alias(c) for c in STAGES.values()])
+    path = shared_path(spark, "metrics")
+    write_metrics(stage_metrics(requests, ["request_id"]), path)
+    back = spark.read.parquet(path)
+    total = F.sum(F.count("*")).over(Window.partitionBy(F.lit(1)))
+    return back.groupBy("metric").agg(F.count_distinct("unit").alias("unit_kinds"), F.count("*").alias("n"), F.bool_and(F.col("value") >= 0).alias("timed"), F.ceil(total / FLUSH_DATUMS).alias("flushes"))
+
+
+@query("SELECT event_type, n // 500 + (n % 500 > 0)::INT AS flushes, n FROM (SELECT event_type, 3 * count(*) AS n FROM events GROUP BY event_type)")
+def metric_flushes(spark, sf_dir):
+    """Numbers of the flushes that metrics of each type fall in: three datums an event, 500 in a flush."""
+    datums = table(spark, sf_dir, "events", "event_type", "event_id", F.explode(F.array(*map(F.lit, STAGES))).alias("metric"))
+    flushed = chunk_numbers(datums, ["event_type"], ["event_id", "metric"], FLUSH_DATUMS)
+    return flushed.groupBy("event_type").agg((F.max("chunk") + 1).alias("flushes"), F.count("*").alias("n"))
 
 
 def _latency_sql(keys: str, source: str) -> str:
@@ -399,6 +500,37 @@ def latency_tumbling(spark, sf_dir):
     return latency_summary(df, ["hour"], "value").withColumn("avg", F.round("avg", 6))
 
 
+_TICKS = "(SELECT round(value * 1000)::BIGINT / 1000::DOUBLE AS value, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS tick FROM events)"
+
+
+@query(_latency_sql("tick", _TICKS))
+def latency_ticks(spark, sf_dir):
+    """Micros as milliseconds, summed up for each tick of a second."""
+    micros = table(spark, sf_dir, "events", "ts", millis(F.round(F.col("value") * 1000)).alias("value"))
+    ticks = tumbling(micros, "ts", "1 second").withColumn("tick", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return latency_summary(ticks, ["tick"], "value").withColumn("avg", F.round("avg", 6))
+
+
+# configurations in tables
+
+def supplier_configs(spark, sf_dir) -> DataFrame:
+    """A configuration for each supplier, as JSON; some are wrong."""
+    text = F.format_string('{"feature_transformations": {"x": {"type": "min_max_scaling64", "min": %d, "max": %d, "default_val": [0]}, "z": {"type": "one_hot_encoding", "categories": ["b", "a"], "default_val": [0, 0]}}, "feature_order": ["x"%s]%s', F.col("s_nationkey").cast("long"), (F.col("s_suppkey") % 25).cast("long"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN ', \"z\"' WHEN 1 THEN ', \"z\", \"y\"' ELSE '' END"), F.expr("if(s_suppkey % 10 = 9, '', '}')"))
+    return table(spark, sf_dir, "supplier", "s_suppkey", text.alias("config"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey AS a, s_suppkey % 25 AS b, s_suppkey % 3 AS o FROM supplier WHERE s_suppkey % 10 <> 9)
+SELECT s_suppkey, 'problem' AS kind, 'MinMaxScaling64 for x: min (' || a || ') must be less than max (' || b || ')' AS problem FROM s WHERE a >= b
+UNION ALL SELECT s_suppkey, 'problem', 'Feature y in feature_order has no transformation' FROM s WHERE o = 1
+UNION ALL SELECT s_suppkey, 'problem', 'Feature z has a transformation but is not in feature_order' FROM s WHERE o = 2
+UNION ALL SELECT s_suppkey, 'warning', 'OneHotEncoding for z: categories are not sorted' FROM s
+UNION ALL SELECT s_suppkey, 'problem', 'not a vectorization config' FROM supplier WHERE s_suppkey % 10 = 9""")
+def config_problems(spark, sf_dir):
+    """Problems and warnings of configurations that are stored as rows."""
+    out = validate_configs(supplier_configs(spark, sf_dir), "s_suppkey")
+    return out.withColumn("problem", F.regexp_replace("problem", "^(not a vectorization config): .*", "$1"))
+
+
 @query("""WITH o AS (SELECT DISTINCT event_type AS feature FROM events UNION SELECT DISTINCT l_returnflag FROM lineitem), t AS (SELECT DISTINCT event_type AS feature FROM events WHERE value > 0 AND event_type <> 'view' UNION SELECT DISTINCT o_orderstatus FROM orders)
 SELECT feature, 'Feature ' || feature || ' in feature_order has no transformation' AS problem FROM o WHERE feature NOT IN (FROM t)
 UNION ALL SELECT feature, 'Feature ' || feature || ' has a transformation but is not in feature_order' FROM t WHERE feature NOT IN (FROM o)""")
@@ -432,10 +564,29 @@ def stream_log(spark, sf_dir):
     return read_logs(spark, path, rows.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query(_latency_sql("hour", _HOURS))
+_CLOSED = "(SELECT value, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE value IS NOT NULL))"
+
+
+@query(_latency_sql("hour", _CLOSED))
 def stream_latency(spark, sf_dir):
-    summary = latency_stream(read_events(spark, sf_dir), "ts", "value", "1 hour", "1 hour")
+    """Hours that the watermark has closed; the stream counts values, and ranks are taken from the stored counts."""
+    counts = latency_counts(read_events(spark, sf_dir), "ts", "value", "1 hour", "1 hour")
     path = shared_path(spark, "stream-latency")
-    drain_complete(summary, path, f"{path}-checkpoint")
-    out = spark.read.parquet(path)
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("avg", 6).alias("avg"), "p50", "p99")
+    drain(counts, path, f"{path}-checkpoint")
+    stored = spark.read.schema(counts.schema).parquet(path).withColumn("hour", F.date_format("window_start", "yyyy-MM-dd HH"))
+    return summary_of_counts(stored, ["hour"]).withColumn("avg", F.round("avg", 6))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_tax >= 0.075 AS bad FROM lineitem), o AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(bad), false) AS bad FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey::VARCHAR AS request_id, CASE WHEN NOT bad THEN n END AS n_outputs, CASE WHEN bad THEN 'Invalid data type for Standardization64' END AS error, CASE WHEN bad OR n = 0 THEN 0 ELSE n END AS n_logged, 3::BIGINT AS n_metrics FROM o""")
+def stream_requests_job(spark, sf_dir):
+    """Stored requests as a stream: exploded, vectorised, scored with a stored model, answered, logged and timed."""
+    path = shared_path(spark, "request-job")
+    order_requests(spark, sf_dir, F.col("l_tax") >= 0.075).write.parquet(f"{path}/requests")
+    spark.createDataFrame([(bytearray(sigmoid_model(3)),)], "content binary").write.parquet(f"{path}/model")
+    request_job(stream_requests(spark, f"{path}/requests"), LINES, OnnxScorer.from_path(spark, f"{path}/model", "parquet"), "model-1", path, f"{path}/checkpoint")
+    answers = spark.read.schema(T.StructType([*RESPONSE.fields, T.StructField("error", T.StringType())])).parquet(f"{path}/responses/*")
+    logged = read_logs(spark, f"{path}/logs/*", LOG_BATCH).select("request_id", F.size("inference_log_rows").cast("long").alias("n_logged"))
+    timed = spark.read.schema("request_id string, metric string, value double").parquet(f"{path}/metrics/*").groupBy("request_id").agg(F.count("*").alias("n_metrics"))
+    out = answers.select("request_id", F.when(F.col("outputs").isNotNull(), F.size("outputs").cast("long")).alias("n_outputs"), "error")
+    return out.join(logged, "request_id", "left").join(timed, "request_id", "left").withColumn("n_logged", F.coalesce("n_logged", F.lit(0)))

@@ -40,6 +40,45 @@ def mlp() -> Mlp:
     return Mlp(layers, norms)
 
 
+# the benchmark's shape: 22 features in a vector of 1,002 numbers, and layers for it
+# Widths of the embeddings and one-hot features, and the layers of the full network.
+EMBEDDED = {"text": 100, "category": 150, "sentiment": 200, "location": 34}
+ENCODED = {"color": 50, "size": 100, "kind": 150, "status": 200}
+FULL_LAYERS = [8192, 8192, 4096, 2048, 4096, 1024, 2048, 1024, 512, 5]
+#: Layers of the registered query; the full network is a parameter away.
+SMALL_LAYERS = [16, 8, 5]
+#: Categories that no table has are looked up too, so that defaults occur.
+KEYS = 4
+
+
+def embedded(key: int, width: int) -> tuple[float, ...]:
+    return tuple(((key * 7 + j) % 13 - 6) / 8 for j in range(width))
+
+
+def benchmark_config() -> VectorizationConfig:
+    """22 features: 4 embeddings, 4 one-hot, 2 identities (a pair and four), 3 of each scaling."""
+    out = {f"embedding_{n}": Embedding((0.0,) * w, {f"k{k}": embedded(k, w) for k in range(KEYS)}) for n, w in EMBEDDED.items()}
+    out |= {f"onehot_{n}": OneHot((0.0,) * w, tuple(f"c{k:03d}" for k in range(w))) for n, w in ENCODED.items()}
+    out |= {"identity_pair": Identity((0.0, 0.0)), "identity_four": Identity((0.0,) * 4)}
+    for k, (low, high) in enumerate([(-40.0, 120.0), (0.0, 10000.0), (0.0, 100.0)]):
+        out |= {f"minmax32_{k}": MinMax32((0.0,), low, high), f"minmax64_{k}": MinMax64((0.0,), low, high * 100)}
+    for k, (mean, std) in enumerate([(35.5, 12.75), (170.0, 30.0), (300.0, 150.0)]):
+        out |= {f"standard32_{k}": Standardize32((0.0,), mean, std), f"standard64_{k}": Standardize64((0.0,), mean * 100, std * 100)}
+    return VectorizationConfig(out, tuple(out))
+
+
+def units(width: int, layers: list[int]) -> list[tuple]:
+    """Rows (layer, out, weights, bias, scale, shift) of a network with weights by rule."""
+    rows = []
+    for k, (h, w) in enumerate(zip(layers, [width, *layers], strict=False)):
+        last = k == len(layers) - 1
+        rows += [(k, o, [weight(k, o, p) / 8 for p in range(w)], 0.1 * (o + 1), None if last else 1 + 0.1 * o, None if last else 0.05 * o) for o in range(h)]
+    return rows
+
+
+UNIT = "layer int, out int, weights array<double>, bias double, scale double, shift double"
+
+
 def _varint(n: int) -> bytes:
     out = b""
     while n > 127:
@@ -51,8 +90,8 @@ def _field(number: int, data: bytes | int) -> bytes:
     return _varint(number << 3) + _varint(data) if isinstance(data, int) else _varint(number << 3 | 2) + _varint(len(data)) + data
 
 
-def sigmoid_model(width: int, outputs: int = 2, w: float = 0.5, b: float = 0.1) -> bytes:
-    """ONNX bytes of sigmoid(W x + b) with one weight and bias throughout."""
+def sigmoid_model(width: int, outputs: int = 2, w: float = 0.5, b: float = 0.1, free: bool = False) -> bytes:
+    """ONNX bytes of sigmoid(W x + b) with one weight and bias throughout; free leaves the input's width open."""
     dim = lambda d: _field(1, _field(1, d) if isinstance(d, int) else _field(2, d))
     shaped = lambda name, *dims: _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, b"".join(dim(d) for d in dims))))
     tensor = lambda name, dims, xs: b"".join(_field(1, d) for d in dims) + _field(2, 1) + _field(8, name) + _field(9, struct.pack(f"<{len(xs)}f", *xs))
@@ -60,5 +99,5 @@ def sigmoid_model(width: int, outputs: int = 2, w: float = 0.5, b: float = 0.1)
     trans = _field(5, _field(1, b"transB") + _field(3, 1) + _field(20, 2))
     graph = _field(1, node(b"Gemm", [b"x", b"w", b"b"], [b"z"], trans)) + _field(1, node(b"Sigmoid", [b"z"], [b"y"])) + _field(2, b"g")
     graph += _field(5, tensor(b"w", (outputs, width), [w] * width * outputs)) + _field(5, tensor(b"b", (outputs,), [b] * outputs))
-    graph += _field(11, shaped(b"x", b"batch_size", width)) + _field(12, shaped(b"y", b"batch_size", outputs))
+    graph += _field(11, shaped(b"x", b"batch_size", b"width" if free else width)) + _field(12, shaped(b"y", b"batch_size", outputs))
     return _field(1, 7) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 11))

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Partition columns with their date patterns (the minute has no leading zero), and the size of a file.
+# Partition columns with their date patterns (the minute has no leading zero), request
+# batches of a file, and metrics of a flush.
 PARTITIONS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH", "mi": "m"}
 FILE_BATCHES = 501
+FLUSH_DATUMS = 500
+NAMESPACE = "FeatureScore"
+#: Flat rows of a file at most, for tables that are large.
+FILE_ROWS = 1_000_000
 STAGES = {"InferenceTime": "infer_micros", "ToTensorTime": "tensor_micros", "VectorizationTime": "vec_micros"}
 
 
@@ -26,16 +31,26 @@ def log_rows(scored: DataFrame, model_id: str, *more: str) -> DataFrame:
 
 
 def log_batches(rows: DataFrame) -> DataFrame:
-    """One row per request, in the nested form; the rows of a request meet in one task."""
+    """One row per request, in the nested form; the rows of a request, which is one message, meet in one task."""
     return rows.groupBy("request_id", "model_id").agg(F.collect_list(F.struct("row_id", "features", "scores")).alias("inference_log_rows"))
 
 
-def write_logs(rows: DataFrame, path: str, ts: Column | None = None, file_rows: int = FILE_BATCHES) -> None:
-    """Appends rows under path/year=/month=/day=/hour=/mi=, by ts or else by the time of this call, in files of bounded length."""
+def object_name(prefix: str, ts: Column) -> Column:
+    """A new name of a log object: prefix, partition, a random uuid and the micros of ts."""
+    return F.concat_ws("/", F.lit(prefix), partition_path(ts), F.concat(F.uuid(), F.lit("_"), F.unix_micros(ts).cast("string"), F.lit(".pb")))
+
+
+def write_logs(rows: DataFrame, path: str, ts: Column | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Appends flat rows under path/year=/month=/day=/hour=/mi=, by ts or else by the time of this call, in files of bounded length."""
     at = ts if ts is not None else F.current_timestamp()
     with_partitions(rows, at).write.mode("append").partitionBy(*PARTITIONS).option("maxRecordsPerFile", file_rows).parquet(path)
 
 
+def write_log_batches(batches: DataFrame, path: str, ts: Column | None = None, file_batches: int = FILE_BATCHES) -> None:
+    """As write_logs, for rows that are the batches of whole requests: so many of them make a file."""
+    write_logs(batches, path, ts, file_batches)
+
+
 def read_logs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Logs with partition columns as strings (so that 01 stays 01), whatever the session infers."""
     kept = T.StructType([*schema.fields, *[T.StructField(k, T.StringType()) for k in PARTITIONS]])
@@ -46,3 +61,8 @@ def stage_metrics(df: DataFrame, keys: list[str], stages: dict[str, str] = STAGE
     """Long form (keys.., metric, value, unit) of timing columns."""
     pairs = ", ".join(f"'{name}', cast({column} as double)" for name, column in stages.items())
     return df.select(*keys, F.expr(f"stack({len(stages)}, {pairs}) AS (metric, value)"), F.lit("Microseconds").alias("unit"))
+
+
+def write_metrics(metrics: DataFrame, path: str, namespace: str = NAMESPACE, flush: int = FLUSH_DATUMS, mode: str = "append") -> None:
+    """Writes metric rows under path, with their namespace, in files of a flush each at most."""
+    metrics.withColumn("namespace", F.lit(namespace)).write.mode(mode).option("maxRecordsPerFile", flush).parquet(path)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.logs import FILE_BATCHES, PARTITIONS, with_partitions
+from ..config import VectorizationConfig
+from ..operators.requests import assemble_responses, explode_requests, reject_requests
+from ..operators.scoring import Scorer, score
+from ..operators.vectorize import vectorize
+from ..sources.logs import FILE_BATCHES, FILE_ROWS, PARTITIONS, log_batches, log_rows, stage_metrics, with_partitions, write_metrics
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None, file_rows: int = FILE_BATCHES) -> None:
-    """Writes what a stateless stream has available as Parquet under path, each row once, and ends."""
+def drain(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Writes what a stream in append mode has available as Parquet under path, each row once, and ends."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("maxRecordsPerFile", file_rows)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -24,37 +29,64 @@ def log_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
     drain(with_partitions(rows, F.current_timestamp()), path, checkpoint, list(PARTITIONS))
 
 
-def drain_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Writes the state of an aggregation after each micro-batch over that of the one before."""
+def latency_counts(events: DataFrame, ts: str, value: str, width: str, delay: str) -> DataFrame:
+    """Rows (window_start, v, c) of the tumbling windows that the watermark has closed: how often each value occurs.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    The state holds a count for each open window and value; windows are dropped once closed. summary_of_counts() gives
+    the mean and the index percentiles.
+    """
+    rows = events.withColumn("__ts", F.col(ts).cast("timestamp")).where(F.col(value).isNotNull()).withWatermark("__ts", delay)
+    counts = rows.groupBy(F.window("__ts", width).alias("w"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    return counts.select(F.col("w.start").alias("window_start"), "v", "c")
 
-    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start().awaitTermination()
 
+def foreach_scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> None:
+    """Scores each micro-batch once and hands it with its number to several sinks, so that responses and logs do not score twice.
 
-def latency_stream(events: DataFrame, ts: str, value: str, width: str, delay: str) -> DataFrame:
-    """Mean and index percentiles of each tumbling window; a window holds a bounded time of values, which are kept until it closes."""
-    late = events.withColumn("__ts", F.col(ts).cast("timestamp")).where(F.col(value).isNotNull()).withWatermark("__ts", delay)
-    groups = late.groupBy(F.window("__ts", width).alias("w")).agg(F.sort_array(F.collect_list(value)).alias("v"), F.sum(value).alias("s"))
-    n = F.size("v")
-    return groups.select(F.col("w.start").alias("window_start"), n.cast("long").alias("n"), (F.col("s") / n).alias("avg"), F.element_at("v", F.floor(n / 2).cast("int") + 1).alias("p50"), F.element_at("v", F.floor(n * F.lit(0.99)).cast("int") + 1).alias("p99"))
+    A micro-batch may come again after a failure, with the same number and rows: sinks write to a place of its number.
+    """
 
-
-def foreach_scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sinks: list[Callable[[DataFrame], None]], checkpoint: str) -> None:
-    """Scores each micro-batch once and hands it to several sinks, so that responses and logs do not score twice."""
-
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         out = transform(batch).persist()
         try:
             for sink in sinks:
-                sink(out)
+                sink(out, number)
         finally:
             out.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
 
 
+def score_requests(requests: DataFrame, config: VectorizationConfig, scorer: Scorer) -> DataFrame:
+    """Rows of nested requests with vector, error, scores and the micros of their stages.
+
+    vec_micros is the time of a pass that makes the vectors only; scoring makes them again, fused with its own reading.
+    """
+    vectors = vectorize(explode_requests(requests), config, scorer.input_width, features="features")
+    start = time.perf_counter_ns()
+    vectors.select("vector", "error").write.format("noop").mode("overwrite").save()
+    micros = (time.perf_counter_ns() - start) // 1000
+    return score(vectors, scorer, timings=True).withColumn("vec_micros", F.lit(micros))
+
+
+def request_job(requests: DataFrame, config: VectorizationConfig, scorer: Scorer, model_id: str, path: str, checkpoint: str) -> None:
+    """Scores a stream of requests to path/responses, path/logs (a row per accepted request, as many in a file as a flush has) and path/metrics."""
+
+    def responses(scored: DataFrame, number: int) -> None:
+        assemble_responses(scored).write.mode("overwrite").parquet(f"{path}/responses/batch={number}")
+
+    def logs(scored: DataFrame, number: int) -> None:
+        accepted, _ = reject_requests(scored.where("pos is not null"))
+        batches = with_partitions(log_batches(log_rows(accepted, model_id)), F.current_timestamp())
+        batches.write.mode("overwrite").partitionBy(*PARTITIONS).option("maxRecordsPerFile", FILE_BATCHES).parquet(f"{path}/logs/batch={number}")
+
+    def metrics(scored: DataFrame, number: int) -> None:
+        stages = scored.groupBy("request_id").agg(*[F.max(c).alias(c) for c in ("infer_micros", "tensor_micros", "vec_micros")])
+        write_metrics(stage_metrics(stages, ["request_id"]), f"{path}/metrics/batch={number}", mode="overwrite")
+
+    foreach_scored(requests, lambda batch: score_requests(batch, config, scorer), [responses, logs, metrics], checkpoint)
+
+
 def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """A table of the test data as a stream; the pattern matches a file as well as a folder of that name."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema

@@ -10,3 +10,15 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    """Writes rows as a Parquet table and reads it again, as the library sees its input."""
+
+    def make(rows, schema):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        spark.createDataFrame(rows, schema).repartition(2).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return make
