@@ -1,15 +1,18 @@
 """License scan by ordered signature rules.
 
-Every license family has hand-written forms (title, notice, grant, tag, address), with versions spelled out where they
-have them: a few hundred regular expressions, in an order of priority. Runs of white space, with the comment signs that
-open a line, are one space to the rules; spans are those of the text as it is. A text is first tested for the keywords of all
-rules in one pass of an Aho-Corasick automaton; only rules with a keyword in it run. Overlapping detections are resolved
-by interval containment: a detection that lies within one of a rule with the same or a higher priority goes.
+Signatures are regular expressions written by hand (license_signatures): sentences of grants, conditions and warranties,
+notices, short names, tags and addresses; and for each license family its titles and references, with versions spelled
+out. All have an order of priority. Runs of white space, with the comment signs that open a line, are one space to the
+rules; spans are those of the text as it is. A text is first searched for the keywords of all rules in one pass of an
+Aho-Corasick automaton; every rule has a keyword that any text it matches holds, and only rules whose keyword is there run.
+Overlapping detections are resolved by interval containment: a detection that lies within one of a rule with the same or a
+higher priority goes.
 
 Counts of plain phrases are kept beside it (`PHRASES`): places where the words of a phrase stand one after the other.
 
 Defined results: a null or empty text has no words and no labels and scores 0; positions count words from 0; labels are
-distinct and sorted by code point; repeated rows are rows of their own; other columns stay, but for `license`, which is
+distinct and sorted by code point; of detections with the same span the rule of the highest priority stays, then the first
+listed; an empty table gives no rows; repeated rows are rows of their own; other columns stay, but for `license`, which is
 replaced. Texts are read whole; the work of a text grows with its length and its keywords.
 """
 
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ARROW_ROWS, LOWER, as_bytes, word_bounds
+from .license_signatures import GRANTS, MARKS, WARRANTIES
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -33,6 +37,8 @@ _WORD_BYTES = np.zeros(256, dtype=bool)
 _WORD_BYTES[0x30:0x3A] = _WORD_BYTES[0x61:0x7B] = True
 _WORD_BYTES[0x80:] = True
 
+#: Weights of labels that say little about which license it is.
+WEAK = {"copyright": 0.5, "copyleft": 0.5, "license-file": 0.5, "open-source": 0.5, "warranty-disclaimer": 0.4, "liability-disclaimer": 0.4}
 #: label, spelling of the name, keyword that every form holds, versions with the spelling of each ("" for none)
 FAMILIES = [
     ("mit", r"(?:the )?mit", "mit", [""]),
@@ -82,20 +88,6 @@ FAMILIES = [
 ]
 #: Creative Commons: label, spelling, long name
 COMMONS = [("cc-by-nc-nd", "by-nc-nd", "attribution-noncommercial-noderiv(?:ative)?s"), ("cc-by-nc-sa", "by-nc-sa", "attribution-noncommercial-sharealike"), ("cc-by-nc", "by-nc", "attribution-noncommercial"), ("cc-by-nd", "by-nd", "attribution-noderiv(?:ative)?s"), ("cc-by-sa", "by-sa", "attribution-sharealike"), ("cc-by", "by", "attribution")]
-#: Single forms: label, pattern, keyword
-SINGLE = [
-    ("cc0", r"\bcc[ -]?0(?:[ -]1\.0)?\b", "cc"), ("cc0", r"creativecommons\.org/publicdomain/zero", "creativecommons"),
-    ("public-domain", r"\b(?:dedicated to|released into|placed in|in) the public domain\b", "public domain"),
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted"),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee", "permission to use"),
-    ("bsd", r"redistribution and use in source and binary forms, with or without modification", "redistribution and use"),
-    ("apache", r"\bapache\.org/licenses/license-2\.0", "apache"), ("gpl", r"\bgnu\.org/(?:copyleft|licenses)/(?:old-licenses/)?gpl", "gnu.org"),
-    ("gpl", r"\bgpl ?(?:v|version )?[123](?:\.0)?(?:\+| or later)?\b", "gpl"), ("lgpl", r"\blgpl ?(?:v|version )?[23](?:\.[01])?(?:\+| or later)?\b", "lgpl"), ("agpl", r"\bagpl ?(?:v|version )?3(?:\.0)?\b", "agpl"),
-    ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "as-is"), ("proprietary", r"\ball rights reserved\b", "all rights reserved"),
-    ("proprietary", r"\b(?:proprietary and confidential|may not be (?:copied|reproduced|distributed) without (?:the )?(?:prior )?(?:written )?permission)", "p"), ("copyright", r"(?:\bcopyright|©|\(c\)) ?(?:©|\(c\))? ?(?:19|20)\d\d\b", "c"),
-]
-
-
 @cache
 def rules() -> list[tuple[int, str, re.Pattern, str, float]]:
     """(priority, label, pattern, keyword, weight), the most specific first; several hundred."""
@@ -126,8 +118,9 @@ def rules() -> list[tuple[int, str, re.Pattern, str, float]]:
             add(rank + 2, own, rf"\bcc[ -]{short}(?!-)\b[ -]?{v}", "cc", 0.8)
             add(rank + 2, own, rf"creativecommons\.org/licenses/{short}/{v}", "creativecommons", 1.0)
             add(rank + 3, own, rf"\bcreative commons {long}(?!-)(?: {v})?(?: (?:international|unported|generic))? licen[cs]e ?{v}", "creative commons", 0.9)
-    for label, pattern, keyword in SINGLE:
-        add(4, label, pattern, keyword, 0.5 if label == "copyright" else 0.9)
+    for rank, weight, signatures in ((1, 1.0, GRANTS), (4, 0.9, MARKS), (6, 0.6, WARRANTIES)):
+        for label, pattern, keyword in signatures:
+            add(rank, label, pattern, keyword, WEAK.get(label, weight))
     return sorted(out, key=lambda r: r[0])
 
 
@@ -137,16 +130,12 @@ def _keywords() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     for i, r in enumerate(rules()):
         by.setdefault(r[3], []).append(i)
     found = ahocorasick.Automaton()
-    for k in [*by, "licen", "copyright", "(c)", "©", "all rights", "permission", "redistribution", "public domain", "as-is", "proprietary", "gpl", "cc"]:
+    for k in by:
         found.add_word(k, k)
     found.make_automaton()
     return found, by
 
 
-#: Words one of which any license text holds; the gate before the keywords of single rules.
-GATE = ("licen", "copyright", "(c)", "©", "all rights", "permission", "redistribution", "public domain", "as-is", "proprietary", "gpl", "cc0", "cc 0", "cc-", "cc by", "creativecommons", "creative commons", "apache.org", "gnu.org")
-
-
 _GAP = re.compile(r"[^\S\n]*\n\s*(?:(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+|>+)\s*)*|\s\s+|[^\S ]")
 
 
@@ -174,8 +163,6 @@ def detect(low: str) -> list[tuple[int, int, str, float]]:
 
 
 def _detect(low: str) -> list[tuple[int, int, str, float]]:
-    if not any(g in low for g in GATE):
-        return []
     automaton, by = _keywords()
     present = {k for _, k in automaton.iter(low)}
     hits = []
@@ -190,8 +177,8 @@ def _detect(low: str) -> list[tuple[int, int, str, float]]:
         if not any(b[1] >= h[1] and b[2] <= h[2] for b in best):
             kept.append(h)
             best.append(h)
-    # the same span found later by a stronger rule
-    return [(s, e, label, weight) for s, e, rank, i, label, weight in kept if not any(o[0] <= s and o[1] >= e and (o[2], o[3]) < (rank, i) for o in kept if o[0] <= s)] if len(kept) < 200 else [(h[0], h[1], h[4], h[5]) for h in kept]
+    # whatever contains a detection starts before it or sorts before it, so it has been seen
+    return [(s, e, label, weight) for s, e, _, _, label, weight in kept]
 
 
 _TYPE = "struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:array<string>,labels:array<string>,score:double,found:array<struct<start:long,end:long,label:string>>>"

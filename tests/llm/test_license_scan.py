@@ -40,6 +40,47 @@ def test_rules_and_suppression():
     assert label("SPDX-License-Identifier: MIT") == ["mit"]
     assert label("Copyright 2020 Someone. All rights reserved.") == ["copyright", "proprietary"]
     assert label("they had a license to act and the accent of cc") == []
+    assert label("cc 0 1.0") == label("cc 0 1.0 licence") == ["cc0"]
+
+
+def test_every_keyword_is_in_what_its_rule_matches():
+    """A keyword that a match may lack would lose detections: each is a literal piece of its pattern, or of all alternatives."""
+    samples = ["mit licence", "licence", "license-identifier"]
+    for _, label, pattern, keyword, _ in rules():
+        plain = re.sub(r"\\(.)", r"\1", pattern.pattern)
+        assert keyword in plain or all(keyword not in s for s in samples) and any(keyword in v for v in variants(pattern.pattern)), (label, pattern.pattern, keyword)
+
+
+def variants(p):
+    """Texts of the pattern with its optional groups left out and its first alternatives taken."""
+    p = re.sub(r"\\(.)", r"\1", p)
+    for _ in range(5):
+        p = re.sub(r"\(\?:([^()|]*)[^()]*\)\?", "", p)
+        p = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", p)
+    p = re.sub(r".\?|\[([^\]])[^\]]*\]", lambda m: m[1] or ("" if m[0].endswith("?") else m[0]), p)
+    return [p]
+
+
+def test_signatures_of_texts():
+    label = lambda t: {x[2] for x in detect(t.lower())}
+    cases = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "bsd-3-clause": "Neither the name of the Example Corp. nor the names of its contributors may be used to endorse or promote products",
+        "gpl-3.0-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "apache-2.0": 'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "proprietary": "No part of this publication may be reproduced", "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "cc-by-sa": "If you remix, transform, or build upon the material, you must distribute your contributions under the same license", "openssl": "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit",
+        "copyright": "© 2019 Someone", "warranty-disclaimer": "sold without warranty of any kind to you",
+    }
+    for want, text in cases.items():
+        assert want in label(text), (want, label(text))
+
+
+def test_many_detections_and_long_texts():
+    many = detect("cc0 and mit license, " * 2000)
+    assert len(many) == 4000 and {x[2] for x in many} == {"cc0", "mit"}
+    assert detect("copyright " * 100_000 + "a" * 1_000_000) == [] and len(detect("provided " * 50_000)) == 0
 
 
 def test_wrapped_notices():
