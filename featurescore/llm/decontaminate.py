@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are folded to lower case, and numbers, units after a number and names (capitalised words inside a sentence) become
+Words are folded to lower case, and numbers, units after a number (or after its square or cubic) and names (capitalised words inside a sentence) become
 typed placeholders, so that a question with new numbers or names has the same template. Windows of `WINDOW` template words are
 hash-joined between benchmark and documents (an item with fewer words is one window of its own length). Windows of one
 document and item that lie at the same offset are one occurrence; it counts if its slots are consistent: equal values of
@@ -36,7 +36,7 @@ _INSIDE[0x80:] = True
 _DIGIT, _END = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
 _END[[*b".!?\n:;"]] = True
-UNITS = "mm cm m km in inch inches ft feet yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh watt watts kw volt volts hz khz mhz ghz kb mb gb tb bytes apples people".split()
+UNITS = "mm cm m km in inch inches ft feet yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh watt watts kw volt volts hz khz mhz ghz kb mb gb tb bytes degrees celsius fahrenheit pounds ounces grams kilograms meters metres kilometers kilometres centimeters centimetres millimeters millimetres acres hectares".split()
 #: Kinds of slots, as numbers.
 NUMBER, UNIT, NAME = 1, 2, 3
 _UNIT_BYTES = {u.encode() for u in UNITS}
@@ -89,7 +89,10 @@ def template(data: np.ndarray, at: np.ndarray, loose: bool = False):
     kind[number] = NUMBER
     after = np.flatnonzero(number[:-1] & ~number[1:]) + 1
     after = after[~opening[after]]
-    kind[[k for k in after.tolist() if low[starts[k] : ends[k]].tobytes() in _UNIT_BYTES]] = UNIT
+    spelled = lambda k: low[starts[k] : ends[k]].tobytes()
+    after = after.tolist()
+    after += [k + 1 for k in after if spelled(k) in (b"square", b"cubic") and k + 1 < len(starts) and not opening[k + 1] and not number[k + 1]]
+    kind[[k for k in after if spelled(k) in _UNIT_BYTES]] = UNIT
     return starts, ends, np.where(kind > 0, mix(kind.astype(np.uint64)), words), kind, first
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 from featurescore.llm.decontaminate import UNITS, drop_leaks, find_leaks, op6_decontaminate
@@ -19,7 +20,7 @@ def canonical(t):
             kind = "<name>"
         low = "".join(c.lower() if "A" <= c <= "Z" or c in "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ" else c for c in w)
         out.append((kind or low, kind, w))
-        number, end = kind == "<number>", m.end()
+        number, end = kind == "<number>" or number and not opening and w.lower() in ("square", "cubic"), m.end()
     return out
 
 
@@ -108,3 +109,30 @@ def test_items_without_id(table):
     docs = table([(1, "Tell me which river runs past the old mill or who paid for the new bridge over it"), (2, "None of it")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()] == [(1, None), (1, None)]
     assert [r.doc_id for r in drop_leaks(docs, items).collect()] == [2]
+
+
+FRAMES = [
+    "{a} buys {n} boxes of nails for the barn and {b} carries {m} of them up the hill. After {k} hours {a} has used half of her boxes. How many boxes does {a} still have?",
+    "A train leaves the station at noon and travels {n} {u} before it stops for {k} minutes. If {a} drives {m} {u} along the same road, how far ahead of {a} is the train?",
+    "{a} and {b} share a garden of {n} square {u}. {b} plants beans on {m} square {u} of it. What part of the garden is left for {a}?",
+    "The tank at the mill holds {n} {u} of oil. Each day the miller {a} draws {m} {u} from it. After how many days must {a} call the merchant {b}?",
+    "In the shop of {a} a coat costs {n} dollars and a hat costs {m} dollars. {b} has {k} dollars and wants two hats. How much must {b} borrow from {a}?",
+]
+
+
+def test_recall_of_reparameterised_questions(table):
+    r = random.Random(5)
+    names, units = "Anna Boris Clara Dmitri Elena Farid Grace Hugo Ines Jonas Karin Luis Maya Nikolai Olga Pedro Quentin Rosa Stefan Tara".split(), "km miles liters gallons meters yards".split()
+
+    def asked(frame):
+        a, b = r.sample(names, 2)
+        number = lambda: r.choice(["7", "48", "1,250", "3.5", "960", "12"])
+        return FRAMES[frame].format(a=a, b=b, u=r.choice(units), n=number(), m=number(), k=number())
+
+    items = [(i, asked(i % len(FRAMES))) for i in range(20)]
+    filler = lambda: " ".join(r.choice("the of a river stone bird walks slowly under old green trees and hears no sound".split()) for _ in range(40))
+    docs = [(i, f"{filler()}. {asked(i % len(FRAMES))} {filler()}.") for i in range(100)] + [(1000 + i, f"{filler()}. {filler()} {r.choice(names)} has {r.randrange(99)} boxes of nails.") for i in range(100)]
+    hit = {(x.doc_id, x.item_id % len(FRAMES)) for x in find_leaks(table(docs, "doc_id long, text string"), table(items, "item_id int, text string")).collect()}
+    found = sum((i, i % len(FRAMES)) in hit for i in range(100))
+    print("re-parameterised questions found:", found, "of 100")
+    assert found >= 90 and not any(d >= 1000 or d % len(FRAMES) != f for d, f in hit)
