@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -74,7 +74,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """The rows of docs with size, source_size, target, copies and taken (words); columns of these names are replaced."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": n_words(text), "__key": key})
-    plan = materialise(source_plan(rows.select(F.col(source).alias("source"), F.col("__key").alias("key"), "size"), weights, max_epochs), "mixture")
+    # words are counted once for the plan, which reads sizes more than once, and once for the result
+    sized = materialise(rows.select(F.col(source).alias("source"), F.col("__key").alias("key"), "size"), "mixture-sizes")
+    plan = materialise(source_plan(sized, weights, max_epochs), "mixture")
+    discard(sized)
     plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
     joined = rows.join(plan, F.col(source).eqNullSafe(F.col("__source")))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(F.col("__key") <= F.col("cut"), 1).otherwise(0)).cast("long")
