@@ -8,7 +8,8 @@ that order. Every step groups (feature, bin) counts, so the driver sees a few hu
 
 Defined results: a null or empty text has no words and fails the base rule; without labels of both kinds the list is empty and
 the base rule decides; rows with several labels count once, as bad if any label is; repeated rows are rows of their own;
-an empty table gives no rows.
+an empty table gives no rows; a text of any length is counted whole in one task, in memory in proportion to its words;
+other columns of docs stay, but for those with names of features or results, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"
 FEATURES = ("symbols_per_word", "dup_line_share", "repeat_share", "mean_word", "capital_share", "bangs_per_word", "digit_share", "n_words")
 BINS = 32
-MAX_RULES = 6
-MAX_CONDITIONS = 3
+#: Rules that fail on the rows kept for pruning, in a row, before the search ends.
+PATIENCE = 3
 LEAST_SUPPORT = 5
 LEAST_PRECISION = 0.9
 
@@ -123,18 +124,23 @@ def _bin(value: Column, cuts: list[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda a, c: a + (value > c).cast("int"))
 
 
-def learn(rows: DataFrame, bad: str = "bad", key: str = "key", features: tuple[str, ...] = FEATURES) -> list[Rule]:
-    """Rules for rows with the features, bad (int) and key (long, spread evenly; a third of keys is kept for pruning)."""
+def learn(rows: DataFrame, bad: str = "bad", key: str = "key", features: tuple[str, ...] = FEATURES, max_rules: int | None = None, max_conditions: int | None = None, patience: int = PATIENCE) -> list[Rule]:
+    """Rules for rows with the features, bad (int) and key (long, spread evenly; a third of keys is kept for pruning).
+
+    Covering ends by itself: a rule grows while a condition gains, and rules are sought while one is found whose support
+    and precision hold; where one does not, the next best first condition is tried, `patience` times in a row. Limits on
+    rules and conditions are for those who want a shorter list. Ties go to the feature listed first, then the lower cut.
+    """
     cuts = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in features]).first()
     cuts = {f: sorted(set(cuts[f] or [])) for f in features}
     binned = {f: _bin(F.col(f), cuts[f]) for f in features}
     rows = rows.select(bad, key, *features, F.array(*[F.struct(F.lit(f).alias("feature"), binned[f].alias("bin")) for f in features]).alias("bins"))
     rows = materialise(rows, "rule-rows")
     grow, prune, rules = F.pmod(F.col(key), F.lit(3)) < 2, F.pmod(F.col(key), F.lit(3)) == 2, []
-    left = F.lit(True)
-    while len(rules) < MAX_RULES:
+    left, failed = F.lit(True), []
+    while (max_rules is None or len(rules) < max_rules) and len(failed) < patience:
         rule: Rule = ()
-        while len(rule) < MAX_CONDITIONS:
+        while max_conditions is None or len(rule) < max_conditions:
             counts = rows.where(left & grow & holds(rule)).select(bad, F.explode("bins").alias("b")).groupBy("b.feature", "b.bin").agg(F.sum(bad).alias("p"), F.sum(1 - F.col(bad)).alias("n")).collect()
             by: dict[str, dict[int, tuple[int, int]]] = {}
             for r in counts:
@@ -149,7 +155,7 @@ def learn(rows: DataFrame, bad: str = "bad", key: str = "key", features: tuple[s
                     p, n = p + by[f].get(i, (0, 0))[0], n + by[f].get(i, (0, 0))[1]
                     for above, a, b in ((False, p, n), (True, total[0] - p, total[1] - n)):
                         gain = _gain(a, b, *total)
-                        if gain > best[0] + 1e-9 and a >= LEAST_SUPPORT:
+                        if gain > best[0] + 1e-9 and a >= LEAST_SUPPORT and (rule or Condition(f, above, float(cut)) not in failed):
                             best = (gain, Condition(f, above, float(cut)))
             if best[1] is None:
                 break
@@ -162,7 +168,9 @@ def learn(rows: DataFrame, bad: str = "bad", key: str = "key", features: tuple[s
         k = max(range(len(prefixes)), key=lambda i: (worth[i], -i))
         p, n = got[f"p{k}"] or 0, got[f"n{k}"] or 0
         if p < LEAST_SUPPORT or p < LEAST_PRECISION * (p + n):
-            break
+            failed.append(rule[0])
+            continue
+        failed = []
         rules.append(prefixes[k])
         left = left & ~holds(prefixes[k])
     return rules
