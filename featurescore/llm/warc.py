@@ -12,7 +12,8 @@ the last segment states. Chunked framing is then decoded.
 
 Defined results: a null page is an empty payload; null urls and ids are left out of the header and come back as null; of
 repeated rows with equal ids one is the response; records that are not whole come back with status `broken` and no
-payload; an empty table gives an archive without records.
+payload; an empty table gives an archive without records; other columns of pages are not read. A page of any length is
+written and joined in one task; a reading task holds one record and about 4 MB more.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, materialise, shared_dir
+from .common import ARROW_ROWS, discard, materialise, setting, shared_dir
 
 LEAST = 1000
 SEGMENT = 64 * 1024
@@ -92,18 +93,23 @@ def page_records(key, page_id, url, payload: bytes, refers_to, segment: int) ->
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, segment: int = SEGMENT, file_records: int = FILE_RECORDS) -> None:
     """Writes one record per row of pages (a stored table) into new files under path."""
     rows = pages.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    # Only payloads that occur again need a record to refer to.
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.key").alias("first"))
-    placed = rows.join(first, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= least) & (F.col("first") != F.col("key")), F.col("first")))
+    # Only payloads that occur again need a record to refer to. They are found without the payloads, which are then
+    # dealt by row, so that a page with many copies fills no task.
+    sized = rows.where(F.octet_length("payload") >= least).select("key", "page_id", F.sha1("payload").alias("digest"))
+    first = sized.groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.key").alias("refers_to"))
+    first = materialise(first, "warc-first")
+    again = materialise(sized.join(first, "digest").where("refers_to <> key").select("key", "refers_to"), "warc-again")
+    discard(first)
+    placed = rows.join(again, "key", "left")
 
     def make(key: pa.Array, page_id: pa.Array, url: pa.Array, payload: pa.Array, refers_to: pa.Array) -> pa.Array:
         return pa.array([page_records(*x, segment) for x in zip(key.to_pylist(), page_id.to_pylist(), url.to_pylist(), payload.to_pylist(), refers_to.to_pylist(), strict=True)], pa.list_(pa.binary()))
 
     records = F.arrow_udf(make, "array<binary>")("key", "page_id", "url", "payload", "refers_to")
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     lines = placed.select(F.explode(records).alias("value")).select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    with setting(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS)):
+        lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    discard(again)
 
 
 def parse(stream) -> list[tuple[dict[str, str], bytes]]:
@@ -163,10 +169,8 @@ def read_archive(spark, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     # one file at a time in each task
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    records = materialise(files.mapInArrow(_parse_files, _DDL), "warc-records")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        records = materialise(files.mapInArrow(_parse_files, _DDL), "warc-records")
     named = ["record_id", "record_type", "page_id", "url", "refers_to", "digest"]
     single = records.where("segment is null").select(*named, F.when(F.col("record_type") == "revisit", "revisit").when(F.col("payload").isNull(), "broken").otherwise("whole").alias("status"), "payload")
     # A group is one record, so its size is bounded by the largest record.
@@ -187,11 +191,13 @@ def read_archive(spark, path: str) -> DataFrame:
 
 def described(records: DataFrame) -> DataFrame:
     """Records with the length and digest of the full payload, revisits through the record that they refer to."""
-    own = records.select("record_id", "record_type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    own = materialise(records.select("record_id", "record_type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")), "warc-described")
+    # only revisits look for another record, so that the others do not meet in the task of nulls
+    named = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     base = own.where("record_type = 'response'").select(F.col("record_id").alias("base"), F.col("page_id").alias("base_page"), F.col("payload_bytes").alias("base_bytes"), F.col("payload_digest").alias("base_digest"))
-    return own.join(base, F.col("refers_to") == F.col("base"), "left").select(
-        "page_id", F.coalesce("payload_bytes", "base_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "base_digest").alias("payload_digest"), "record_type", F.col("base_page").alias("refers_to"),
-    )
+    revisits = own.where("refers_to is not null").join(base, F.col("refers_to") == F.col("base"), "left")
+    revisits = revisits.select("page_id", F.coalesce("payload_bytes", "base_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "base_digest").alias("payload_digest"), "record_type", F.col("base_page").alias("refers_to"))
+    return revisits.union(own.where("refers_to is null").select(*named, F.lit(None).cast("string").alias("refers_to")))
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
