@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +24,9 @@ def lit32(x: float) -> Column:
 
 
 def lits32(xs) -> Column:
-    return F.array(*[lit32(x) for x in xs]).cast("array<float>")
+    """Numbers as a literal array of 32-bit floats, parsed at once."""
+    spelled = [f"{v!r}D" if math.isfinite(v) else f"double('{v}')" for v in map(f32, xs)]
+    return F.expr(f"cast(array({', '.join(spelled)}) AS array<float>)")
 
 
 def scaled32(x: Column, shift: float, scale: float) -> Column:

@@ -7,7 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,34 +104,29 @@ class OnnxScorer:
 def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool = False) -> DataFrame:
     """df with scores (array<float>), and with timings the micros of each Arrow batch for its matrix and for the model.
 
-    Rows without a vector, and rows with one of another width than the model's, get null scores; the others of their
-    batch are scored. Where df has a column error, it says so for a wrong width. A null number in a vector is scored as NaN.
+    Only the vectors go to Python. Rows without a vector, and rows with one of another width than the model's, get null
+    scores; the others of their batch are scored. Where df has a column error, it says so for a wrong width. A null number
+    in a vector is scored as NaN.
     """
-    extra = ", tensor_micros long, infer_micros long" if timings else ""
-    told = "error" in df.columns
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t0 = time.perf_counter_ns()
-            column = batch.column(vector)
-            width = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            good = width == scorer.input_width
-            x = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(int(good.sum()), scorer.input_width)
-            t1 = time.perf_counter_ns()
-            out = np.asarray(scorer.score(x), dtype=np.float32) if len(x) else np.zeros((0, 0), dtype=np.float32)
-            t2 = time.perf_counter_ns()
-            ends = np.concatenate([[0], np.cumsum(good * out.shape[1])])
-            scores = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.ravel()), mask=pa.array(~good))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            if told and (wrong := (width >= 0) & ~good).any():
-                texts = [f"Expected feature vector length {scorer.input_width} but got {n}" if w else None for n, w in zip(width, wrong, strict=True)]
-                columns["error"] = pc.coalesce(columns["error"], pa.array(texts, columns["error"].type))
-            columns["scores"] = scores
-            if timings:
-                columns |= {k: pa.array([v] * batch.num_rows, pa.int64()) for k, v in (("tensor_micros", (t1 - t0) // 1000), ("infer_micros", (t2 - t1) // 1000))}
-            yield pa.record_batch(list(columns.values()), names=list(columns))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, scores array<float>{extra}")
+
+    def run(column: pa.Array) -> pa.Array:
+        t0 = time.perf_counter_ns()
+        width = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        good = width == scorer.input_width
+        x = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(int(good.sum()), scorer.input_width)
+        t1 = time.perf_counter_ns()
+        out = np.asarray(scorer.score(x), dtype=np.float32) if len(x) else np.zeros((0, 0), dtype=np.float32)
+        t2 = time.perf_counter_ns()
+        ends = np.concatenate([[0], np.cumsum(good * out.shape[1])])
+        scores = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.ravel()), mask=pa.array(~good))
+        micros = [pa.array(np.full(len(column), t // 1000, dtype=np.int64)) for t in (t1 - t0, t2 - t1)]
+        return pa.StructArray.from_arrays([scores, *micros], names=["scores", "tensor_micros", "infer_micros"])
+
+    made = F.arrow_udf(run, "struct<scores:array<float>,tensor_micros:long,infer_micros:long>")(F.col(vector))
+    out = df.withColumn("__scored", made)
+    out = out.withColumns({c: F.col(f"__scored.{c}") for c in ("scores", *(("tensor_micros", "infer_micros") if timings else ()))}).drop("__scored")
+    if "error" in df.columns:
+        width = F.size(vector)
+        wrong = F.when(F.col(vector).isNotNull() & (width != scorer.input_width), F.concat(F.lit(f"Expected feature vector length {scorer.input_width} but got "), width.cast("string")))
+        out = out.withColumn("error", F.coalesce("error", wrong))
+    return out
