@@ -20,7 +20,8 @@ What a shingle or a class gathers is written before it is joined with, so that a
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than
 a shingle has its whole word sequence as its one shingle; repeated rows and ids are rows of their own, with equal texts
 linked; rows with a null id take part, and a component has the least of its ids that are not null; empty tables give no
-rows. The table is read more than once, so it must be a stored table.
+rows; a text of any length is one set, held by one task; ties (pairs at the limit itself) are links; other columns are not read
+by linked_components and pass through keep_one_of_each, whatever their names. The table is read more than once, so it must be a stored table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ seeded order, up to the budget (to within half of one document).
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last;
 a null id is hashed as an empty id; repeated rows are counted and taken alike; an empty table gives an empty result.
-The order of sources and documents depends on their values only, so reruns agree.
+The order of sources and documents depends on their values only, so reruns agree; documents with equal keys (repeated rows)
+are taken alike, so that ties are not cut. A text of any length is counted whole in one task; other columns pass through, but
+for those named like results, which are replaced.
 """
 
 from __future__ import annotations

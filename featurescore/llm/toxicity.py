@@ -13,7 +13,8 @@ regression over the examples themselves, each searched without itself. Texts wit
 examples with no word.
 
 Defined results: null and empty texts score as texts with no word; repeated rows are rows of their own; without labels of
-both kinds every score is the share of label 1 (0 if there are no labels); rows with conflicting labels count as label 1;
+both kinds every score is the share of label 1 (0 if there are no labels); of equally near examples the first in the order of
+blocks votes; a text of any length is read whole in one task; an empty table gives no rows; rows with conflicting labels count as label 1;
 other columns stay, but for score, predicted and evidence, which are replaced.
 """
 
