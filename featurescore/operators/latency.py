@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import index_percentiles
+
+#: Shares of the sorted values before the reported elements.
+SHARES = {"p50": 0.5, "p99": 0.99}
+
 
 def latency_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows (keys.., n, avg, p50, p99). Exact without a sorted group in one task.
-
-    Values are counted first, so a group is as long as it has different values; ranks are running sums of those counts.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    return summary_of_counts(counts, keys)
-
-
-def summary_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """The summary from rows (keys.., v, c): how often each value occurs."""
-    group = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(group))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    return ranked.groupBy(*keys).agg(
-        F.first("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.first("n")).alias("avg"),
-        at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * F.lit(0.99))).alias("p99"),
-    )
+    """Rows (keys.., n, avg, p50, p99), exact; no key is sorted in one task (see index_percentiles)."""
+    return index_percentiles(df, keys, value, SHARES)
 
 
 def latency_metrics(summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import number_rows, unused
+
 
 def explode_requests(requests: DataFrame) -> DataFrame:
     """Rows (request_id, pos, row_id, features); a request without inputs is one row with a null pos."""
@@ -43,6 +45,7 @@ def assemble_responses(scored: DataFrame) -> DataFrame:
 
 
 def chunk_numbers(df: DataFrame, partition: list[str], order: list, size: int, out: str = "chunk") -> DataFrame:
-    """df with the number of the chunk of size rows that each row falls in, within each partition."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    return df.withColumn(out, F.floor((n - 1) / size).cast("long"))
+    """df with the number of the chunk of size rows that each row falls in, within each partition; no partition is one task's."""
+    (n,) = unused(df, "__n")
+    numbered = number_rows(df, partition, order, n)
+    return numbered.withColumn(out, F.floor(F.col(n) / size).cast("long")).drop(n)

@@ -13,16 +13,18 @@ from pyspark.sql import types as T
 
 from ..config import validate_configs
 from ..functions.numeric import f32, lits32, millis
-from ..operators.latency import latency_metrics, latency_summary, summary_of_counts, tumbling
+from ..operators.latency import SHARES, latency_metrics, latency_summary, tumbling
 from ..operators.lookup import array_lookup_join, dictionary, lookup_join
 from ..operators.requests import assemble_responses, chunk_numbers, explode_requests, reject_requests
 from ..operators.scoring import Mlp, OnnxScorer, dense_layer, dense_sigmoid, score, sigmoid
 from ..operators.transforms import Embedding, Identity, MinMax32, MinMax64, OneHot, Standardize32, Standardize64
 from ..operators.vectorize import vectorize, vectorize_long
-from ..sources.logs import FILE_BATCHES, FLUSH_DATUMS, STAGES, log_batches, log_rows, object_name, partition_path, read_logs, stage_metrics, write_log_batches, write_logs, write_metrics
+from ..sources.logs import FILE_BATCHES, FLUSH_DATUMS, STAGES, log_batches, log_rows, object_name, partition_path, read_logs, stage_metrics, write_chunks, write_log_batches, write_logs, write_metrics
+from ..sources.protobuf import from_protobuf, read_messages, to_protobuf
 from ..sources.shared import shared_path
 from ..sources.tables import rows_from_table, stream_requests, to_map
-from ..streaming.jobs import drain, latency_counts, log_stream, read_events, request_job, score_requests
+from ..streaming.jobs import drain, flush_job, log_stream, read_events, request_job, score_requests
+from ..streaming.stateful import count_flushes, run_counted, tick_summaries
 from ..types import FEATURES, LOG_BATCH, REQUEST, RESPONSE, kind, value
 from .models import EMBEDDED, ENCODED, EVENTS, KEYS, LINES, PRIORITIES, ROLES, SHAPES, SMALL_LAYERS, TYPES, UNIT, benchmark_config, config, mlp, sigmoid_model, units
 
@@ -450,9 +452,12 @@ def log_partition_layout(spark, sf_dir):
 
 @query(f"SELECT event_type, chunk, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) - 1) // {FILE_BATCHES} AS chunk FROM events) GROUP BY ALL")
 def log_file_batches(spark, sf_dir):
-    """Numbers of the files that rows would fall in, by type and day (a partition is a day's rows of one type)."""
-    chunks = chunk_numbers(table(spark, sf_dir, "events", "event_type", "event_id", "ts", F.to_date("ts").alias("day")), ["event_type", "day"], ["ts", "event_id"], FILE_BATCHES)
-    return chunks.groupBy("event_type", "chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    """Files of 501 rows, by type and day (a partition is a day's rows of one type), written and read back."""
+    events = table(spark, sf_dir, "events", "event_type", "event_id", "ts", F.date_format("ts", "yyyyMMdd").alias("day"))
+    path = shared_path(spark, "chunks")
+    write_chunks(chunk_numbers(events, ["event_type", "day"], ["ts", "event_id"], FILE_BATCHES), path, ["event_type", "day"])
+    files = spark.read.parquet(path).groupBy("event_type", F.col("chunk").cast("long").alias("chunk"), F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return files.groupBy("event_type", "chunk").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
 
 
 @query("SELECT metric, 3 AS unit_kinds, count(*) AS n, true AS timed, ceil(3 * count(*) / 500.0)::BIGINT AS flushes FROM orders, (SELECT unnest(['InferenceTime', 'ToTensorTime', 'VectorizationTime']) AS metric) GROUP BY metric".replace("3 AS unit_kinds", "1::BIGINT AS unit_kinds"))
@@ -469,10 +474,12 @@ def stage_metrics_long(spark, sf_dir):
 
 @query("SELECT event_type, n // 500 + (n % 500 > 0)::INT AS flushes, n FROM (SELECT event_type, 3 * count(*) AS n FROM events GROUP BY event_type)")
 def metric_flushes(spark, sf_dir):
-    """Numbers of the flushes that metrics of each type fall in: three datums an event, 500 in a flush."""
+    """Metrics of each type in flushes of 500, a file for each, written and read back: three datums an event."""
     datums = table(spark, sf_dir, "events", "event_type", "event_id", F.explode(F.array(*map(F.lit, STAGES))).alias("metric"))
-    flushed = chunk_numbers(datums, ["event_type"], ["event_id", "metric"], FLUSH_DATUMS)
-    return flushed.groupBy("event_type").agg((F.max("chunk") + 1).alias("flushes"), F.count("*").alias("n"))
+    path = shared_path(spark, "flushes")
+    write_chunks(chunk_numbers(datums, ["event_type"], ["event_id", "metric"], FLUSH_DATUMS), path, ["event_type"])
+    files = spark.read.parquet(path).groupBy("event_type", F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return files.groupBy("event_type").agg(F.count("*").alias("flushes"), F.sum("n").alias("n")).where(F.col("n") > (F.col("flushes") - 1) * FLUSH_DATUMS)
 
 
 def _latency_sql(keys: str, source: str) -> str:
@@ -569,12 +576,53 @@ _CLOSED = "(SELECT value, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hou
 
 @query(_latency_sql("hour", _CLOSED))
 def stream_latency(spark, sf_dir):
-    """Hours that the watermark has closed; the stream counts values, and ranks are taken from the stored counts."""
-    counts = latency_counts(read_events(spark, sf_dir), "ts", "value", "1 hour", "1 hour")
+    """Hours that the watermark has closed, summed up by the stream itself when they close."""
     path = shared_path(spark, "stream-latency")
-    drain(counts, path, f"{path}-checkpoint")
-    stored = spark.read.schema(counts.schema).parquet(path).withColumn("hour", F.date_format("window_start", "yyyy-MM-dd HH"))
-    return summary_of_counts(stored, ["hour"]).withColumn("avg", F.round("avg", 6))
+    run_counted(tick_summaries(read_events(spark, sf_dir), "ts", "value", "1 hour", "1 hour", SHARES), path, f"{path}-checkpoint")
+    return spark.read.parquet(path).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("avg", 6).alias("avg"), "p50", "p99")
+
+
+def arriving(spark, rows: DataFrame, name: str, job: Callable[[DataFrame, str], None]) -> str:
+    """Runs a job over rows that arrive in four files: two before a restart and two after it, each a micro-batch of its own."""
+    path = shared_path(spark, name)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(4))
+    for run in range(2):
+        for k in (0, 1):
+            rows.where(part == 2 * run + k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path)
+    return path
+
+
+@query(f"SELECT lane, f::BIGINT AS flush, {FLUSH_DATUMS}::BIGINT AS n, {FLUSH_DATUMS}::BIGINT AS different FROM (SELECT lane, unnest(range(n // {FLUSH_DATUMS})) AS f FROM (SELECT (user_id % 2)::INT AS lane, 3 * count(*) AS n FROM events GROUP BY 1))")
+def stream_metric_flushes(spark, sf_dir):
+    """Three datums an event, in flushes of exactly 500 for each lane, across micro-batches and a restart; the rest waits."""
+    datums = table(spark, sf_dir, "events").select((F.col("user_id") % 2).cast("int").alias("lane"), "event_id", F.explode(F.array(*map(F.lit, STAGES))).alias("metric"))
+    datums = datums.select("lane", F.to_json(F.struct("event_id", "metric")).cast("binary").alias("item"))
+    path = arriving(spark, datums, "metric-flushes", lambda stream, path: run_counted(count_flushes(stream, FLUSH_DATUMS), f"{path}/out", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/out").groupBy("lane", "flush").agg(F.count("*").alias("n"), F.count_distinct("item").alias("different"))
+
+
+@query(f"SELECT 'lane ' || lane AS model_id, n // {FILE_BATCHES} AS files, n // {FILE_BATCHES} * {FILE_BATCHES} AS batches, 7 * (n // {FILE_BATCHES}) * {FILE_BATCHES} AS features FROM (SELECT (user_id % 4 > 0)::INT AS lane, count(*)::BIGINT AS n FROM events GROUP BY 1) WHERE n >= {FILE_BATCHES}")
+def stream_log_files(spark, sf_dir):
+    """Log batches as protobuf files of exactly 501 batches, written by a stream with a restart and read back."""
+    events = event_logs(spark, sf_dir)
+    lane = (F.col("request_id").cast("long") % 4 > 0).cast("int")
+    row = F.struct("row_id", "features", "scores")
+    batches = events.select(lane.alias("lane"), F.struct(F.concat("request_id", F.lit("-"), "row_id").alias("request_id"), F.concat(F.lit("lane "), lane).alias("model_id"), F.array(row).alias("inference_log_rows")).cast(LOG_BATCH).alias("batch"))
+    path = arriving(spark, batches.select("lane", to_protobuf(F.col("batch"), "log_batch").alias("item")), "log-files", lambda stream, path: flush_job(stream, f"{path}/logs", f"{path}/checkpoint"))
+    logs = read_messages(spark, f"{path}/logs", "logs").select("path", "error", F.explode("message.batches").alias("b")).where("error is null")
+    files = logs.groupBy("path", "b.model_id").agg(F.count_distinct("b.request_id").alias("k"), F.sum(F.size(F.col("b.inference_log_rows")[0]["features"])).cast("long").alias("f"))
+    return files.where(F.col("k") == FILE_BATCHES).groupBy("model_id").agg(F.count("*").alias("files"), F.sum("k").alias("batches"), F.sum("f").alias("features"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS request_id, count(l_orderkey) AS n_rows, coalesce(sum(l_quantity), 0)::DOUBLE AS quantity, coalesce(sum(l_partkey), 0)::BIGINT AS parts, coalesce(max(l_extendedprice), 0) AS price, NULL AS error
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""".replace("NULL AS error", "NULL::VARCHAR AS error"))
+def protobuf_requests(spark, sf_dir):
+    """Requests as protobuf bytes and back."""
+    encoded = order_requests(spark, sf_dir).select(to_protobuf(F.struct("request_id", "inputs"), "request").alias("bytes"))
+    back = encoded.select(from_protobuf(F.col("bytes"), "request").alias("got")).select("got.message.*", "got.error")
+    rows = back.select("request_id", "error", F.explode_outer("inputs.features").alias("f"))
+    return rows.groupBy("request_id").agg(F.count("f").alias("n_rows"), F.coalesce(F.sum(F.col("f")["quantity"]["double_value"]), F.lit(0.0)).alias("quantity"), F.coalesce(F.sum(F.col("f")["part"]["long_value"]), F.lit(0)).alias("parts"), F.coalesce(F.max(F.col("f")["price"]["double_value"]), F.lit(0.0)).alias("price"), F.max("error").alias("error"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_tax >= 0.075 AS bad FROM lineitem), o AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(bad), false) AS bad FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderkey)

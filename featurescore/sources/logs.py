@@ -51,6 +51,11 @@ def write_log_batches(batches: DataFrame, path: str, ts: Column | None = None, f
     write_logs(batches, path, ts, file_batches)
 
 
+def write_chunks(chunked: DataFrame, path: str, keys: list[str], chunk: str = "chunk") -> None:
+    """Writes rows with numbers of chunks (see chunk_numbers) under path/keys../chunk=, each chunk as one file."""
+    chunked.repartition(*keys, chunk).write.mode("append").partitionBy(*keys, chunk).parquet(path)
+
+
 def read_logs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Logs with partition columns as strings (so that 01 stays 01), whatever the session infers."""
     kept = T.StructType([*schema.fields, *[T.StructField(k, T.StringType()) for k in PARTITIONS]])

@@ -13,6 +13,8 @@ from ..operators.requests import assemble_responses, explode_requests, reject_re
 from ..operators.scoring import Scorer, score
 from ..operators.vectorize import vectorize
 from ..sources.logs import FILE_BATCHES, FILE_ROWS, PARTITIONS, log_batches, log_rows, stage_metrics, with_partitions, write_metrics
+from ..sources.protobuf import write_flushes
+from .stateful import count_flushes, state_store
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None, file_rows: int = FILE_ROWS) -> None:
@@ -29,15 +31,16 @@ def log_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
     drain(with_partitions(rows, F.current_timestamp()), path, checkpoint, list(PARTITIONS))
 
 
-def latency_counts(events: DataFrame, ts: str, value: str, width: str, delay: str) -> DataFrame:
-    """Rows (window_start, v, c) of the tumbling windows that the watermark has closed: how often each value occurs.
+def flush_job(batches: DataFrame, path: str, checkpoint: str, size: int = FILE_BATCHES, idle_ms: int = 0) -> None:
+    """Collects a stream of encoded log batches (lane, item) to flushes of size batches, and writes each as a file of logs.
 
-    The state holds a count for each open window and value; windows are dropped once closed. summary_of_counts() gives
-    the mean and the index percentiles.
+    What is left of a lane stays in the checkpoint and is flushed when later batches fill it up. A micro-batch that comes
+    again has the same flushes, which are not written twice.
     """
-    rows = events.withColumn("__ts", F.col(ts).cast("timestamp")).where(F.col(value).isNotNull()).withWatermark("__ts", delay)
-    counts = rows.groupBy(F.window("__ts", width).alias("w"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    return counts.select(F.col("w.start").alias("window_start"), "v", "c")
+    with state_store(batches.sparkSession):
+        flushes = count_flushes(batches, size, idle_ms)
+        writer = flushes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, number: write_flushes(rows, path, checkpoint)).start().awaitTermination()
 
 
 def foreach_scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> None:
