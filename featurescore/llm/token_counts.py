@@ -17,6 +17,7 @@ a few passes over what is left of it.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import cache
 
@@ -64,13 +65,18 @@ class ByteMerges:
         self.keys, self.ranks = keys[order][keep], ranks[order][keep]
         self.made = made
         self.special = [t["content"] for t in vocabulary.get("added_tokens", []) if t.get("special")]
-        self.strange = regex.compile("[" + "".join(map(regex.escape, unlike)) + "]") if unlike else None
+        # neighbours are ranges of the class, and texts without a character as high as the first need no search
+        codes = np.array(sorted(map(ord, unlike)))
+        ends = np.flatnonzero(np.diff(codes) != 1)
+        ranges = zip(codes[np.concatenate([[0], ends + 1])], codes[np.concatenate([ends, [-1]])], strict=True) if len(codes) else ()
+        self.strange = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]") if unlike else None
+        self.lowest = min(unlike, default="")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(pattern)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
-        if self.strange is None or text.isascii() or not self.strange.search(text):
+        if self.strange is None or text.isascii() or max(text) < self.lowest or not self.strange.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.strange.sub(NEITHER, text))]
 
