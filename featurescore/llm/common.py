@@ -47,6 +47,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
+    """df, stored with a number for each row.
+
+    The number is written beside the row, so that later jobs find the same one, whatever the files of df are split into
+    then: the splits depend on the cores that the cluster has at the time.
+    """
+    return materialise(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def whole_rows(df: DataFrame, without: tuple[str, ...] = ()) -> F.Column:
+    """The columns of df as one struct, so that no name can clash with those of a step."""
+    kept = [c for c in df.columns if c not in without]
+    return F.struct(*[df[c] for c in kept]) if kept else F.struct(F.lit(True).alias("none"))
+
+
 def discard(df: DataFrame) -> None:
     """Empties the table of materialise() that df is, once no later step reads it."""
     spark = df.sparkSession

@@ -8,12 +8,16 @@ the item were replaced by equal values everywhere. A document is contaminated by
 cover at least `COVERAGE` of the item's windows. All this is done with two templates, and a document that either finds
 is reported (with the figures of the first if that finds it): the second reads a number with separators or decimals as
 one word, and takes every capitalised word that is no function word for a name, at the start of a sentence too.
+By the second template, a run of `RUN` words of the item that the document has without a gap counts too, whatever share of
+the item it is, and items of under `SHORT` words have windows of `SHORT_WINDOW` words, so that one changed word leaves enough
+of them. (The first does not see every name, so there short windows would step over names that are not consistent.)
 
 Windows with more placeholders than words say nothing and are left out, as long as the item has others. Hashes of benchmark
 windows go to every task only while they number `SENT` at most (8 bytes each); above it the same join is a shuffle.
 
 Defined results: null or empty documents and items match nothing; repeated rows of documents are reported once for each
-row, repeated items (by id) as one item (the text that is least in order), items without an id by their text; an empty benchmark
+row; an item is an id with a text, so texts that share an id (or have none) are items of their own, and items that are
+repeated throughout are one; an empty benchmark
 or table gives no rows; a document of any length is read whole in one task; other columns are not read by find_leaks and
 pass through drop_leaks, whatever their names.
 """
@@ -25,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, arrow_map, materialise, mix, slices, word_bounds
+from .common import LOWER, Rolling, arrow_map, materialise, mix, numbered, slices, whole_rows, word_bounds
 
 WINDOW = 8
 COVERAGE = 0.5
+#: Words in a row that are a leak by themselves.
+RUN = 13
+#: Items with fewer words than SHORT have windows of SHORT_WINDOW words in the second template.
+SHORT, SHORT_WINDOW = 2 * RUN, 5
 #: Benchmark windows whose hashes are sent to every task at most.
 SENT = 1 << 20
 
@@ -108,10 +116,15 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 _SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
 
 
+def window_sizes(lengths: np.ndarray, loose: bool) -> np.ndarray:
+    """Words of an item's windows, for items of so many words: the whole item where it has fewer."""
+    return np.minimum(lengths, np.where(loose & (lengths < SHORT), SHORT_WINDOW, WINDOW))
+
+
 def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None, loose: bool = False):
     """Rows (row, hash, pos, size, n, slots) of the windows of texts, those in wanted only if it is given.
 
-    Without sizes the texts are items: WINDOW, or the whole item if that is shorter.
+    Without sizes the texts are items: see window_sizes.
     """
     flags = None
     if wanted is not None:
@@ -124,7 +137,7 @@ def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None, loose: bool
             plain = np.concatenate([[0], np.cumsum(kind == 0)])
             ids, out = rows.column("row"), []
             lengths = np.diff(first)
-            for size in sizes if sizes is not None else sorted({min(WINDOW, int(n)) for n in lengths} - {0}):
+            for size in sizes if sizes is not None else sorted(set(window_sizes(lengths, loose).tolist()) - {0}):
                 hashes = _window_hashes(words, size)
                 ok = np.ones(len(hashes), dtype=bool)
                 if flags is not None:
@@ -136,7 +149,7 @@ def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None, loose: bool
                 text = np.searchsorted(first, k, side="right") - 1
                 inside = k + size <= first[text + 1]
                 if sizes is None:
-                    inside &= np.minimum(lengths[text], WINDOW) == size
+                    inside &= window_sizes(lengths[text], loose) == size
                 for w, i in zip(k[inside].tolist(), text[inside].tolist(), strict=True):
                     n_plain = int(plain[w + size] - plain[w])
                     slots = [{"at": j, "kind": int(kind[w + j]), "value": data[starts[w + j] : ends[w + j]].tobytes().decode("utf-8", "replace")} for j in range(size) if kind[w + j]] if n_plain < size else []
@@ -151,6 +164,17 @@ def _window_rows(sizes: list[int] | None, wanted: np.ndarray | None, loose: bool
 _ROWS = "hash long, pos int, size int, n_plain int, slots array<struct<at:int,kind:int,value:string>>"
 
 
+def _longest_run(at: F.Column) -> F.Column:
+    """How many numbers in a row follow each other by one, at most, in a sorted array."""
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: F.Column, x: F.Column) -> F.Column:
+        run = F.when(x == state["last"] + 1, state["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(at, zero, step, lambda state: state["best"])
+
+
 def _hits(texts: DataFrame, items: DataFrame, coverage: float, sent: int, loose: bool) -> DataFrame:
     """Rows (row, item, n_matched, n_windows, slots) by one template, for numbered texts and items (row, text)."""
     windows = arrow_map(items, _window_rows(None, None, loose), f"row long, {_ROWS}")
@@ -158,7 +182,7 @@ def _hits(texts: DataFrame, items: DataFrame, coverage: float, sent: int, loose:
     useful = windows.groupBy("row").agg(F.max(F.col("n_plain") * 2 >= F.col("size")).alias("any"))
     windows = windows.join(useful, "row").where((F.col("n_plain") * 2 >= F.col("size")) | ~F.col("any")).drop("any")
     windows = materialise(windows, "benchmark-windows")
-    counts = windows.groupBy("row").agg(F.countDistinct("pos").alias("n_windows"))
+    counts = windows.groupBy("row").agg(F.countDistinct("pos").alias("n_windows"), F.first("size").alias("size"))
     sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]
     hashes = windows.select("hash").distinct()
     n = hashes.count()
@@ -171,39 +195,47 @@ def _hits(texts: DataFrame, items: DataFrame, coverage: float, sent: int, loose:
     # an occurrence is bounded by the item, whatever the length of the document
     seen = met.groupBy("row", "item", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     seen = seen.where(F.size("pairs") == F.size(F.expr("array_distinct(transform(pairs, p -> struct(p.kind, p.item_value)))")))
-    per = seen.groupBy("row", "item").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    seen = seen.withColumn("run", _longest_run(F.array_sort("at")))
+    per = seen.groupBy("row", "item").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"), F.max("run").alias("run"))
     hits = per.join(counts.withColumnRenamed("row", "item"), "item").withColumn("n_matched", F.size("at").cast("long"))
-    return hits.where(F.col("n_matched") >= coverage * F.col("n_windows")).select("row", "item", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "slots")
-
+    return hits.where((F.col("n_matched") >= coverage * F.col("n_windows")) | (F.lit(loose) & (F.col("run") + F.col("size") - 1 >= RUN))).select("row", "item", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "slots")
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, sent: int = SENT, keep_row: bool = False) -> DataFrame:
-    """One row per row of docs and item that contaminates it: (id, item_id, n_matched, n_windows, coverage, exact, slots).
 
-    exact says whether all slots have the item's own values; slots are the replacements found (kind, item value, value).
-    """
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_id).alias("__item"), F.when(F.col(item_id).isNull(), F.col(item_text)).alias("own")).agg(F.min(item_text).alias("text")).drop("own")
-    items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "benchmark-items")
-    ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
+def _leaks(texts: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, coverage: float, sent: int) -> DataFrame:
+    """Rows (row, item, n_matched, n_windows, slots, item_id) for a stored table of texts (row, text)."""
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
+    items = numbered(items, "benchmark-items")
     both = None
     for loose in (False, True):
         some = _hits(texts, items.select("row", "text"), coverage, sent, loose).withColumn("loose", F.lit(loose))
         both = some if both is None else both.union(some)
     hits = both.groupBy("row", "item").agg(F.min_by(F.struct("n_matched", "n_windows", "slots"), "loose").alias("h")).select("row", "item", "h.*")
-    hits = hits.join(items.select(F.col("row").alias("item"), "__item"), "item")
-    out = hits.join(ids.select("__row", F.col(id_col).alias("__id")), F.col("row") == F.col("__row"))
+    return hits.join(items.select(F.col("row").alias("item"), "item_id"), "item")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, sent: int = SENT) -> DataFrame:
+    """One row per row of docs and item that contaminates it: (id, item_id, n_matched, n_windows, coverage, exact, slots).
+
+    exact says whether all slots have the item's own values; slots are the replacements found (kind, item value, value).
+    """
+    rows = numbered(docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text")), "leak-texts")
+    hits = _leaks(rows.select("row", "text"), benchmark, item_id, item_text, coverage, sent)
+    out = hits.join(rows.select("row", "id"), "row")
     return out.select(
-        *([F.col("row").alias("__row")] if keep_row else []), F.col("__id").alias(id_col), F.col("__item").alias(item_id), "n_matched", "n_windows",
-        (F.col("n_matched") / F.col("n_windows")).alias("coverage"), (~F.exists("slots", lambda s: s["item_value"] != s["value"])).alias("exact"), "slots",
+        F.col("id").alias(id_col), F.col("item_id").alias(item_id), "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
+        (~F.exists("slots", lambda s: s["item_value"] != s["value"])).alias("exact"), "slots",
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows that find_leaks reports; all columns and names stay."""
-    id_col, text = (options.pop(k, default) for k, default in (("id_col", "doc_id"), ("text", "text")))
-    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text")).withColumn("row", F.monotonically_increasing_id())
-    leaks = materialise(find_leaks(docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text")), benchmark, keep_row=True, **options).select(F.col("__row").alias("row")).distinct(), "leaks")
-    return numbered.join(leaks, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, sent: int = SENT) -> DataFrame:
+    """docs without the rows that find_leaks reports; all columns and names stay.
+
+    Rows are stored with their numbers first, so what is found and what is dropped are the same rows.
+    """
+    rows = numbered(docs.select(whole_rows(docs).alias("doc")), "leak-texts")
+    texts = rows.select("row", F.col("doc").getField(text).cast("string").alias("text"))
+    leaks = materialise(_leaks(texts, benchmark, item_id, item_text, coverage, sent).select("row").distinct(), "leaks")
+    return rows.join(leaks, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, discard, materialise, narrow, only, shingle_sets, slices
+from .common import arrow_map, components, discard, materialise, narrow, numbered, only, shingle_sets, slices, whole_rows
 
 WORDS = 5
 #: Least similarity, in hundredths.
@@ -177,8 +177,14 @@ def _common(batches):
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id); the id keeps its name."""
-    ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
+    # rows are numbered once, and the numbers are stored with the texts: the steps below are many jobs
+    rows = numbered(docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text")), "jaccard-texts")
+    return _components_of(rows, words, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _components_of(stored: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Rows (id, n_shingles, component_id) of a stored table of rows (row, id, text)."""
+    texts = stored.select("row", "text")
     levels = _levels(texts.select("text"), words)
     sets = materialise(arrow_map(texts, _prefixes(words, threshold, levels), "row long, n long, class binary, grp long, prefix array<long>, counts binary, " + ", ".join(f"{c} long" for c in SIGN)), "jaccard-prefixes")
 
@@ -186,7 +192,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     heads = materialise(sets.where("n > 0").groupBy("class").agg(F.min("row").alias("head"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGN]), "jaccard-classes")
     groups = sets.where("n > 0").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     tokens = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    with narrow(docs.sparkSession):
+    with narrow(stored.sparkSession):
         postings = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "grp long, n long, pos int, token long"), "jaccard-postings")
 
     members = heads.select("grp", "head", *SIGN)
@@ -254,13 +260,13 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     discard(open_posts)
     final = components(links.union(more), "a", "b", "jaccard-all")
 
-    keyed = ids.select(F.col("__row").alias("row"), F.col(id_col).alias("__id")).join(rows.select("row", "n", "head"), "row")
+    keyed = stored.select("row", "id").join(rows.select("row", "n", "head"), "row")
     keyed = keyed.join(final.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("root", F.coalesce("root", "head"))
-    keyed = materialise(keyed.select("__id", "n", "root"), "jaccard-rows")
+    keyed = materialise(keyed.select("id", "n", "root"), "jaccard-rows")
     discard(rows)
-    least = materialise(keyed.where("root is not null").groupBy("root").agg(F.min("__id").alias("component_id")), "jaccard-least")
+    least = materialise(keyed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-least")
     out = keyed.join(least, "root", "left")
-    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -269,11 +275,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Texts without words are linked with nothing and stay; of rows with equal ids that are linked, one stays (the first
     read), as of linked rows without an id.
     """
-    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), docs[text].alias("text")).withColumn("n", F.monotonically_increasing_id())
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "n").alias("key")
-    parts = linked_components(numbered.select(key, "text"), "key", "text", words, threshold)
-    kept = parts.where("key = component_id").select("key.n")
-    return numbered.join(kept, "n", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    rows = numbered(docs.select(whole_rows(docs).alias("doc")), "jaccard-texts")
+    own = F.col("doc").getField(id_col)
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("row").alias("n")).alias("id")
+    parts = _components_of(rows.select("row", key, F.col("doc").getField(text).cast("string").alias("text")), words, threshold)
+    kept = parts.where("id = component_id").select(F.col("id.n").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

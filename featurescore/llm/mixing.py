@@ -6,7 +6,7 @@ then taken target/size times: the whole part for all of them, the fraction as on
 seeded order, up to the budget (to within half of one document).
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last;
-a null id is hashed as an empty id; repeated rows are counted and taken alike; an empty table gives an empty result.
+a row without an id is hashed by its text; repeated rows are counted and taken alike; an empty table gives an empty result.
 The order of sources and documents depends on their values only, so reruns agree; documents with equal keys (repeated rows)
 are taken alike, so that ties are not cut. A text of any length is counted whole in one task; other columns pass through, but
 for those named like results, which are replaced.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, whole_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -74,16 +74,18 @@ def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The rows of docs with size, source_size, target, copies and taken (words); columns of these names are replaced."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": n_words(text), "__key": key})
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    made = ("size", "source_size", "target", "copies", "taken")
+    rows = docs.select(whole_rows(docs, made).alias("doc"), docs[source].alias("source"), n_words(text).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")).alias("key"))
     # words are counted once for the plan, which reads sizes more than once, and once for the result
-    sized = materialise(rows.select(F.col(source).alias("source"), F.col("__key").alias("key"), "size"), "mixture-sizes")
+    sized = materialise(rows.select("source", "key", "size"), "mixture-sizes")
     plan = materialise(source_plan(sized, weights, max_epochs), "mixture")
     discard(sized)
-    plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
-    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("__source")))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(F.col("__key") <= F.col("cut"), 1).otherwise(0)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__source", "__key", "whole", "cut")
+    plan = plan.select(F.col("source").alias("of"), "source_size", "target", "whole", "cut")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)).cast("long")
+    counted = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return counted.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in made], *made)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mixture-1:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5('mixture-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, 3 * source_size AS cap FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER ())::BIGINT AS total,

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_rows
 
 WORD = r"([^\x20\x09-\x0D]+)"
 SPACES = " \t\n\x0b\f\r"
@@ -182,12 +182,16 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, list[Rule]]:
     """docs (without the text) with features, base_failed, rule and kept, and the rules learned from labels."""
-    rows = materialise(with_features(docs, text).drop(text), "quality-features")
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(F.col(label) > 0, 0).otherwise(1)).alias("bad"))
-    learned = rows.join(known, F.col(id_col) == F.col("__id")).where(~base_failed()).withColumn("key", F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")))
+    packed = docs.select(whole_rows(docs, (text,)).alias("doc"), docs[id_col].alias("id"), docs[text].alias("text"))
+    rows = materialise(with_features(packed, "text").drop("text"), "quality-features")
+    made = [c for c in rows.columns if c not in ("doc", "id")]
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(F.when(F.col(label) > 0, 0).otherwise(1)).alias("bad"))
+    learned = rows.drop("doc").join(known, F.col("id") == F.col("labelled")).where(~base_failed()).withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit("quality")))
     rules = learn(learned.select("bad", "key", *FEATURES))
     out = rows.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    made += ["base_failed", "rule", "kept"]
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (text, *made)], *made), rules
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

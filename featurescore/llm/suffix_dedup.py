@@ -17,7 +17,7 @@ a repeat covers is removed. The steps are those of a difference-cover suffix sor
 The sort deals rows out by ranges of (name, row, offset), so that a name which fills a third of the table is spread over
 many tasks; only the first and last rows of the ranges are compared apart, two of each.
 
-The table is read more than once, so docs must be a stored table (or a plan that gives the same rows in the same order).
+Texts are stored with the numbers of their rows before the first step, so later steps may find other cores than earlier ones.
 Names are pairs of independent 64-bit hashes. Defined results: a null or empty text has 0 bytes and nothing removed;
 repeated rows are separate texts, so they remove each other (ties: all go, none is preferred); strings never cross texts;
 an empty table gives no rows; a text of any length is held by one task, with about 100 times its bytes of numpy arrays at
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, discard, materialise, mix, narrow, only, slices
+from .common import Rolling, arrow_map, discard, materialise, mix, narrow, numbered, only, slices, whole_rows
 
 LENGTH = 400
 #: Offsets of a cell in each round.
@@ -279,13 +279,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     kept_text drops a character that a removal has cut in two. Columns of docs with these names are replaced.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-    ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = ids.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
+    # rows are numbered once, and the numbers are stored with the texts: the steps below are many jobs
+    rows = numbered(docs.select(whole_rows(docs, (text, *made)).alias("doc"), docs[text].alias("own")), "repeat-texts")
+    texts = rows.select("row", F.col("own").cast("string").alias("text"))
     runs = repeated_runs(texts, length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     schema = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept_text string" * keep_text
     cut = arrow_map(texts.join(runs, "row", "left"), _cut(length, keep_text), schema)
-    rest = ids.drop(*made, *([text] if not keep_text else []))
-    return rest.join(cut.withColumnRenamed("row", "__row"), "__row").drop("__row")
+    names = [c for c in docs.columns if c not in made and (keep_text or c != text)]
+    rest = rows.select("row", "doc", *(["own"] if keep_text else []))
+    back = [(F.col("own") if c == text else F.col("doc").getField(c)).alias(c) for c in names]
+    return rest.join(cut, "row").select(*back, *[c for c in made if keep_text or c != "kept_text"])
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

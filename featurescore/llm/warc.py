@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, discard, materialise, setting, shared_dir
+from .common import ARROW_ROWS, discard, materialise, numbered, setting, shared_dir
 
 LEAST = 1000
 SEGMENT = 64 * 1024
@@ -91,8 +91,10 @@ def page_records(key, page_id, url, payload: bytes, refers_to, segment: int) ->
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, segment: int = SEGMENT, file_records: int = FILE_RECORDS) -> None:
-    """Writes one record per row of pages (a stored table) into new files under path."""
-    rows = pages.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
+    """Writes one record per row of pages into new files under path."""
+    # rows are numbered once, and the numbers are stored with the payloads: records refer to each other by them
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = numbered(rows, "warc-pages", "key")
     # Only payloads that occur again need a record to refer to. They are found without the payloads, which are then
     # dealt by row, so that a page with many copies fills no task.
     sized = rows.where(F.octet_length("payload") >= least).select("key", "page_id", F.sha1("payload").alias("digest"))
@@ -110,6 +112,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str
     with setting(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS)):
         lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
     discard(again)
+    discard(rows)
 
 
 def parse(stream) -> list[tuple[dict[str, str], bytes]]:
@@ -178,14 +181,15 @@ def read_archive(spark, path: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
         F.max(F.when(F.col("segment") == 1, F.struct(*named))).alias("first"),
     )
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))
-    numbered = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
-    parts = parts.withColumn("block", joined).withColumn("block", F.when(numbered & (F.octet_length("block") == F.col("total")), F.col("block")))
+    in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
+    blocks = F.when(in_order & (length == F.col("total")), F.transform("parts", lambda p: p["block"]))
 
     def decode(blocks: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else payload_of(b) for b in blocks.to_pylist()], pa.binary())
+        # segments are joined at once: one after the other they would be copied as often as there are segments
+        return pa.array([None if b is None else payload_of(b"".join(b)) for b in blocks.to_pylist()], pa.binary())
 
-    parts = parts.withColumn("payload", F.arrow_udf(decode, "binary")("block")).withColumn("first", F.coalesce("first", F.struct(F.col("origin").alias("record_id"), F.lit("response").alias("record_type"), *[F.lit(None).cast("string").alias(c) for c in named[2:]])))
+    parts = parts.withColumn("blocks", blocks).withColumn("payload", F.arrow_udf(decode, "binary")("blocks")).withColumn("first", F.coalesce("first", F.struct(F.col("origin").alias("record_id"), F.lit("response").alias("record_type"), *[F.lit(None).cast("string").alias(c) for c in named[2:]])))
     return single.union(parts.select("first.*", F.when(F.col("payload").isNull(), "broken").otherwise("whole").alias("status"), "payload"))
 
 

@@ -136,3 +136,27 @@ def test_recall_of_reparameterised_questions(table):
     found = sum((i, i % len(FRAMES)) in hit for i in range(100))
     print("re-parameterised questions found:", found, "of 100")
     assert found >= 90 and not any(d >= 1000 or d % len(FRAMES) != f for d, f in hit)
+
+
+def benchmark_like(n, words, seed):
+    """Texts of invented words, so that none is like another."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    return [" ".join(word() for _ in range(rng.randint(*words))) + "." for _ in range(n)]
+
+
+def test_recall_of_repeated_ids_passages_and_changed_words(spark, table):
+    items = benchmark_like(40, (15, 60), 1)
+    rows = lambda texts: table(list(enumerate(texts)), "doc_id long, text string")
+    one_id, own_ids = table([(1, t) for t in items], "item_id long, text string"), table(list(enumerate(items)), "item_id long, text string")
+    around = benchmark_like(80, (5, 20), 2)
+    put = lambda parts: [f"{a} {p} {b}" for a, p, b in zip(around[:40], parts, around[40:], strict=True)]
+    assert {r.doc_id for r in find_leaks(rows(put(items)), one_id).collect()} == set(range(40))
+    first = [" ".join(t.split()[: max(13, len(t.split()) * 2 // 5)]) for t in items]
+    assert len({r.doc_id for r in find_leaks(rows(put(first)), own_ids).where("doc_id = item_id").collect()}) >= 36
+    changed = [" ".join("zzz" if k == len(t.split()) // 2 else w for k, w in enumerate(t.split())) for t in items]
+    assert len({r.doc_id for r in find_leaks(rows(put(changed)), own_ids).where("doc_id = item_id").collect()}) >= 36
+    assert find_leaks(rows(benchmark_like(300, (20, 200), 3)), own_ids).count() == 0
+    # twelve words in a row of a long item are no leak
+    short = [" ".join(t.split()[:12]) for t in items if len(t.split()) >= 40]
+    assert find_leaks(rows(short), own_ids).count() == 0
