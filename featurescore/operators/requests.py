@@ -44,6 +44,30 @@ def assemble_responses(scored: DataFrame) -> DataFrame:
     return rows.select("request_id", F.when(F.col("error").isNull(), outputs).alias("outputs"), "error")
 
 
+#: Outputs of a part of a response, and rows of a part of a log batch, at most.
+PART_ROWS = 10_000
+
+
+def response_parts(scored: DataFrame, size: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows (request_id, part, outputs), manifest (request_id, parts, n_outputs, error)) for requests of any length.
+
+    A part has the outputs of size places of the request in their order, so no request meets in one array: parts are
+    counted and checked in the manifest, a row for each request. A request with an error has no parts, and the error of
+    its first bad row; one without inputs is in the manifest only.
+    """
+    part = F.floor(F.col("pos") / size).cast("int")
+    bad = F.col("error") if "error" in scored.columns else F.lit(None).cast("string")
+    rows = scored.select("request_id", "pos", "row_id", "scores", part.alias("part"), bad.alias("error"))
+    packed = rows.groupBy("request_id", "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "row_id", "scores")))).alias("o"), F.min(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))).alias("first"),
+    )
+    sums = rows.groupBy("request_id").agg(F.count("pos").alias("n"), (F.max("part") + 1).alias("parts"), F.min(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))).alias("first"))
+    manifest = sums.select("request_id", F.when(F.col("first").isNull(), F.coalesce("parts", F.lit(0))).otherwise(0).alias("parts"), F.when(F.col("first").isNull(), F.col("n")).otherwise(0).alias("n_outputs"), F.col("first.error").alias("error"))
+    accepted = packed.where("part is not null").join(manifest.where("error is not null").select("request_id"), "request_id", "left_anti")
+    outputs = F.transform("o", lambda x: F.struct(x["row_id"].alias("row_id"), x["scores"].alias("scores")))
+    return accepted.select("request_id", "part", outputs.alias("outputs")), manifest
+
+
 def chunk_numbers(df: DataFrame, partition: list[str], order: list, size: int, out: str = "chunk") -> DataFrame:
     """df with the number of the chunk of size rows that each row falls in, within each partition; no partition is one task's."""
     (n,) = unused(df, "__n")

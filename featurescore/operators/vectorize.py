@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import ConfigError, VectorizationConfig
 from ..types import FIELDS, field_of
-from .lookup import array_lookup, dictionary, lookup_join
-from .transforms import ACCEPTED, LITERAL_KEYS, NULL_ELEMENT, WRONG_TYPE, Lookup, MinMax64, Standardize64, Transformation
+from .lookup import array_lookup, dictionary, lookup_join, sent_lookup
+from .transforms import ACCEPTED, LITERAL_KEYS, NULL_ELEMENT, WRONG_TYPE, Embedding, Lookup, MinMax64, OneHot, Standardize64, Transformation
 
 
 def _large(t: Transformation) -> bool:
@@ -42,17 +42,10 @@ def _from_map(t: Transformation, v: Column, found: dict[str, Column]) -> tuple[C
     return F.when(refused, F.lit(None)).otherwise(vector), F.when(refused, F.lit(WRONG_TYPE.format(t.label))).otherwise(error)
 
 
-def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | None = None, features: str | None = None, mode: str = "permissive") -> DataFrame:
-    """df with vector (array<float>) and error (text, null if all is well; the first of feature_order, then a wrong length).
-
-    features names a column map<string, feature value>; without it each feature is the column of its name, and an
-    unknown column is a missing feature. Missing and null values give the default as it stands. Features outside the
-    order are not read. mode "failfast" raises the error in place of returning it. Tables of many keys are joined; where
-    the keys are in arrays, df is read twice and must give the same rows in the same order (a stored table does).
-    """
+def _parts(df: DataFrame, config: VectorizationConfig, features: str | None) -> tuple[DataFrame, list[Column], list[Column]]:
+    """df with what the features need, and the vector and the error of each feature of the order."""
     if problems := config.problems():
         raise ConfigError(problems)
-    kept = [c for c in df.columns if c not in ("vector", "error")]
     rows, values = df, {}
     for i, name in enumerate(config.order):
         if features:
@@ -71,8 +64,12 @@ def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | No
         found[name] = {}
         for field in ("string_value", "string_array"):
             if field in held:
-                join = lookup_join if field == "string_value" else array_lookup
-                rows = join(rows, held[field], dictionary(df.sparkSession, t), t.default(), f"__{field}{i}")
+                sent = sent_lookup(df.sparkSession, t, held[field]) if field == "string_array" else None
+                if sent is not None:
+                    rows = rows.withColumn(f"__{field}{i}", sent)
+                else:
+                    join = lookup_join if field == "string_value" else array_lookup
+                    rows = join(rows, held[field], dictionary(df.sparkSession, t), t.default(), f"__{field}{i}")
                 found[name][field] = F.col(f"__{field}{i}")
     vectors, errors = [], []
     for name in config.order:
@@ -89,17 +86,93 @@ def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | No
             vector, error = F.when(v.isNotNull(), vector).otherwise(t.default()), F.when(v.isNotNull(), error)
         vectors.append(vector)
         errors.append(error)
-    whole = F.concat(*vectors).cast("array<float>") if vectors else F.array().cast("array<float>")
-    out = rows.select(*kept, whole.alias("vector"), F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
+    return rows, vectors, errors
+
+
+def _checked(out: DataFrame, length: Column, expected_len: int | None, mode: str) -> DataFrame:
     if expected_len is not None:
-        length = F.size("vector")
         wrong = F.when(F.col("error").isNull() & (length != expected_len), F.concat(F.lit(f"Expected feature vector length {expected_len} but got "), length.cast("string")))
         out = out.withColumn("error", F.coalesce("error", wrong))
     if mode == "failfast":
-        return out.withColumn("vector", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("array<float>")).otherwise(F.col("vector")))
+        return out.withColumn("vector", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(out.schema["vector"].dataType)).otherwise(F.col("vector")))
     return out.withColumn("vector", F.when(F.col("error").isNull(), F.col("vector")))
 
 
+def vectorize(df: DataFrame, config: VectorizationConfig, expected_len: int | None = None, features: str | None = None, mode: str = "permissive") -> DataFrame:
+    """df with vector (array<float>) and error (text, null if all is well; the first of feature_order, then a wrong length).
+
+    features names a column map<string, feature value>; without it each feature is the column of its name, and an
+    unknown column is a missing feature. Missing and null values give the default as it stands. Features outside the
+    order are not read. mode "failfast" raises the error in place of returning it. Single keys are joined with tables of many
+    keys; keys in arrays are looked up in a table that every executor has (sent_lookup), on streams too. Only where such a
+    table is too large for that, df is read twice and must give the same rows in the same order (a stored table does).
+    """
+    kept = [c for c in df.columns if c not in ("vector", "error")]
+    rows, vectors, errors = _parts(df, config, features)
+    whole = F.concat(*vectors).cast("array<float>") if vectors else F.array().cast("array<float>")
+    out = rows.select(*kept, whole.alias("vector"), F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
+    return _checked(out, F.size("vector"), expected_len, mode)
+
+
+class _Place(Embedding):
+    """The place of a text among the categories of a one-hot feature; -1 for others."""
+
+    label = OneHot.label
+
+
+def _entries(t: OneHot | None, vector: Column, offset: Column) -> Column:
+    """Entries (pos, value) of a feature that begins at offset: what is not zero. With t the vector has places of its categories."""
+    entry = lambda pos, value: F.struct(pos.cast("int").alias("pos"), value.cast("float").alias("value"))
+    if t is None:
+        return F.filter(F.transform(vector, lambda x, i: entry(offset + i, x)), lambda e: e["value"] != 0)
+    width = len(t.categories)
+    other = [(j, d) for j, d in enumerate(t.default_val) if d]
+
+    def one(x: Column, i: Column) -> Column:
+        base = offset + i * width
+        unknown = F.array(*[entry(base + j, F.lit(d)) for j, d in other]).cast("array<struct<pos:int,value:float>>")
+        return F.when(x >= 0, F.array(entry(base + x.cast("int"), F.lit(1.0)))).otherwise(unknown)
+
+    return F.flatten(F.transform(vector, one))
+
+
+def vectorize_sparse(df: DataFrame, config: VectorizationConfig, expected_len: int | None = None, features: str | None = None, mode: str = "permissive") -> DataFrame:
+    """As vectorize, with vector as a struct (size, positions, values) of the numbers that are not zero, by position.
+
+    A one-hot text is one entry, and no vector of its categories is made for it.
+    """
+    kept = [c for c in df.columns if c not in ("vector", "error")]
+    short = {}
+    for name, t in config.transformations.items():
+        narrow = isinstance(t, OneHot) and len(t.default_val) == len(t.categories)
+        short[name] = _Place((-1.0,), {c: (float(i),) for i, c in enumerate(t.categories)}) if narrow else t
+    rows, vectors, errors = _parts(df, VectorizationConfig(short, config.order), features)
+    # each vector is a column of its own, since its entries and its size are used apart
+    rows = rows.select(*kept, *[v.cast("array<float>").alias(f"__part{i}") for i, v in enumerate(vectors)], F.coalesce(*errors, F.lit(None).cast("string")).alias("error"))
+    offset, found = F.lit(0), []
+    for i, name in enumerate(config.order):
+        t, part = config.transformations[name], F.col(f"__part{i}")
+        placed = isinstance(short[name], _Place)
+        found.append(_entries(t if placed else None, part, offset))
+        offset = offset + F.size(part) * (len(t.categories) if placed else 1)
+    entries = F.flatten(F.array(*found)) if found else F.array().cast("array<struct<pos:int,value:float>>")
+    out = rows.select(*kept, "error", offset.alias("__size"), entries.alias("__entries"))
+    vector = F.struct(F.col("__size").alias("size"), F.col("__entries.pos").alias("positions"), F.col("__entries.value").alias("values"))
+    return _checked(out.select(*kept, vector.alias("vector"), "error"), F.col("vector.size"), expected_len, mode)
+
+
+def long_form(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
+    """Rows (keys.., pos, value) of sparse vectors: an entry for each number that is not zero. Rows without a vector have none."""
+    rows = df.select(*keys, F.explode_outer(F.arrays_zip(F.col(vector)["positions"].alias("pos"), F.col(vector)["values"].alias("value"))).alias("e"))
+    return rows.where("e is not null").select(*keys, F.col("e.pos").alias("pos"), F.col("e.value").alias("value"))
+
+
+def dense(vector: Column) -> Column:
+    """A sparse vector as an array."""
+    at = F.map_from_arrays(vector["positions"], vector["values"])
+    return F.when(vector["size"] == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), vector["size"] - 1), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0).cast("float"))))
+
+
 def vectorize_long(df: DataFrame, keys: list[str], config: VectorizationConfig) -> DataFrame:
     """Rows (keys.., pos, value) for configurations of 64-bit scalings only: features are unpivoted and joined with their parameters."""
     rows = []

@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 from ..config import validate_configs
 from ..functions.numeric import f32, lits32, millis
 from ..operators.latency import SHARES, latency_metrics, latency_summary, tumbling
-from ..operators.lookup import array_lookup_join, dictionary, lookup_join
-from ..operators.requests import assemble_responses, chunk_numbers, explode_requests, reject_requests
+from ..operators.lookup import array_lookup_join, dictionary, lookup_join, skewed_lookup_join
+from ..operators.requests import assemble_responses, chunk_numbers, explode_requests, reject_requests, response_parts
 from ..operators.scoring import Mlp, OnnxScorer, dense_layer, dense_sigmoid, score, sigmoid
 from ..operators.transforms import Embedding, Identity, MinMax32, MinMax64, OneHot, Standardize32, Standardize64
-from ..operators.vectorize import vectorize, vectorize_long
-from ..sources.logs import FILE_BATCHES, FLUSH_DATUMS, STAGES, log_batches, log_rows, object_name, partition_path, read_logs, stage_metrics, write_chunks, write_log_batches, write_logs, write_metrics
+from ..operators.vectorize import long_form, vectorize, vectorize_long, vectorize_sparse
+from ..sources.logs import FILE_BATCHES, FLUSH_DATUMS, STAGES, log_batch_parts, log_batches, log_rows, object_name, partition_path, read_logs, stage_metrics, write_chunks, write_log_batches, write_logs, write_metrics
 from ..sources.protobuf import from_protobuf, read_messages, to_protobuf
 from ..sources.shared import shared_path
 from ..sources.tables import rows_from_table, stream_requests, to_map
@@ -234,6 +234,14 @@ def vector_length_check(spark, sf_dir):
     return vectorize(conversation_roles(spark, sf_dir), config(roles=OneHot((0.0, 0.0), ("assistant", "user"))), 8).select("conv_id", "error")
 
 
+@query(f"SELECT * FROM ({sql_entries('events', 'event_id', *_EVENT_VALUES)}) WHERE value <> 0")
+def vectorize_sparse_form(spark, sf_dir):
+    """The entries that are not zero of all seven kinds' sparse vectors, from maps of typed values."""
+    maps = to_map(event_features(spark, sf_dir), list(EVENTS.order)).select("event_id", "features")
+    entries_ = long_form(vectorize_sparse(maps, EVENTS, 11, features="features"), ["event_id"])
+    return entries_.select("event_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
 # requests: orders, with their lines as rows
 
 def order_requests(spark, sf_dir, bad=None) -> DataFrame:
@@ -291,6 +299,28 @@ def request_atomicity(spark, sf_dir):
     return counts.select("request_id", "n_accepted", F.lit(None).cast("string").alias("error")).union(rejected.select("request_id", F.lit(0).cast("long"), "error"))
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_discount >= 0.095 AS bad FROM lineitem), o AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(bad), false) AS bad FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey::VARCHAR AS request_id, CASE WHEN bad THEN 0 ELSE (n + 2) // 3 END AS parts, CASE WHEN bad THEN 0 ELSE n END AS n_outputs, CASE WHEN bad THEN 0 ELSE n END AS found, CASE WHEN bad THEN 0 ELSE least(n, 3) END AS longest, CASE WHEN bad THEN 'Invalid data type for Standardization64' END AS error FROM o""")
+def response_in_parts(spark, sf_dir):
+    """Responses in parts of three outputs with a manifest; a request with a bad row has none."""
+    rows = vectorize(explode_requests(order_requests(spark, sf_dir, F.col("l_discount") >= 0.095)), LINES, 3, features="features")
+    parts, manifest = response_parts(rows.withColumn("scores", dense_sigmoid(F.col("vector"), 0.5, 0.1, 2).cast("array<float>")), 3)
+    sizes = parts.groupBy("request_id").agg(F.sum(F.size("outputs")).alias("found"), F.max(F.size("outputs")).alias("longest"))
+    out = manifest.join(sizes, "request_id", "left")
+    return out.select("request_id", F.col("parts").cast("long").alias("parts"), "n_outputs", F.coalesce("found", F.lit(0)).cast("long").alias("found"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), "error")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 > 0 THEN 1.5 WHEN user_id % 2 = 0 THEN 2 * user_id ELSE 0.5 END::DOUBLE AS value FROM events WHERE user_id % 7 > 0 UNION ALL SELECT event_id, 0.5 FROM events WHERE user_id % 7 = 0")
+def lookup_skewed(spark, sf_dir):
+    """Events against a stored table of vectors, with a key that two thirds of them have, unknown keys and rows without a key."""
+    key = F.expr("CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 3 > 0 THEN 'hot' ELSE concat('u', user_id) END")
+    users = table(spark, sf_dir, "events", "user_id").distinct().where("user_id % 2 = 0")
+    path = shared_path(spark, "dictionary")
+    users.select(F.concat(F.lit("u"), "user_id").alias("key"), F.array((2 * F.col("user_id")).cast("float")).alias("vec")).union(spark.range(1).select(F.lit("hot"), F.array(F.lit(1.5).cast("float")))).write.parquet(path)
+    out = skewed_lookup_join(table(spark, sf_dir, "events", "event_id", "user_id"), key, spark.read.parquet(path), lits32([0.5]), "vector")
+    return out.select("event_id", F.col("vector")[0].cast("double").alias("value"))
+
+
 # scoring
 
 _SUM = " + ".join(f"({v})::DOUBLE" for v in _LINE_VALUES)
@@ -389,7 +419,7 @@ def score_benchmark(spark, sf_dir):
     setup = benchmark_config()
     path = shared_path(spark, "units")
     spark.createDataFrame(units(1002, SMALL_LAYERS), UNIT).write.parquet(path)
-    net = Mlp.from_table(spark.read.parquet(path))
+    net = Mlp.from_table(spark.read.parquet(path), "float64")
     rows = vectorize(benchmark_rows(spark, sf_dir).where("identity_pair[0] is not null"), setup, net.input_width).select("event_id", "vector")
     out = score(rows, net)
     return out.select("event_id", *[(F.round(out.scores[k].cast("double"), 3) + 0.0).alias(f"score_{k}") for k in (0, 4)])
@@ -407,8 +437,10 @@ def event_logs(spark, sf_dir) -> DataFrame:
 
 @query("SELECT user_id::VARCHAR AS request_id, 'model-1' AS model_id, count(*) AS n_rows, sum(7)::BIGINT AS n_features FROM events GROUP BY user_id")
 def inference_log(spark, sf_dir):
-    batches = log_batches(event_logs(spark, sf_dir))
-    return batches.select("request_id", "model_id", F.size("inference_log_rows").cast("long").alias("n_rows"), F.aggregate("inference_log_rows", F.lit(0), lambda a, r: a + F.size(r["features"])).cast("long").alias("n_features"))
+    """Log batches in parts of bounded length, so that a user with most of the events is no single array."""
+    parts = log_batch_parts(event_logs(spark, sf_dir), ["at", "row_id"])
+    sizes = parts.select("request_id", "model_id", F.size("inference_log_rows").cast("long").alias("n"), F.aggregate("inference_log_rows", F.lit(0), lambda a, r: a + F.size(r["features"])).cast("long").alias("f"))
+    return sizes.groupBy("request_id", "model_id").agg(F.sum("n").alias("n_rows"), F.sum("f").alias("n_features"))
 
 
 _PATH = "strftime(ts, 'year=%Y/month=%m/day=%d/hour=%H/mi=') || minute(ts)::VARCHAR"

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import number_rows, unused
+from ..operators.requests import PART_ROWS
+
 # Partition columns with their date patterns (the minute has no leading zero), request
 # batches of a file, and metrics of a flush.
 PARTITIONS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH", "mi": "m"}
@@ -35,6 +38,18 @@ def log_batches(rows: DataFrame) -> DataFrame:
     return rows.groupBy("request_id", "model_id").agg(F.collect_list(F.struct("row_id", "features", "scores")).alias("inference_log_rows"))
 
 
+def log_batch_parts(rows: DataFrame, order: list, size: int = PART_ROWS) -> DataFrame:
+    """Log batches in numbered parts of size rows at most: (request_id, model_id, part, inference_log_rows), in the given order.
+
+    A request with most of the rows is many parts, which are dealt to many tasks.
+    """
+    (n,) = unused(rows, "__n")
+    numbered = number_rows(rows, ["request_id", "model_id"], order, n)
+    part = F.floor(F.col(n) / size).cast("int").alias("part")
+    packed = numbered.groupBy("request_id", "model_id", part).agg(F.array_sort(F.collect_list(F.struct(n, F.struct("row_id", "features", "scores").alias("row"))), lambda a, b: F.when(a[n] < b[n], -1).otherwise(1)).alias("r"))
+    return packed.select("request_id", "model_id", "part", F.transform("r", lambda x: x["row"]).alias("inference_log_rows"))
+
+
 def object_name(prefix: str, ts: Column) -> Column:
     """A new name of a log object: prefix, partition, a random uuid and the micros of ts."""
     return F.concat_ws("/", F.lit(prefix), partition_path(ts), F.concat(F.uuid(), F.lit("_"), F.unix_micros(ts).cast("string"), F.lit(".pb")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,15 +60,11 @@ def foreach_scored(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
 
 
 def score_requests(requests: DataFrame, config: VectorizationConfig, scorer: Scorer) -> DataFrame:
-    """Rows of nested requests with vector, error, scores and the micros of their stages.
+    """Rows of nested requests with vector, error, scores and the micros of their stages, all in one pass.
 
-    vec_micros is the time of a pass that makes the vectors only; scoring makes them again, fused with its own reading.
+    vec_micros is how long the batch of a row waited for its vectors after the one before it was scored.
     """
-    vectors = vectorize(explode_requests(requests), config, scorer.input_width, features="features")
-    start = time.perf_counter_ns()
-    vectors.select("vector", "error").write.format("noop").mode("overwrite").save()
-    micros = (time.perf_counter_ns() - start) // 1000
-    return score(vectors, scorer, timings=True).withColumn("vec_micros", F.lit(micros))
+    return score(vectorize(explode_requests(requests), config, scorer.input_width, features="features"), scorer, timings=True)
 
 
 def request_job(requests: DataFrame, config: VectorizationConfig, scorer: Scorer, model_id: str, path: str, checkpoint: str) -> None:

@@ -4,15 +4,17 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
 from featurescore.config import VectorizationConfig, validate_configs
-from featurescore.operators.requests import assemble_responses, reject_requests
-from featurescore.operators.scoring import Mlp, OnnxScorer, score
+from featurescore.operators.requests import assemble_responses, reject_requests, response_parts
+from featurescore.operators.scoring import Mlp, OnnxScorer, Shared, score
 from featurescore.operators.transforms import Embedding, Identity
 from featurescore.operators.vectorize import vectorize
 from featurescore.plans.catalogue import QUERIES
 from featurescore.plans.models import FULL_LAYERS, SMALL_LAYERS, UNIT, benchmark_config, sigmoid_model, units
+from featurescore.sources.logs import log_batch_parts
 from featurescore.sources.tables import to_map
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +86,78 @@ def test_a_users_column_named_like_a_result_is_replaced(spark):
     r = vectorize(df, VectorizationConfig({"x": Identity((0.0,))}, ("x",)), 1).first()
     assert r.vector == [1.5] and r.error is None
     assert vectorize(df, VectorizationConfig({"x": Identity((0.0,))}, ("x",)), 2).select(F.col("error")).first().error == "Expected feature vector length 2 but got 1"
+
+
+def test_a_worker_process_opens_a_model_once(spark, tmp_path):
+    import os
+
+    (tmp_path / "one.onnx").write_bytes(sigmoid_model(4))
+    scorer = OnnxScorer.from_path(spark, str(tmp_path / "one.onnx"))
+    rows = spark.range(0, 4000, 1, 40).select(F.array(*[F.lit(1.0).cast("float")] * 4).alias("vector"))
+    assert len(CloudPickleSerializer().dumps(scorer)) < 10_000
+
+    class Watching:
+        input_width = 4
+
+        def score(self, batch):
+            before = Shared.opens
+            scorer.score(batch)
+            return np.tile([[os.getpid(), Shared.opens, Shared.opens - before]], (len(batch), 1))
+
+    seen = [tuple(r.scores) for r in score(rows, Watching()).select("scores").collect()]
+    assert len(seen) == 4000
+    processes = {p for p, _, _ in seen}
+    # forty tasks, but no process opens the session again
+    for p in processes:
+        assert len({n for q, n, _ in seen if q == p}) == 1
+
+
+def test_networks_travel_as_files(spark, table):
+    net = Mlp.from_table(table(units(64, [32, 8, 3]), UNIT), "float64")
+    whole = Mlp([(w.copy(), b.copy()) for w, b in net.layers], net.norms)
+    x = np.random.default_rng(1).normal(size=(50, 64))
+    assert np.allclose(net.score(x), whole.score(x)) and len(CloudPickleSerializer().dumps(net)) < 10_000
+    want = {(k, o): w for k, o, w, *_ in units(64, [32, 8, 3])}
+    assert all(np.allclose(net.layers[k][0][o], w) for (k, o), w in want.items())
+
+
+def test_a_layer_of_8192_units(spark, tmp_path):
+    # made in Spark, 268 MB of 32-bit weights; mapped, so a task holds a tile of units beside its batch
+    n = 8192
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: (((F.col("out") * 7 + p * 3) % 11 - 5) / 1024).cast("float"))
+    made = spark.range(0, n, 1, 8).select(F.lit(0).alias("layer"), F.col("id").cast("int").alias("out")).withColumn("weights", weights)
+    made.select("*", F.lit(0.5).cast("float").alias("bias"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("float").alias("shift")).write.parquet(str(tmp_path / "wide"))
+    net = Mlp.from_table(spark.read.parquet(str(tmp_path / "wide")))
+    assert net.input_width == n and len(CloudPickleSerializer().dumps(net)) < 10_000
+    x = [[float((r + p) % 3) for p in range(n)] for r in range(3)]
+    out = score(spark.createDataFrame([(r, v) for r, v in enumerate(x)], "id int, vector array<float>"), net).collect()
+    for r in out:
+        for o in (0, 1, 4095, 8191):
+            want = 0.5 + sum(((o * 7 + p * 3) % 11 - 5) / 1024 * v for p, v in enumerate(x[r.id]))
+            assert abs(r.scores[o] - want) < 1e-2
+
+
+def test_requests_are_scored_in_one_pass(spark):
+    from featurescore.streaming.jobs import score_requests
+    from featurescore.types import FIELDS, REQUEST
+
+    one = {"x": {**dict.fromkeys(FIELDS), "float_value": 2.0}}
+    requests = spark.createDataFrame([("a", [("r", one), ("s", one)])], REQUEST)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "no job for a plan")
+    out = score_requests(requests, VectorizationConfig({"x": Identity((0.0,))}, ("x",)), OnnxScorer(sigmoid_model(1)))
+    assert not jobs.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") <= 2 and plan.count("Generate") == 1
+    assert all(r.vec_micros >= 0 and r.infer_micros >= 0 and len(r.scores) == 2 for r in out.collect())
+
+
+def test_requests_in_parts_keep_their_order(spark):
+    rows = [("long", i, f"r{i}", [float(i)], None) for i in range(25)] + [("bad", 0, "x", [1.0], None), ("bad", 1, "y", None, "e1"), ("bad", 2, "z", None, "e2"), ("none", None, None, None, None)]
+    parts, manifest = response_parts(spark.createDataFrame(rows, "request_id string, pos int, row_id string, scores array<float>, error string").repartition(5), 10)
+    got = {(r.request_id, r.part): [o.row_id for o in r.outputs] for r in parts.collect()}
+    assert got == {("long", k): [f"r{i}" for i in range(10 * k, min(25, 10 * k + 10))] for k in range(3)}
+    assert {tuple(r) for r in manifest.collect()} == {("long", 3, 25, None), ("bad", 0, 0, "e1"), ("none", 0, 0, None)}
+    logs = spark.createDataFrame([("q", "m", f"r{i:02}", None, None) for i in range(12)], "request_id string, model_id string, row_id string, features map<string,int>, scores array<float>")
+    assert {r.part: [x.row_id for x in r.inference_log_rows] for r in log_batch_parts(logs.repartition(3), ["row_id"], 5).collect()} == {k: [f"r{i:02}" for i in range(5 * k, min(12, 5 * k + 5))] for k in range(3)}
