@@ -66,6 +66,54 @@ def test_reading_equals_naive_loops(spark):
     assert len(near) > 15 and sum(near) >= 0.9 * len(near)
 
 
+def by_windows(model, text):
+    """As naive(), but with the states of each window from WARM bytes before and after it."""
+    data, total = text.encode(), np.zeros(len(model.languages))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    wa, wb, b = (x.astype(np.float64) for x in model.out)
+    for start in range(0, len(data), li.LENGTH):
+        end, states = min(len(data), start + li.LENGTH), []
+        for cell, order in zip(model.cells, (range(max(0, start - li.WARM), end), range(min(len(data), end + li.WARM) - 1, start - 1, -1)), strict=True):
+            w, u, c = (x.astype(np.float64) for x in cell)
+            k = u.shape[1]
+            h, out = np.zeros(k), {}
+            for i in order:
+                x, s = w[:, data[i]], u @ h
+                z, r = sigmoid(x[:k] + s[:k]), sigmoid(x[k : 2 * k] + s[k : 2 * k])
+                h = z * h + (1 - z) * np.tanh(x[2 * k :] + r * (s[2 * k :] + c[:, 0]))
+                out[i] = h
+            states.append(np.array([out[i] for i in range(start, end)]))
+        e = np.exp(states[0] @ wa.T + states[1] @ wb.T + b[:, 0])
+        total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+    return total / max(1, len(data))
+
+
+def test_query_equals_naive_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts, model = {r.doc_id: r.text for r in docs.collect()}, li.train(docs)
+    out = li.op10_language_id(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = by_windows(model, text)
+        # 32-bit states against 64-bit ones; of languages as likely as each other either may be named
+        assert abs(r.score - mean.max()) < 1e-4 and mean[model.languages.index(r.lang_pred)] > mean.max() - 1e-4
+
+
+def test_repeated_rows_and_ties_of_languages(spark, table):
+    model = li.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    out = li.identify(table([(1, "the thing of the nation")] * 3 + [(2, "la nation")], "i int, text string"), model).collect()
+    assert len(out) == 4 and len({(r.lang_pred, r.score) for r in out if r.i == 1}) == 1
+    k = len(model.languages)
+    flat = li.Model(model.languages, model.cells, tuple(np.zeros_like(x) for x in model.out))
+    tied = li.identify(table([(1, "abc")], "i int, text string", 1), flat).first()
+    assert tied.lang_pred == model.languages[0] and abs(tied.score - 1 / k) < 1e-6
+
+
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     out = li.op10_language_id(spark, SF).collect()

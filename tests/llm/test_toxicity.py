@@ -1,10 +1,14 @@
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 
-from featurescore.llm.toxicity import K, Index, isotonic, op4_toxicity, score_toxicity, train
+from featurescore.llm.toxicity import K, PRIOR, Index, isotonic, op4_toxicity, score_toxicity, train
 
 SF = "/root/testdata/sf0.1"
+#: Words of lowered texts.
+WORD = r"[a-z\x80-\U0010ffff]+"
 
 
 def test_search_equals_brute_force():
@@ -81,3 +85,44 @@ def test_search_is_over_all_words(table):
         assert np.allclose(got, [x for x in want if x > 0])
         assert all(np.isclose(e.cosine, sum(x * vectors[int(e.id)].get(w, 0) for w, x in v.items()) / norm[i] / norm[int(e.id)]) for e in out[i].evidence)
     assert out[500].evidence == [] and 0 <= out[500].score <= 1
+
+
+def test_query_equals_brute_force(spark):
+    """Cosines with all examples, votes and scores of the whole tables, from words and formulas."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts, toxic = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    model = train(docs.select("doc_id", "text"), labels)
+    words = lambda t: re.findall(WORD, t.translate({c: c + 32 for c in range(65, 91)}))
+    held = {i: Counter(words(t)) for i, t in texts.items()}
+    df = Counter(w for c in held.values() for w in c)
+    examples = {int(i): int(y) for i, y in zip(model.ids, model.labels, strict=True)}
+    # the sample is the whole of so small a table, without the held-out rows
+    assert set(examples) == {i for i in toxic if i in texts and zlib.crc32(str(i).encode()) % 4 != 2} and all(examples[i] == (toxic[i] > 0) for i in examples)
+    n, n1 = len(examples), sum(examples.values())
+    seen, bad = Counter(w for i in examples for w in held[i]), Counter(w for i, y in examples.items() if y for w in held[i])
+    chi = {w: n * (bad[w] * (n - n1 - ab + bad[w]) - (n1 - bad[w]) * (ab - bad[w])) ** 2 / (n1 * (n - n1) * ab * (n - ab)) if ab < n else 0.0 for w, ab in seen.items()}
+    vectors = {i: {w: (1 + np.log(x)) * (np.log((len(held) + 1) / (df[w] + 1)) + 1) * (1 + chi.get(w, 0.0)) for w, x in c.items()} for i, c in held.items()}
+    norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    weight = {int(i): w for i, w in zip(model.ids, model.weights, strict=True)}
+    out = {r.doc_id: r for r in op4_toxicity(spark, sf).collect()}
+    assert len(out) == len(texts)
+    for i, v in vectors.items():
+        cos = {e: sum(x * vectors[e].get(w, 0.0) for w, x in v.items()) / norm[i] / norm[e] for e in examples if v and vectors[e]}
+        want = sorted((x for x in cos.values() if x > 0), reverse=True)[:K]
+        near = [(int(e.id), e.cosine, e.label) for e in out[i].evidence]
+        assert np.allclose([s for _, s, _ in near], want, atol=1e-9) and all(np.isclose(cos[e], s) and y == examples[e] for e, s, y in near)
+        if v:
+            vote = (sum(s * weight[e] * y for e, s, y in near) + PRIOR * model.base) / (sum(s * weight[e] for e, s, _ in near) + PRIOR)
+            assert np.isclose(out[i].score, np.clip(np.interp(vote, *model.knots), 0, 1), atol=1e-6)
+        else:
+            assert out[i].score == model.empty
+
+
+def test_ties_and_repeated_rows(table):
+    docs = table([(i, "idiot words" if i < 40 else "calm words") for i in range(120)] + [(200, "idiot words"), (200, "idiot words")], "doc_id long, text string")
+    out = score_toxicity(docs, train(docs, table([(i, int(i < 40)) for i in range(120)], "doc_id long, toxic int"))).collect()
+    assert len(out) == 122
+    # all copies of an example are equally near: which of them vote does not change a score
+    assert len({round(r.score, 9) for r in out if r.doc_id < 40 or r.doc_id == 200}) == 1
+    assert all(len({round(e.cosine, 9) for e in r.evidence}) == 1 and {e.label for e in r.evidence} == {1} for r in out if r.doc_id == 200)
