@@ -410,7 +410,9 @@ def _benchmark_sql() -> str:
             z = f"greatest({z}, 0) * (1 + 0.1::DOUBLE * o) + 0.05::DOUBLE * o"
         layer = f"SELECT o, list_transform(range({w}), lambda p: ((o * 7 + p * 3 + {k}) % 11 - 5) / 10.0::DOUBLE / 8) AS w, 0.1::DOUBLE * (o + 1) AS b FROM (SELECT unnest(range({h})) AS o)"
         x = f"SELECT event_id, list({z} ORDER BY o) AS x FROM ({x}) AS i, ({layer}) AS l GROUP BY event_id"
-    return f"SELECT event_id, round(x[1]::FLOAT::DOUBLE, 3) + 0 AS score_0, round(x[5]::FLOAT::DOUBLE, 3) + 0 AS score_4 FROM ({x})"
+    scores = ", ".join(f"round(x[{k + 1}]::FLOAT::DOUBLE, 3) + 0 AS score_{k}" for k in range(5))
+    none = ", ".join("NULL" for _ in range(5))
+    return f"SELECT event_id, {scores}, NULL::VARCHAR AS error FROM ({x}) UNION ALL SELECT event_id, {none}, 'Null element in array' FROM events WHERE value IS NULL"
 
 
 @query(_benchmark_sql())
@@ -420,9 +422,9 @@ def score_benchmark(spark, sf_dir):
     path = shared_path(spark, "units")
     spark.createDataFrame(units(1002, SMALL_LAYERS), UNIT).write.parquet(path)
     net = Mlp.from_table(spark.read.parquet(path), "float64")
-    rows = vectorize(benchmark_rows(spark, sf_dir).where("identity_pair[0] is not null"), setup, net.input_width).select("event_id", "vector")
+    rows = vectorize(benchmark_rows(spark, sf_dir), setup, net.input_width).select("event_id", "vector", "error")
     out = score(rows, net)
-    return out.select("event_id", *[(F.round(out.scores[k].cast("double"), 3) + 0.0).alias(f"score_{k}") for k in (0, 4)])
+    return out.select("event_id", *[(F.round(out.scores[k].cast("double"), 3) + 0.0).alias(f"score_{k}") for k in range(5)], "error")
 
 
 # logs and metrics

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 #: The state store that these processors need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,10 +129,43 @@ def tick_summaries(events: DataFrame, ts: str, value: str, width: str, delay: st
     return out.select(F.timestamp_millis("start_ms").alias("window_start"), "n", "avg", *shares)
 
 
+class Counts(StreamingQueryListener):
+    """Sums of what the micro-batches of a query report, however many there are."""
+
+    def __init__(self):
+        self.rows = self.late = 0
+        self.run, self.ended = None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.runId == self.run:
+            self.rows += event.progress.numInputRows
+            self.late += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.runId == self.run:
+            self.ended.set()
+
+
 def run_counted(stream: DataFrame, path: str, checkpoint: str) -> dict[str, int]:
     """Writes what is available of a stream with state as Parquet under path, and ends; gives rows in and late rows dropped."""
-    with state_store(stream.sparkSession):
-        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-        query.awaitTermination()
-    progress = query.recentProgress
-    return {"rows": sum(p.numInputRows for p in progress), "late": sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators)}
+    spark, counts = stream.sparkSession, Counts()
+    with state_store(spark):
+        writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = writer.start(path)
+        # of a query that is over before the listener is there, the progress is at hand
+        counts.run = query.runId
+        spark.streams.addListener(counts)
+        try:
+            query.awaitTermination()
+            counts.ended.wait(10)
+        finally:
+            spark.streams.removeListener(counts)
+    kept = query.recentProgress
+    rows, late = sum(p.numInputRows for p in kept), sum(o.numRowsDroppedByWatermark for p in kept for o in p.stateOperators)
+    return {"rows": max(rows, counts.rows), "late": max(late, counts.late)}
