@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ARROW_ROWS, LOWER, as_bytes, word_bounds
+from .license_clauses import CLAUSES
 from .license_signatures import GRANTS, MARKS, WARRANTIES
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -118,7 +119,7 @@ def rules() -> list[tuple[int, str, re.Pattern, str, float]]:
             add(rank + 2, own, rf"\bcc[ -]{short}(?!-)\b[ -]?{v}", "cc", 0.8)
             add(rank + 2, own, rf"creativecommons\.org/licenses/{short}/{v}", "creativecommons", 1.0)
             add(rank + 3, own, rf"\bcreative commons {long}(?!-)(?: {v})?(?: (?:international|unported|generic))? licen[cs]e ?{v}", "creative commons", 0.9)
-    for rank, weight, signatures in ((1, 1.0, GRANTS), (4, 0.9, MARKS), (6, 0.6, WARRANTIES)):
+    for rank, weight, signatures in ((1, 1.0, GRANTS), (1, 1.0, CLAUSES), (4, 0.9, MARKS), (6, 0.6, WARRANTIES)):
         for label, pattern, keyword in signatures:
             add(rank, label, pattern, keyword, WEAK.get(label, weight))
     return sorted(out, key=lambda r: r[0])

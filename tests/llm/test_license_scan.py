@@ -1,6 +1,8 @@
 import re
 
+from featurescore.llm.license_clauses import CLAUSES
 from featurescore.llm.license_scan import PHRASES, detect, op9_license_scan, rules, scan_licenses
+from featurescore.llm.license_signatures import GRANTS, MARKS, WARRANTIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +100,31 @@ def test_wrapped_notices():
         assert all(text[s:e].strip() == text[s:e] for s, e, _, _ in found)
     text = "x\n\n  y  the mit\n * license, z"
     assert [(text[s:e], x) for s, e, x, _ in detect(text)] == [("the mit\n * license", "mit")]
+
+
+def sample(p):
+    """A text that a signature matches: first alternatives, optional parts left out, gaps filled with a word."""
+    p = re.sub(r"\(\?:([^()|]*)[^()]*\)\?", "", p)
+    for _ in range(4):
+        p = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)", r"\1", p)
+    p = re.sub(r"\.\{0,\d+\}", "", p)
+    p = re.sub(r"\.\{1,\d+\}\??", "someone ", p)
+    p = re.sub(r"\[[^\]]*\](?:\?|\*|\{0,2\})", "", p)
+    p = re.sub(r"\[\\?([^\]])[^\]]*\]", r"\1", p)
+    p = p.replace(r"\b", "").replace(r"\w+", "word")
+    p = re.sub(r"\\?.\?", "", p)
+    return re.sub(r"\\(.)", r"\1", p)
+
+
+def test_signatures_are_written_by_hand_and_each_is_found_in_its_text():
+    assert len({p for _, p, _ in (*GRANTS, *CLAUSES, *MARKS, *WARRANTIES)}) >= 300
+    assert len({p for _, p, _ in CLAUSES}) == len(CLAUSES)
+    for label, pattern, keyword in CLAUSES:
+        text = sample(pattern)
+        assert re.search(pattern, text) and keyword in text, (label, pattern, text)
+        found = detect(f"before it. {text} after it")
+        assert any(x[2] == label or x[0] <= 11 and x[1] >= 11 + len(text.strip()) for x in found), (label, text, found)
+        # the same clause with a word changed is not that clause
+        longest = max((w for w in re.findall(r"[a-z]{4,}", text) if w not in keyword), key=len, default=None)
+        if longest:
+            assert not re.search(pattern, text.replace(longest, longest[::-1] + "q")), (label, text)
