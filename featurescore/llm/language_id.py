@@ -35,7 +35,7 @@ BATCH = 128
 #: Bytes of a window of the reading, bytes read before it for its state, and windows read side by side.
 LENGTH = 256
 WARM = 32
-LANES = 2048
+LANES = 768
 UNKNOWN = "und"
 
 
