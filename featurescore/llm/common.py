@@ -62,6 +62,14 @@ def whole_rows(df: DataFrame, without: tuple[str, ...] = ()) -> F.Column:
     return F.struct(*[df[c] for c in kept]) if kept else F.struct(F.lit(True).alias("none"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column of a step that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Empties the table of materialise() that df is, once no later step reads it."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_map, as_bytes, in_train, slices
+from .common import ARROW_ROWS, arrow_map, as_bytes, in_train, slices, unused
 
 PER_LANGUAGE = 250
 WINDOWS = 4
@@ -254,10 +254,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "agreement": F.lit(0.0)})
     words = has_letter(F.col(text))
     made = F.arrow_udf(_predictor(model), "struct<lang:string,score:double,agreement:double>")(F.col(text).cast("string"))
-    out = docs.withColumn("__language", made)
-    number = lambda name: F.when(words, F.col(f"__language.{name}")).otherwise(0.0)
-    out = out.withColumns({"lang_pred": F.when(words, F.col("__language.lang")).otherwise(UNKNOWN), "score": number("score"), "agreement": number("agreement")})
-    return out.drop("__language")
+    own = unused(docs, "language_read")
+    number = lambda name: F.when(words, F.col(own).getField(name)).otherwise(0.0)
+    out = docs.withColumn(own, made)
+    out = out.withColumns({"lang_pred": F.when(words, F.col(own).getField("lang")).otherwise(UNKNOWN), "score": number("score"), "agreement": number("agreement")})
+    return out.drop(own)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

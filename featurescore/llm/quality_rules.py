@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_rows
+from .common import materialise, unused, whole_rows
 
 WORD = r"([^\x20\x09-\x0D]+)"
 SPACES = " \t\n\x0b\f\r"
@@ -84,13 +84,14 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts and shares that rules use; columns of these names are replaced."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    out = docs.withColumns({"__words": F.regexp_extract_all(t, F.lit(WORD), F.lit(1)), "__lines": lines})
+    words, filled = unused(docs, "quality_words"), unused(docs, "quality_lines")
+    out = docs.withColumns({words: F.regexp_extract_all(t, F.lit(WORD), F.lit(1)), filled: lines})
     chars = F.length(t)
     out = out.withColumns({
-        "n_words": F.size("__words").cast("long"), "word_chars": _without(t, SPACES).cast("long"), "n_symbols": (chars - _without(t, SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "n_repeat_words": _repeat_words(F.col("__words")), "n_lines": F.size("__lines").cast("long"),
+        "n_words": F.size(words).cast("long"), "word_chars": _without(t, SPACES).cast("long"), "n_symbols": (chars - _without(t, SYMBOLS)).cast("long"),
+        "n_dup_lines": (F.size(filled) - F.size(F.array_distinct(filled))).cast("long"), "n_repeat_words": _repeat_words(F.col(words)), "n_lines": F.size(filled).cast("long"),
         "n_capitals": (chars - _without(t, CAPITALS)).cast("long"), "n_bangs": (chars - _without(t, "!")).cast("long"), "n_digits": (chars - _without(t, DIGITS)).cast("long"),
-    }).drop("__words", "__lines")
+    }).drop(words, filled)
     per = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return out.withColumns({
         "symbols_per_word": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "mean_word": per("word_chars", "n_words"),

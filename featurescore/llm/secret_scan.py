@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, as_bytes, word_bounds
+from .common import ARROW_ROWS, as_bytes, unused, word_bounds
 
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
@@ -194,8 +194,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", clean: str | None = None)
     whole = F.col(text).cast("string")
     if clean is None:
         return docs.withColumn("secrets", F.arrow_udf(_scan(False), _TYPE)(whole))
-    made = docs.withColumn("__scan", F.arrow_udf(_scan(True), f"struct<secrets:{_TYPE},clean:string>")(whole))
-    return made.withColumns({"secrets": F.col("__scan.secrets"), clean: F.coalesce("__scan.clean", whole)}).drop("__scan")
+    own = unused(docs, "scan_both")
+    made = docs.withColumn(own, F.arrow_udf(_scan(True), f"struct<secrets:{_TYPE},clean:string>")(whole))
+    return made.withColumns({"secrets": F.col(own).getField("secrets"), clean: F.coalesce(F.col(own).getField("clean"), whole)}).drop(own)
 
 
 def joined(spans: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER, Rolling, arrow_map, in_train, materialise, slices, word_bounds
+from .common import ARROW_ROWS, LOWER, Rolling, arrow_map, in_train, materialise, slices, unused, word_bounds
 
 PER_CLASS = 3000
 K = 15
@@ -343,18 +343,19 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     """docs with score, predicted (int) and evidence: the nearest examples, all that vote, with their labels and cosines."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     near = F.arrow_udf(_searcher(model.hashes, model.index), "struct<at:array<int>,cosine:array<double>,square:double>")
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__near", near(F.col(text).cast("string")))
+    row, found, rest, voted = (unused(docs, c) for c in ("toxicity_row", "toxicity_near", "toxicity_rest", "toxicity_voted"))
+    out = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(found, near(F.col(text).cast("string")))
     if model.words is not None:
-        texts = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col(text).cast("string").alias("text"))
+        texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
         strange = arrow_map(texts, _strangers(model.hashes), "row long, term long, count int").join(model.words, "term", "left")
         weight = (1 + F.log("count")) * (F.log((model.n + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1)
-        squares = strange.groupBy("row").agg(F.sum(weight * weight).alias("__other")).withColumnRenamed("row", "__row")
-        out = out.join(squares, "__row", "left")
+        squares = strange.groupBy("row").agg(F.sum(weight * weight).alias(rest)).withColumnRenamed("row", row)
+        out = out.join(squares, row, "left")
     else:
-        out = out.withColumn("__other", F.lit(0.0))
-    made = F.arrow_udf(_voter(model), "struct<score:double,evidence:array<struct<id:string,label:int,cosine:double>>>")(F.col("__near"), F.coalesce("__other", F.lit(0.0)))
-    out = out.withColumn("__tox", made).withColumns({"score": F.col("__tox.score"), "evidence": F.col("__tox.evidence")})
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("__tox", "__row", "__near", "__other")
+        out = out.withColumn(rest, F.lit(0.0))
+    made = F.arrow_udf(_voter(model), "struct<score:double,evidence:array<struct<id:string,label:int,cosine:double>>>")(F.col(found), F.coalesce(rest, F.lit(0.0)))
+    out = out.withColumn(voted, made).withColumns({"score": F.col(voted).getField("score"), "evidence": F.col(voted).getField("evidence")})
+    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop(voted, row, found, rest)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
-from featurescore.llm import common, decontaminate, jaccard_join, mixing, quality_rules, suffix_dedup, warc
+from featurescore.llm import common, decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, suffix_dedup, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -74,16 +74,21 @@ def test_archives_when_the_parallelism_changes(spark, docs, unsteady, tmp_path):
 
 
 NAMES = ["row", "key", "doc", "own", "id", "bad", "cut", "whole", "of", "rule", "__row", "__id", "n", "at", "runs", "labelled"]
+#: What steps name their own columns before they look for a name that is free.
+NAMES += ["__near", "__other", "__tox", "__language", "__scan", "__words", "Toxicity_Row", "toxicity_near", "toxicity_rest", "toxicity_voted", "toxicity_voted_", "language_read", "scan_both", "SCAN_both_", "quality_words", "quality_lines"]
 
 
 def test_columns_of_any_name_pass(spark, table):
     plain = [(i, text(i), f"s{i % 2}") for i in range(60)]
     docs = table(plain, "doc_id long, text string, source string")
     more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in NAMES])
-    bench, labels = table([(1, text(5)[:200])], "item_id long, text string"), table([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    bench, labels = table([(1, text(5)[:200])], "item_id long, text string"), table([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    network = language_id.train(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 2)))
+    known = toxicity.train(docs, labels)
     for run in (
         lambda d: suffix_dedup.remove_repeats(d, length=60), lambda d: jaccard_join.keep_one_of_each(d), lambda d: decontaminate.drop_leaks(d, bench),
-        lambda d: mixing.mix(d), lambda d: quality_rules.judge(d, labels)[0],
+        lambda d: mixing.mix(d), lambda d: quality_rules.judge(d, labels)[0], lambda d: quality_rules.with_features(d), lambda d: secret_scan.scan_secrets(d), lambda d: secret_scan.scan_secrets(d, clean="clean"),
+        lambda d: license_scan.scan_licenses(d), lambda d: language_id.identify(d, network), lambda d: toxicity.score_toxicity(d, known),
     ):
         want, got = run(docs), run(more)
         names = [c for c in NAMES if c not in want.columns]
