@@ -4,8 +4,9 @@ Strong findings stand alone: assigned secrets, access identifiers and long hexad
 (an account name, a random-looking token, an endpoint) are common in clean text; they are reported only where a
 complementary part stands within the same scope: an identifier or an endpoint beside a secret, a token beside an
 identifier or an endpoint. The link is an interval join within each text: parts are sorted by start, and for each
-candidate a binary search over starts and running ends tells whether any complementary part meets its scope. A text is
-the only place where parts can meet, so rows are never shuffled, and a text full of parts costs n log n.
+candidate a binary search over starts and running ends tells whether any complementary part meets its scope, and which:
+of the parts that start before the scope ends, the one that reaches furthest (the first of these). A text is the only
+place where parts can meet, so rows are never shuffled, and a text full of parts costs n log n.
 
 Defined results: a null or empty text has no findings; repeated rows are rows of their own; of findings with the same
 start, kinds come as listed, then ends; positions count code points, ends exclusive; a text of any length is scanned whole
@@ -116,30 +117,42 @@ def endpoints(text: str) -> list[tuple[int, int]]:
     return sorted(found + hosts)
 
 
-def scan(text: str) -> list[tuple[int, int, str]]:
-    """Strong findings and linked weak ones, by start, then by kind as listed."""
-    found = strong(text)
-    weak = [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)] + [(s, e, "endpoint") for s, e in endpoints(text)]
-    weak += [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text) if random_looking(m[0])]
-    if weak:
-        taken = sorted(found)
-        starts, ends = [x[0] for x in taken], list(accumulate((x[1] for x in taken), max))
-        # a weak candidate on a strong finding adds nothing
-        weak = [w for w in weak if not (k := bisect_right(starts, w[1] - 1)) or ends[k - 1] <= w[0]]
-        parts: dict[str, list[tuple[int, int]]] = {}
-        for s, e, kind in found + weak:
-            parts.setdefault(ROLE[kind], []).append((s, e))
-        reach = {role: ([s for s, _ in sorted(p)], list(accumulate((e for _, e in sorted(p)), max))) for role, p in parts.items()}
-        for s, e, kind in weak:
+Part = tuple[int, int, str]
+
+
+def weak(text: str, found: list[Part]) -> list[Part]:
+    """Weak candidates, but for those on a strong finding, which add nothing."""
+    out = [(m.start(), m.end(), "account") for m in ACCOUNT.finditer(text)] + [(s, e, "endpoint") for s, e in endpoints(text)]
+    out += [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text) if random_looking(m[0])]
+    taken = sorted(found)
+    starts, ends = [x[0] for x in taken], list(accumulate((x[1] for x in taken), max))
+    return [w for w in out if not (k := bisect_right(starts, w[1] - 1)) or ends[k - 1] <= w[0]]
+
+
+def linked(text: str) -> list[tuple[int, int, str, Part | None]]:
+    """Strong findings and linked weak ones, by start, then by kind as listed; weak ones with the part they are linked to."""
+    sure = strong(text)
+    found = [(*x, None) for x in sure]
+    if candidates := weak(text, sure):
+        parts: dict[str, list[Part]] = {}
+        for part in sorted(sure + candidates):
+            parts.setdefault(ROLE[part[2]], []).append(part)
+        reach = {role: ([x[0] for x in p], list(accumulate(p, lambda a, b: b if b[1] > a[1] else a))) for role, p in parts.items()}
+        for s, e, kind in candidates:
             for role in PARTNERS[kind]:
-                at, to = reach.get(role, ([], []))
+                at, furthest = reach.get(role, ([], []))
                 k = bisect_right(at, e + SCOPE)
-                if k and to[k - 1] >= s - SCOPE:
-                    found.append((s, e, kind))
+                if k and furthest[k - 1][1] >= s - SCOPE:
+                    found.append((s, e, kind, furthest[k - 1]))
                     break
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def scan(text: str) -> list[Part]:
+    """The findings of linked() alone."""
+    return [x[:3] for x in linked(text)]
+
+
 def _may_hold(column: pa.Array) -> np.ndarray:
     """Rows with a byte run or sign that some pattern needs; the others have no findings."""
     data, at = as_bytes(column)
@@ -152,13 +165,14 @@ def _may_hold(column: pa.Array) -> np.ndarray:
     return hit
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+_PART = [("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]
+_SPANS = pa.list_(pa.struct([*_PART, ("partner", pa.struct(_PART))]))
 
 
-def _cut(text: str, found: list[tuple[int, int, str]]) -> str:
+def _cut(text: str, found: list[tuple]) -> str:
     """text with every finding, overlapping ones as one, replaced by [SECRET]."""
     parts, at = [], 0
-    for s, e, _ in found:
+    for s, e, *_ in found:
         if s >= at:
             parts += [text[at:s], "[SECRET]"]
         at = max(at, e)
@@ -173,19 +187,21 @@ def _scan(redacted: bool):
         may, out = np.concatenate([_may_hold(texts.slice(i, 64)) for i in range(0, len(texts), 64)]) if len(texts) else [], []
         for i, hit in enumerate(may):
             text = texts[i].as_py() if hit else ""
-            found = scan(text)
-            spans = [{"start": s, "end": e, "kind": k} for s, e, k in found]
+            found = linked(text)
+            spans = [{"start": s, "end": e, "kind": k, "partner": p and dict(zip(("start", "end", "kind"), p, strict=True))} for s, e, k, p in found]
             out.append({"secrets": spans, "clean": _cut(text, found) if found else None} if redacted else spans)
         return pa.array(out, _BOTH if redacted else _SPANS)
 
     return run
 
 
-_TYPE = "array<struct<start:long,end:long,kind:string>>"
+_TYPE = "array<struct<start:long,end:long,kind:string,partner:struct<start:long,end:long,kind:string>>>"
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", clean: str | None = None) -> DataFrame:
-    """docs with the column secrets: array of (start, end, kind).
+    """docs with the column secrets: array of (start, end, kind, partner).
+
+    partner is the part that a weak finding is linked to (start, end, kind), null for strong findings.
 
     clean names a further column, which replaces one of that name: the text with its findings, overlapping ones as one,
     replaced by [SECRET]; the text itself where nothing is found.
@@ -199,15 +215,24 @@ def scan_secrets(docs: DataFrame, text: str = "text", clean: str | None = None)
     return made.withColumns({"secrets": F.col(own).getField("secrets"), clean: F.coalesce(F.col(own).getField("clean"), whole)}).drop(own)
 
 
+def _named(part: Column) -> Column:
+    return F.concat_ws(":", part["kind"], part["start"], part["end"])
+
+
 def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, _named), ",")
+
+
+def links(spans: Column) -> Column:
+    """Weak findings and what they are linked to, as kind:start:end>kind:start:end, comma-joined."""
+    return F.array_join(F.transform(F.filter(spans, lambda s: s["partner"].isNotNull()), lambda s: F.concat_ws(">", _named(s), _named(s["partner"]))), ",")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "secrets")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
-    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), links(F.col("secrets")).alias("links"))
 
 
 def base_digest(text: str | None) -> str:
