@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 
 class Scorer(Protocol):
-    """A model: it takes rows of input_width numbers and gives a row of scores for each."""
+    """A model: it takes rows of input_width numbers and gives a row of scores for each, of 32 bits unless it has a dtype float64."""
 
     input_width: int
 
@@ -164,7 +164,7 @@ def _session(model: str | bytes):
 
 
 class OnnxScorer:
-    """An ONNX model; a worker process opens its session once, whatever the number of its tasks."""
+    """An ONNX model of 32-bit or 64-bit numbers; a worker process opens its session once, whatever the number of its tasks."""
 
     def __init__(self, model: bytes | None = None, shared: tuple[str, str] | None = None):
         """From bytes that the driver holds, or from a file that Shared has sent."""
@@ -173,6 +173,8 @@ class OnnxScorer:
         if not isinstance(width, int):
             raise ValueError("the model's input has no fixed width")
         self.input_width = width
+        double = lambda ports: np.float64 if ports[0].type == "tensor(double)" else np.float32
+        self.takes, self.dtype = double(self.session().get_inputs()), double(self.session().get_outputs())
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, fmt: str | None = None) -> OnnxScorer:
@@ -186,7 +188,7 @@ class OnnxScorer:
 
     def score(self, batch: np.ndarray) -> np.ndarray:
         s = self.session()
-        out = s.run([s.get_outputs()[0].name], {s.get_inputs()[0].name: batch.astype(np.float32)})[0]
+        out = s.run([s.get_outputs()[0].name], {s.get_inputs()[0].name: batch.astype(self.takes)})[0]
         if out.ndim != 2:
             raise ValueError(f"the model's output has {out.ndim} dimensions, not 2")
         return out
@@ -214,7 +216,7 @@ def _sparse_matrix(column: pa.StructArray, width: int) -> tuple[np.ndarray, np.n
 
 
 def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool = False) -> DataFrame:
-    """df with scores (array<float>), and with timings the micros of each Arrow batch: until its vectors were there, for its
+    """df with scores (array<float>, or array<double> of a scorer whose dtype is float64), and with timings the micros of each Arrow batch: until its vectors were there, for its
     matrix, and for the model.
 
     Only the vectors go to Python. Rows without a vector, and rows with one of another width than the model's, get null
@@ -222,6 +224,7 @@ def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool =
     in a vector is scored as NaN. The vector may be sparse (see vectorize_sparse).
     """
     sparse = isinstance(df.schema[vector].dataType, T.StructType)
+    dtype = np.dtype(getattr(scorer, "dtype", np.float32))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ended = time.perf_counter_ns()
@@ -229,7 +232,7 @@ def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool =
             t0 = time.perf_counter_ns()
             x, good = (_sparse_matrix if sparse else _matrix)(column, scorer.input_width)
             t1 = time.perf_counter_ns()
-            out = np.asarray(scorer.score(x), dtype=np.float32) if len(x) else np.zeros((0, 0), dtype=np.float32)
+            out = np.asarray(scorer.score(x), dtype=dtype) if len(x) else np.zeros((0, 0), dtype=dtype)
             t2 = time.perf_counter_ns()
             ends = np.concatenate([[0], np.cumsum(good * out.shape[1])])
             scores = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.ravel()), mask=pa.array(~good))
@@ -237,7 +240,7 @@ def score(df: DataFrame, scorer: Scorer, vector: str = "vector", timings: bool =
             yield pa.StructArray.from_arrays([scores, *micros], names=["scores", *TIMINGS])
             ended = time.perf_counter_ns()
 
-    made = F.arrow_udf(run, f"struct<scores:array<float>,{','.join(f'{c}:long' for c in TIMINGS)}>")(F.col(vector))
+    made = F.arrow_udf(run, f"struct<scores:array<{'double' if dtype == np.float64 else 'float'}>,{','.join(f'{c}:long' for c in TIMINGS)}>")(F.col(vector))
     out = df.withColumn("__scored", made)
     out = out.withColumns({c: F.col(f"__scored.{c}") for c in ("scores", *(TIMINGS if timings else ()))}).drop("__scored")
     if "error" in df.columns:
