@@ -12,17 +12,18 @@ from __future__ import annotations
 import hashlib
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from ..types import FIELDS, LOG_BATCH, REQUEST, RESPONSE
+from ..types import FEATURES, FIELDS, LOG_BATCH, REQUEST, RESPONSE
 
 LOGS = T.StructType([T.StructField("batches", T.ArrayType(LOG_BATCH))])
 #: Messages by name, with the struct that holds each.
@@ -67,69 +68,169 @@ def message_classes() -> dict:
     return {name: message_factory.GetMessageClass(pool.FindMessageTypeByName(f"featurescore.{name}")) for name in _LAYOUT}
 
 
-def _plain(message, name: str):
-    """A message as what Arrow makes a struct of."""
+#: Rows whose messages are in memory at once.
+SLICE = 512
+
+
+def _lists(parts: list, values: pa.Array | list, kind: pa.DataType) -> pa.Array:
+    """The flat values as lists as long as the parts."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values, type=kind.value_type), type=kind)
+
+
+def _columns(messages: list, name: str, kind: pa.DataType) -> pa.Array:
+    """Messages as structs of the given type, a column at a time."""
+    arrays = []
     if name == "value":
-        held, out = message.WhichOneof("held"), dict.fromkeys(FIELDS)
-        if held:
-            x = getattr(message, held)
-            out[held] = x if held.endswith("_value") else list(x.values)
-        return out
-    out = {}
-    for field, kind, repeated in _LAYOUT[name]:
-        x = getattr(message, field)
-        if kind == "entry":
+        held = [m.WhichOneof("held") for m in messages]
+        seen = set(held)
+        for f in kind:
+            if f.name not in seen:
+                arrays.append(pa.nulls(len(messages), f.type))
+            elif f.name.endswith("_value"):
+                arrays.append(pa.array([getattr(m, f.name) if h == f.name else None for m, h in zip(messages, held, strict=True)], type=f.type))
+            else:
+                arrays.append(pa.array([list(getattr(m, f.name).values) if h == f.name else None for m, h in zip(messages, held, strict=True)], type=f.type))
+        return pa.StructArray.from_arrays(arrays, fields=list(kind))
+    for field, inner, repeated in _LAYOUT[name]:
+        t = kind.field(field).type
+        parts = [getattr(m, field) for m in messages]
+        if inner == "entry":
             # of a key that comes twice the last value holds
-            out[field] = list({e.key: _plain(e.value, "value") for e in x}.items())
-        elif kind in _KINDS:
-            out[field] = list(x) if repeated else x
+            maps = [{e.key: e.value for e in p} for p in parts]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in maps])]).astype(np.int32)
+            values = _columns([v for x in maps for v in x.values()], "value", t.item_type)
+            arrays.append(pa.MapArray.from_arrays(pa.array(ends), pa.array([k for x in maps for k in x], type=t.key_type), values, type=t))
+        elif inner not in _KINDS:
+            arrays.append(_lists(parts, _columns([x for p in parts for x in p], inner, t.value_type), t))
         else:
-            out[field] = [_plain(e, kind) for e in x]
-    return out
+            arrays.append(_lists(parts, [x for p in parts for x in p], t) if repeated else pa.array(parts, type=t))
+    return pa.StructArray.from_arrays(arrays, fields=list(kind))
+
+
+def _dense(column: Column, name: str) -> Column:
+    """A struct without null lists and texts, its values with the place of the alternative that is set (the last one, of several).
+
+    Spark asks for the size of an Arrow batch after each row, and then walks along each vector of lists or texts from its
+    last one that is not null: with nulls only, that is all of the batch for each row.
+    """
+    if name == "value":
+        held = F.coalesce(*[F.when(column[f].isNotNull(), F.lit(k)) for k, f in reversed(list(enumerate(FIELDS)))])
+        return F.struct(held.alias("held"), *[F.coalesce(column[f].cast(t), F.array().cast(t) if isinstance(t, T.ArrayType) else F.lit("0").cast(t)).alias(f) for f, t in FIELDS.items()])
+    out = []
+    for field, kind, repeated in _LAYOUT[name]:
+        x = column[field]
+        if kind == "entry":
+            none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(T.ArrayType(FEATURES.valueType)))
+            x = F.transform_values(F.coalesce(x, none), lambda _, v: _dense(v, "value"))
+        elif repeated:
+            one = (lambda kind: lambda e: e if kind in _KINDS else F.when(e.isNotNull(), _dense(e, kind)))(kind)
+            x = F.coalesce(F.transform(x, one), F.array())
+        out.append(x.alias(field))
+    return F.struct(*out)
 
 
-def _fill(message, name: str, plain: dict) -> None:
+def _parts(column: pa.Array) -> tuple[pa.Array, list[int]]:
+    """(the flat elements of lists, where each begins and ends); a null list has none."""
+    return column.flatten(), [0, *np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
+
+
+def _filler(column: pa.Array, name: str) -> Callable[[object, int], None]:
+    """A function that fills a message with the i-th struct of a column, whose numbers and texts are unpacked at once."""
     if name == "value":
-        for field, x in (plain or {}).items():
-            if x is not None:
+        held, which = [None] * len(column), column.field("held").fill_null(-1).to_numpy(zero_copy_only=False)
+        for k, field in enumerate(FIELDS):
+            there = np.flatnonzero(which == k)
+            for i, v in zip(there.tolist(), column.field(field).take(pa.array(there)).to_pylist(), strict=True):
+                held[i] = (field, v)
+
+        def fill_value(message, i: int) -> None:
+            if held[i]:
+                field, x = held[i]
                 if field.endswith("_value"):
                     setattr(message, field, x)
                 else:
                     part = getattr(message, field)
                     part.SetInParent()
                     part.values.extend(x)
-        return
-    for field, kind, repeated in _LAYOUT[name]:
-        x = plain[field]
-        if x is None:
-            continue
-        if kind == "entry":
-            for key, value in x:
-                e = getattr(message, field).add(key=key)
+
+        return fill_value
+    fills = [_field_filler(column.field(field), field, kind, repeated) for field, kind, repeated in _LAYOUT[name]]
+    valid = None if column.null_count == 0 else column.is_valid().to_pylist()
+
+    def fill(message, i: int) -> None:
+        if valid and not valid[i]:
+            raise TypeError("a null element of an array cannot be written")
+        for f in fills:
+            f(message, i)
+
+    return fill
+
+
+def _field_filler(column: pa.Array, field: str, kind: str, repeated: bool) -> Callable[[object, int], None]:
+    if kind in _KINDS and not repeated:
+        held = column.to_pylist()
+
+        def fill(message, i: int) -> None:
+            if held[i] is not None:
+                setattr(message, field, held[i])
+
+        return fill
+    if kind != "entry":
+        flat, ends = _parts(column)
+    if kind in _KINDS:
+        numbers = flat.to_pylist()
+        return lambda message, i: getattr(message, field).extend(numbers[ends[i] : ends[i + 1]])
+    if kind == "entry":
+        at = column.offsets.to_numpy()
+        length = int(at[-1] - at[0])
+        keys, one = column.keys.slice(at[0], length).to_pylist(), _filler(column.items.slice(at[0], length), "value")
+        begins, stops = (at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist()
+        none = set(np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist())
+
+        def fill_map(message, i: int) -> None:
+            entries = getattr(message, field)
+            for j in range(begins[i], begins[i] if i in none else stops[i]):
+                e = entries.add(key=keys[j])
                 e.value.SetInParent()
-                _fill(e.value, "value", value)
-        elif kind in _KINDS:
-            getattr(message, field).extend(x) if repeated else setattr(message, field, x)
-        else:
-            for one in x:
-                _fill(getattr(message, field).add(), kind, one)
+                one(e.value, j)
+
+        return fill_map
+    inner = _filler(flat, kind)
+
+    def fill_all(message, i: int) -> None:
+        items = getattr(message, field)
+        for j in range(ends[i], ends[i + 1]):
+            inner(items.add(), j)
+
+    return fill_all
 
 
 def from_protobuf(column: Column, message: str) -> Column:
     """A struct (message, error) of a column of bytes; both are null for null bytes."""
     schema = T.StructType([T.StructField("message", MESSAGES[message]), T.StructField("error", T.StringType())])
 
-    def run(data: pa.Array) -> pa.Array:
+    def some(data: pa.Array, kind: pa.DataType) -> pa.Array:
         from google.protobuf.message import DecodeError
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        made, rows = message_classes()[message], []
+        made, good, places, errors = message_classes()[message], [], [], []
         for x in data.to_pylist():
-            try:
-                rows.append({"message": None if x is None else _plain(made.FromString(x), message), "error": None})
-            except DecodeError as e:
-                rows.append({"message": None, "error": ERROR.format(e)})
-        return pa.array(rows, type=to_arrow_type(schema))
+            error = None
+            if x is not None:
+                try:
+                    good.append(made.FromString(x))
+                except DecodeError as e:
+                    error = ERROR.format(e)
+            places.append(None if x is None or error else len(good) - 1)
+            errors.append(error)
+        found = _columns(good, message, kind.field("message").type).take(pa.array(places, type=pa.int64()))
+        return pa.StructArray.from_arrays([found, pa.array(errors, type=pa.string())], fields=list(kind))
+
+    def run(data: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(schema)
+        return pa.concat_arrays([some(data.slice(lo, SLICE), kind) for lo in range(0, max(1, len(data)), SLICE)])
 
     return F.arrow_udf(run, schema)(column)
 
@@ -137,18 +238,19 @@ def from_protobuf(column: Column, message: str) -> Column:
 def to_protobuf(column: Column, message: str) -> Column:
     """A column of structs (see MESSAGES) as bytes; null for a null struct."""
 
+    def some(data: pa.Array) -> list[bytes | None]:
+        made, out, there = message_classes()[message], [None] * len(data), np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+        fill = _filler(data.take(pa.array(there)), message)
+        for k, i in enumerate(there.tolist()):
+            one = made()
+            fill(one, k)
+            out[i] = one.SerializeToString(deterministic=True)
+        return out
+
     def run(data: pa.Array) -> pa.Array:
-        out = []
-        for x in data.to_pylist():
-            if x is None:
-                out.append(None)
-                continue
-            one = message_classes()[message]()
-            _fill(one, message, x)
-            out.append(one.SerializeToString(deterministic=True))
-        return pa.array(out, type=pa.binary())
-
-    return F.arrow_udf(run, "binary")(column)
+        return pa.array([x for lo in range(0, len(data), SLICE) for x in some(data.slice(lo, SLICE))], type=pa.binary())
+
+    return F.arrow_udf(run, "binary")(F.when(column.isNotNull(), _dense(column, message)))
 
 
 #: What Spark's binary source gives.

@@ -81,3 +81,17 @@ def test_truncated_file_is_reported(spark, tmp_path):
     (tmp_path / "a.pb").write_bytes(b"\x0a\x09abc")
     r = read_messages(spark, str(tmp_path), "logs").first()
     assert r.message is None and r.error.startswith("Not a message")
+
+
+def test_time_grows_with_the_rows(spark):
+    import time
+
+    one = F.map_from_arrays(F.array(*[F.lit(f"f{k}") for k in range(12)]), F.array(*[F.struct(*[F.lit(1.0 if n == "double_value" else None).cast(t).alias(n) for n, t in FIELDS.items()])] * 12))
+    rows = spark.range(0, 30000, 1, 1).select(F.col("id").cast("string").alias("request_id"), F.array(F.struct(F.lit("r").alias("row_id"), one.alias("features"))).cast(REQUEST["inputs"].dataType).alias("inputs"))
+    coded = rows.select(to_protobuf(F.struct("request_id", "inputs"), "request").alias("b"))
+    taken = []
+    for n in (1000, 3000, 30000):
+        start = time.perf_counter()
+        assert coded.limit(n).agg(F.sum(F.length("b"))).first()[0] > n
+        taken.append(time.perf_counter() - start)
+    assert taken[2] < 40 * taken[1] and taken[2] < 45
