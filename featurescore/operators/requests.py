@@ -16,16 +16,15 @@ def explode_requests(requests: DataFrame) -> DataFrame:
 def reject_requests(rows: DataFrame, scope: str = "request") -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected (request_id, error)): any row with an error rejects its request, with the error of its first bad row.
 
-    scope "row" rejects single rows only. A request is one message, the unit that is kept together, so its rows meet in one
-    task; both results read the same exchange.
+    scope "row" rejects single rows only. Bad rows alone are gathered by request, and the others look their request up in
+    that table: rows pass through, none is sorted or kept in memory. rows is read once for either.
     """
     if scope == "row":
         return rows.where("error is null"), rows.where("error is not null").select("request_id", "error")
-    whole = Window.partitionBy("request_id")
-    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).over(whole)
-    known = rows.withColumn("__first", first)
-    rejected = known.where("__first is not null").groupBy("request_id").agg(F.first("__first").alias("error"))
-    return known.where("__first is null").drop("__first"), rejected
+    (bad,) = unused(rows, "__bad")
+    known = rows.where("error is not null").groupBy("request_id").agg(F.min_by("error", "pos").alias("error")).where("error is not null")
+    ids = known.select(F.col("request_id").alias(bad)).hint("shuffle_hash")
+    return rows.join(ids, F.col("request_id").eqNullSafe(F.col(bad)), "left_anti"), known
 
 
 def assemble_responses(scored: DataFrame) -> DataFrame:

@@ -161,3 +161,11 @@ def test_requests_in_parts_keep_their_order(spark):
     assert {tuple(r) for r in manifest.collect()} == {("long", 3, 25, None), ("bad", 0, 0, "e1"), ("none", 0, 0, None)}
     logs = spark.createDataFrame([("q", "m", f"r{i:02}", None, None) for i in range(12)], "request_id string, model_id string, row_id string, features map<string,int>, scores array<float>")
     assert {r.part: [x.row_id for x in r.inference_log_rows] for r in log_batch_parts(logs.repartition(3), ["row_id"], 5).collect()} == {k: [f"r{i:02}" for i in range(5 * k, min(12, 5 * k + 5))] for k in range(3)}
+
+
+def test_requests_are_rejected_without_a_sort(spark):
+    rows = spark.createDataFrame([("a", 0, None), ("a", 1, "e1"), ("a", 2, "e2"), ("b", 0, None), (None, 1, "n"), (None, 0, None)], "request_id string, pos int, error string")
+    accepted, rejected = reject_requests(rows)
+    assert {tuple(r) for r in accepted.collect()} == {("b", 0, None)} and {tuple(r) for r in rejected.collect()} == {("a", "e1"), (None, "n")}
+    plan = accepted._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
