@@ -9,9 +9,10 @@ shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 3. Groups are expanded to classes. A class has two signs: for each slot of a fixed number, whether an odd number of its
    shingles fall there, and for slots as many as an eighth of its shingles or more, how many do. Two sets differ in as
    many shingles as their signs differ in all slots, at least, so pairs whose signs differ too much are no links; the
-   first sign prunes pairs as they are made, the second those left. Every prefix shingle names two of its classes,
-   picked by hash; each class is verified, on whole sets, against those with the nearest signs (links instead of all
-   pairs of a group). Sets are made anew for the classes that are in pairs only.
+   first sign prunes pairs as they are made, the second those left. Every prefix shingle names three of its classes: two
+   picked by hash, and the one with the fewest rarer shingles before it, which of near copies is that with the fewest
+   changes of its own; each class is verified, on whole sets, against those with the nearest signs (links instead of
+   all pairs of a group). Sets are made anew for the classes that are in pairs only.
 4. Where a shingle still joins different components, all pairs between them that pass the size, position and sign
    filters are verified: those of the shingle's largest component with the rest, and of the rest. So no link between two
    components is lost, and pairs inside one component are never made.
@@ -239,8 +240,9 @@ def _components_of(stored: DataFrame, words: int, threshold: int) -> DataFrame:
     likely = sizes & early("one") & early("two") & ((100 + threshold) * apart <= (100 - threshold) * both)
 
     one = F.struct(F.xxhash64("head", "token"), "head", "n", "pos", *SIGN)
-    named = materialise(posts.groupBy("token").agg(F.max(one).alias("high"), F.min(one).alias("low")).where("high <> low"), "jaccard-named")
-    picks = named.select("token", F.posexplode(F.array("high", "low")).alias("pick", "two"))
+    inner = F.min_by(one, F.struct("pos", F.xxhash64("head", "token"), "head"))
+    named = materialise(posts.groupBy("token").agg(F.max(one).alias("high"), F.min(one).alias("low"), inner.alias("inner")).where("high <> low"), "jaccard-named")
+    picks = named.select("token", F.posexplode(F.array("high", "low", "inner")).alias("pick", "two"))
     met = posts.alias("one").join(picks, "token").where(likely & (F.col("one.head") != F.col("two.head")))
     best = met.groupBy(F.col("one.head").alias("head"), "pick").agg(F.min(F.struct(apart.alias("apart"), F.col("two.head").alias("end"))).alias("best"))
     links = verified(best.select(F.least("head", "best.end").alias("a"), F.greatest("head", "best.end").alias("b")).distinct(), "jaccard-first")

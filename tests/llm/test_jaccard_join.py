@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from featurescore.llm import jaccard_join
 from featurescore.llm.jaccard_join import keep_one_of_each, linked_components
 
 
@@ -71,3 +72,25 @@ def test_one_stays_of_each(table):
 
 def test_empty_table(table):
     assert linked_components(table([], "doc_id long, text string", 1)).count() == 0
+
+
+def test_pairs_of_near_copies_follow_their_number(table, monkeypatch):
+    """Near copies of one text: what is verified between components grows with the copies, not with their square."""
+    made, real = {}, jaccard_join.materialise
+
+    def counted(df, name):
+        made[name] = (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    r = random.Random(5)
+    base = ["w%d" % r.randrange(10**6) for _ in range(180)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6])):
+            w[r.randrange(len(w))] = "v%d" % r.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    got = linked_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted([tuple(x) for x in got], key=str) == brute(rows)
+    assert made["jaccard-first-pairs"] + made["jaccard-cross-pairs"] < 5 * len(rows)
