@@ -29,5 +29,10 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(REQUEST).format(fmt).load(path)
 
 
-def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REQUEST) -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+#: Bytes of stored requests of a micro-batch, about (a file at least). A task keeps its rows of a batch in memory, about 20 times as large as they are stored.
+TRIGGER_BYTES = 128 << 20
+
+
+def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REQUEST, trigger_bytes: int | None = None) -> DataFrame:
+    """A folder of requests as a stream in micro-batches of bounded size, so that no task's share grows with the folder."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", trigger_bytes or TRIGGER_BYTES).format(fmt).load(path)
