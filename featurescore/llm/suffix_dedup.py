@@ -22,6 +22,10 @@ Names are pairs of independent 64-bit hashes. Defined results: a null or empty t
 repeated rows are separate texts, so they remove each other (ties: all go, none is preferred); strings never cross texts;
 an empty table gives no rows; a text of any length is held by one task, with about 100 times its bytes of numpy arrays at
 the most where it is longer than a slice (SLICE_BYTES); extra columns pass through, those named like results are replaced.
+
+Passages counted in words, which may be shorter than `length` bytes, are found apart and removed nowhere (shared_words). A
+window of words belongs to its least gram; grams that one text only holds are left out, and of the others the windows with
+one owner are compared as a whole first, and one by one where wholes differ.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, discard, materialise, mix, narrow, numbered, only, slices, whole_rows
+from .common import SPACE, Rolling, arrow_map, discard, materialise, mix, narrow, numbered, only, powers, slices, whole_rows, word_bounds
 
 LENGTH = 400
 #: Offsets of a cell in each round.
@@ -43,6 +47,9 @@ BLOCKS = (256, 16, 1)
 GRAM = 8
 #: Neighbourhoods of a sampled position on either side: the first that has a sample inside a string decides.
 REACH = (64, 16)
+#: Words that a passage shared with another text must exceed, and words of a gram.
+PASSAGE_WORDS = 50
+GRAM_WORDS = 8
 
 
 def _least(v: np.ndarray, reach: int) -> np.ndarray:
@@ -273,10 +280,149 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return reduce(DataFrame.union, runs)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+class _Tokens(Rolling):
+    """Polynomial hashes of any stretch of an array of 64-bit words."""
+
+    def __init__(self, tokens: np.ndarray, which: int = 1):
+        self.which = which
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(tokens * powers(len(tokens), which))])
+
+
+def _windows(data: np.ndarray, at: np.ndarray, size: int):
+    """Windows of size words, in cells of those that follow each other and have one owner, the first of their least grams.
+
+    Gives the cells (first window, last window, text, each counted over the slice), the hashes of their owners, those of all
+    that they cover, the hashes of stretches of words, and the first word of each text.
+    """
+    starts, ends, word = word_bounds(data, at, ~SPACE)
+    tokens = Rolling(data).of(starts, ends)
+    hashes = _Tokens(tokens)
+    count = np.maximum(np.diff(word) - size + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    if not len(text):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), hashes, word
+    i = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + word[text]
+    gram = min(GRAM_WORDS, size)
+    grams = np.zeros(len(tokens) - gram + 1, dtype=np.uint64)
+    for k in range(gram):
+        grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(grams)])
+    # the low bits make way for the place, so that the least one tells it, and the first of equal ones is least
+    low = np.uint64((1 << 26) - 1)
+    least = _least((grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low), size - gram + 1)[i]
+    owner = i + ((least - i.astype(np.uint64)) & low).astype(np.int64)
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+    first, last, owner = i[new], i[np.append(np.flatnonzero(new)[1:], len(i)) - 1], owner[new]
+    return first, last, text[new], mix(grams[owner]), mix(hashes.of(first, last + size) + mix((owner - first).astype(np.uint64))), hashes, word
+
+
+def _owners(size: int):
+    def run(batches):
+        for rows, data, at in slices(batches, "text"):
+            _, _, text, core, _, _, _ = _windows(data, at, size)
+            order = np.lexsort((core, text))
+            text, core = text[order], core[order]
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (core[1:] != core[:-1])
+            yield pa.record_batch([_i64(core[new]), rows.column("row").take(pa.array(text[new]))], names=["core", "row"])
+
+    return run
+
+
+def _shared_cells(size: int):
+    """Cells of the owners in the list cores of each text."""
+
+    def run(batches):
+        for rows, data, at in slices(batches, "text"):
+            first, last, text, core, hull, _, word = _windows(data, at, size)
+            cores = rows.column("cores")
+            named = lambda c, of: mix(c + mix(of.astype(np.uint64)))
+            of = np.repeat(np.arange(len(at) - 1), cores.value_lengths().to_numpy())
+            ok = np.isin(named(core, text), named(cores.flatten().to_numpy().view(np.uint64), of))
+            first, last, text, core, hull = first[ok], last[ok], text[ok], core[ok], hull[ok]
+            places = [pa.array((x - word[text]).astype(np.int32)) for x in (first, last)]
+            yield pa.record_batch([_i64(core), _i64(hull), rows.column("row").take(pa.array(text)), *places], names=["core", "hull", "row", "first", "last"])
+
+    return run
+
+
+def _single_windows(size: int):
+    """The windows of the cells that each text has in its list cells, one by one."""
+
+    def run(batches):
+        for rows, data, at in slices(batches, "text"):
+            starts, ends, word = word_bounds(data, at, ~SPACE)
+            hashes, cells = _Tokens(Rolling(data).of(starts, ends)), rows.column("cells")
+            flat, text = cells.flatten(), np.repeat(np.arange(len(at) - 1), cells.value_lengths().to_numpy())
+            first, last = (flat.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+            count = last - first + 1
+            cell = np.repeat(np.arange(len(first)), count)
+            off = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+            i = (word[text] + first)[cell] + off
+            taken = pa.array(cell)
+            columns = {"core": flat.field("core").take(taken), "hull": flat.field("hull").take(taken), "whole": flat.field("whole").take(taken)}
+            columns |= {"row": rows.column("row").take(pa.array(text[cell])), "off": pa.array(off.astype(np.int32)), "string": _i64(hashes.of(i, i + size))}
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def _covered(size: int):
+    """Words that the windows of each row cover."""
+
+    def run(batches):
+        for rows in batches:
+            runs = rows.column("runs")
+            flat, text = runs.flatten(), np.repeat(np.arange(rows.num_rows), runs.value_lengths().to_numpy())
+            first, last = (flat.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+            order = np.lexsort((last, first, text))
+            text, first, end = text[order], first[order], last[order] + size
+            # texts are set apart, so that the farthest end so far is never that of a text before
+            apart = text * np.int64(1 << 32)
+            before = np.concatenate([[0], np.maximum.accumulate(end + apart)[:-1]]) if len(end) else end
+            n = np.maximum(end + apart - np.maximum(first + apart, before), 0)
+            yield pa.record_batch([rows.column("row"), pa.array(np.bincount(text, n, minlength=rows.num_rows).astype(np.int64))], names=["row", "n_shared_words"])
+
+    return run
+
+
+def shared_words(texts: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """How many words of each text are in passages of over `words` words that another text holds too: (row, n_shared_words).
+
+    For texts (row long, text string); words are runs of characters other than white space, and what is between them does
+    not count. Texts without such words have no row.
+    """
+    size, name = words + 1, ["core", "hull"]
+    owners = materialise(arrow_map(texts, _owners(size), "core long, row long"), "passage-owners")
+    shared = owners.groupBy("core").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("core")
+    left = materialise(owners.join(shared, "core", "left_semi").groupBy("row").agg(F.collect_list("core").alias("cores")), "passage-texts")
+    discard(owners)
+    cells = materialise(arrow_map(only(texts, left).join(left, "row"), _shared_cells(size), "core long, hull long, row long, first int, last int"), "passage-cells")
+    place = F.struct("row", "first", "last")
+    classes = materialise(cells.groupBy(name).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).withColumn("whole", F.col("lo.row") < F.col("hi.row")), "passage-classes")
+    # the windows of a class that one text holds are looked for among those of the other classes with the same owner
+    mixed = classes.groupBy("core").agg(F.min("lo.row").alias("a"), F.max("hi.row").alias("b"), F.min("whole").alias("all")).where("a < b and not all").select("core")
+    both = F.when(F.col("whole"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    stand = classes.join(mixed, "core", "left_semi").select(*name, "whole", F.explode(both).alias("at"))
+    open_ = materialise(stand.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(*name, "whole", "at.first", "at.last")).alias("cells")), "passage-open")
+    singles = materialise(arrow_map(only(texts, open_).join(open_, "row"), _single_windows(size), "core long, hull long, whole boolean, row long, off int, string long"), "passage-windows")
+    found = singles.groupBy("core", "string").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("core", "string")
+    parts = singles.where("not whole").join(found, ["core", "string"]).groupBy(name).agg(F.collect_set("off").alias("offs"))
+    verdicts = classes.where("whole").select(*name, F.lit(None).cast("array<int>").alias("offs")).union(parts.select(*name, "offs"))
+    one = F.transform("offs", lambda o: F.struct((F.col("first") + o).alias("first"), (F.col("first") + o).alias("last")))
+    runs = cells.join(verdicts, name).select("row", F.explode(F.coalesce(one, F.array(F.struct("first", "last")))).alias("run"))
+    out = materialise(arrow_map(runs.groupBy("row").agg(F.collect_list("run").alias("runs")), _covered(size), "row long, n_shared_words long"), "passage-words")
+    for table in (left, cells, classes, open_, singles):
+        discard(table)
+    return out
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = True, words: int | None = None) -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans, kept_sha256, spans (array of byte ranges) and kept_text.
 
-    kept_text drops a character that a removal has cut in two. Columns of docs with these names are replaced.
+    kept_text drops a character that a removal has cut in two. With words, n_shared_words counts the words in passages of
+    more words than that which another row holds too; they stay. Columns of docs with these names are replaced.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
     # rows are numbered once, and the numbers are stored with the texts: the steps below are many jobs
@@ -285,12 +431,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     runs = repeated_runs(texts, length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     schema = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept_text string" * keep_text
     cut = arrow_map(texts.join(runs, "row", "left"), _cut(length, keep_text), schema)
-    names = [c for c in docs.columns if c not in made and (keep_text or c != text)]
+    names = [c for c in docs.columns if c not in [*made, *(["n_shared_words"] if words is not None else [])] and (keep_text or c != text)]
     rest = rows.select("row", "doc", *(["own"] if keep_text else []))
     back = [(F.col("own") if c == text else F.col("doc").getField(c)).alias(c) for c in names]
-    return rest.join(cut, "row").select(*back, *[c for c in made if keep_text or c != "kept_text"])
+    results = [F.col(c) for c in made if keep_text or c != "kept_text"]
+    if words is None:
+        return rest.join(cut, "row").select(*back, *results)
+    return rest.join(cut, "row").join(shared_words(texts, words), "row", "left").select(*back, *results, F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words"))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, keep_text=False, words=PASSAGE_WORDS).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")
